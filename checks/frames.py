@@ -12,7 +12,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.functions.ordered import HeavyKeys, heavy_keys, ordered, running_sum
+from sessionlog.functions.ordered import (
+    BLOCK_ROWS, HeavyKeys, heavy_keys, ordered, running_sum,
+)
 from sessionlog.functions.text import slash_command
 from sessionlog.operators import parse
 from sessionlog.operators.sequences import tool_sequences
@@ -83,7 +85,7 @@ class Frames:
         users = table(self.spark, self.sf_dir, "events").select(
             F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id")
         )
-        return heavy_keys(users)
+        return heavy_keys(users, block_rows=BLOCK_ROWS)
 
     @cached_property
     def positioned(self) -> DataFrame:
@@ -169,12 +171,12 @@ class Frames:
 
     # -- text lines ---------------------------------------------------------
 
-    def _lines(self, rows: DataFrame, line: str, path, value) -> DataFrame:
+    def _lines(self, rows: DataFrame, line: str, path, value, heavy: HeavyKeys) -> DataFrame:
         """Lines of session files; a heavy session has one block per ``block_rows`` lines."""
         block = F.lit("")
-        if self.heavy.keys:
-            at = F.floor(F.col(line) / self.heavy.block_rows).cast("string")
-            block = F.when(F.col("session_id").isin(*self.heavy.keys), F.lpad(at, 20, "0")).otherwise("")
+        if heavy.keys:
+            at = F.floor(F.col(line) / heavy.block_rows).cast("string")
+            block = F.when(F.col("session_id").isin(*heavy.keys), F.lpad(at, 20, "0")).otherwise("")
         return rows.select(
             path.alias("path"), block.alias("block"), F.col(line).cast("bigint").alias("line"),
             value.alias("value"),
@@ -258,7 +260,7 @@ class Frames:
             "session_id", "user_id", "pos", F.posexplode("lines").alias("i", "line_text")
         ).filter(F.col("line_text").isNotNull())
         rows = rows.withColumn("at", F.col("pos").cast("bigint") * 8 + F.col("i"))
-        return self._lines(rows, "at", self.path, F.col("line_text"))
+        return self._lines(rows, "at", self.path, F.col("line_text"), self.heavy)
 
     @cached_property
     def parsed(self) -> DataFrame:
@@ -282,6 +284,13 @@ class Frames:
             self.parsed_events, self.parsed_calls, None if self.split_files else HeavyKeys(())
         )
 
+    @cached_property
+    def talk_heavy(self) -> HeavyKeys:
+        talks = table(self.spark, self.sf_dir, "conversations").select(
+            F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session_id")
+        )
+        return heavy_keys(talks, block_rows=BLOCK_ROWS)
+
     @cached_property
     def talk_lines(self) -> DataFrame:
         """The conversations as JSON lines with whole texts; odd turns split the text in two blocks."""
@@ -309,4 +318,4 @@ class Frames:
         ))
         value = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"message":'), message, F.lit("}"))
         path = F.concat(F.lit("/logs/-Users-test-talk/"), F.col("session_id"), F.lit(".jsonl"))
-        return self._lines(conv, "turn", path, value)
+        return self._lines(conv, "turn", path, value, self.talk_heavy)

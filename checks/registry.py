@@ -355,7 +355,7 @@ def timeline_view_tools_only(f: Frames) -> DataFrame:
 
 @_query
 def timeline_snippets(f: Frames) -> DataFrame:
-    rows = parse.normalize_events(parse.with_positions(parse.parse_lines(f.talk_lines), f.split_files))
+    rows = parse.normalize_events(parse.with_positions(parse.parse_lines(f.talk_lines), bool(f.talk_heavy.keys)))
     timeline = rows.withColumns({"tool_name": F.lit(None).cast("string"), "whole_id": F.col("session_id")})
     return named.timeline_view(timeline, verbose=True).select(F.col("from").alias("session_id"), "time", "head")
 
@@ -402,8 +402,8 @@ def dashboard(f: Frames) -> DataFrame:
 def _talk(f: Frames) -> tuple[DataFrame, DataFrame]:
     """Skill invocations and sessions of the conversation lines."""
     parsed = parse.parse_lines(f.talk_lines)
-    positioned = parse.with_positions(parsed, f.split_files)
-    skills = parse.tool_skills(parse.tool_calls(positioned, f.split_files))
+    split = bool(f.talk_heavy.keys)
+    skills = parse.tool_skills(parse.tool_calls(parse.with_positions(parsed, split), split))
     return skills, parse.session_rollup(parsed)
 
 
@@ -431,7 +431,7 @@ def invocation_text(f: Frames) -> DataFrame:
 
 @_query
 def followups(f: Frames) -> DataFrame:
-    after = evidence.followups(evidence.user_messages(f.talk_lines), _invocations(f), 2, f.heavy)
+    after = evidence.followups(evidence.user_messages(f.talk_lines), _invocations(f), 2, f.talk_heavy)
     return after.select("session_id", "ts", F.posexplode("followups").alias("i", "m")).select(
         "session_id", "ts", (F.col("i") + 1).alias("i"), F.col("m.ts").alias("m_ts"), "m.text")
 
@@ -439,7 +439,7 @@ def followups(f: Frames) -> DataFrame:
 @_query
 def skill_evidence(f: Frames) -> DataFrame:
     skills, sessions = _talk(f)
-    records = evidence.skill_evidence("pack:talk1", f.talk_lines, skills, sessions, heavy=f.heavy)
+    records = evidence.skill_evidence("pack:talk1", f.talk_lines, skills, sessions, heavy=f.talk_heavy)
     return records.select(
         "session_id", "invocation_ts", "project", "invocation_text",
         F.array_join(F.transform("followups", lambda m: F.concat(m.ts, F.lit(" "), m.text)), "\n").alias("followups"),

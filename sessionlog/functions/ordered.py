@@ -4,10 +4,10 @@ A session is a short time series in most logs, and then a plain window over
 ``session_id`` is the right plan: one shuffle, one sort.  A window puts a whole
 key in one task, though, so a session that holds a large part of all rows would
 serialise the job.  :func:`ordered` therefore looks for keys above
-``block_rows`` rows first.  If there are none the plain window is used.  Rows of
-a heavy key are cut into blocks along the sort order, the window runs per block,
-and one total per block is carried into the following blocks.  Both forms give
-the same values.
+``block_rows`` rows first.  All other rows take the plain window.  Rows of heavy
+keys are written out once and cut into blocks along the sort order; the window
+runs per block, and one total per block is carried into the following blocks.
+Both forms give the same values.
 
 What is broadcast is the list of heavy blocks: at most ``MAX_HEAVY`` short rows
 per cutting step, whatever the size of the data.
@@ -15,12 +15,14 @@ per cutting step, whatever the size of the data.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from os.path import commonprefix
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: Rows of one key that one task may sort.  Above it the key is cut into blocks.
 BLOCK_ROWS = 1 << 20
 #: Most heavy keys (or blocks) cut per step.  Any key left out has at most
@@ -119,6 +121,65 @@ def _local(spec: Running, col: str, w) -> Column:
     return F.last(c, ignorenulls=True).over(frame)
 
 
+def _windows(df: DataFrame, by: list[str], sort: list[Column], outs: dict[str, Running]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(*sort)
+    return df.withColumns({n: _local(s, f"_in_{n}", w) for n, s in outs.items()})
+
+
+def _sorts(order, reverse: bool) -> list[Column]:
+    return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
+
+
+# -- the plain form: one window per key -------------------------------------
+
+
+def _plain_running(df, keys, order, reverse, outs):
+    inputs = {f"_in_{n}": s.value for n, s in outs.items()}
+    df = _windows(df.withColumns(inputs), keys, _sorts(order, reverse), outs)
+    return df.drop(*inputs)
+
+
+def _plain_last_k(df, keys, order, reverse, name, value, k):
+    """Each step lets a row with a value remember one more of its forerunners."""
+    mine, known, prev = F.col(f"_v_{name}"), F.col(f"_l_{name}"), F.col(f"_p_{name}")
+    df = df.withColumn(f"_v_{name}", value)
+    df = df.withColumn(f"_l_{name}", F.when(mine.isNotNull(), F.array(mine)))
+    for _ in range(k - 1):
+        df = _plain_running(df, keys, order, reverse, {f"_p_{name}": running_last(known)})
+        both = F.when(prev.isNull(), F.array(mine)).otherwise(F.concat(prev, F.array(mine)))
+        df = df.withColumn(f"_l_{name}", F.when(mine.isNotNull(), both))
+    df = _plain_running(df, keys, order, reverse, {name: running_last(known)})
+    return df.drop(f"_v_{name}", f"_l_{name}", f"_p_{name}")
+
+
+def _plain_top_k(df, keys, order, reverse, name, value, k, largest):
+    """The running best hands the loser of each comparison to the next rank."""
+    run = running_max if largest else running_min
+    lose = F.least if largest else F.greatest
+    x = F.col(f"_x_{name}")
+    df = df.withColumn(f"_x_{name}", value)
+    for r in range(k):
+        df = _plain_running(df, keys, order, reverse, {f"_b{r}_{name}": run(x)})
+        best = F.col(f"_b{r}_{name}")
+        if r < k - 1:
+            df = df.withColumn(f"_x_{name}", F.when(x.isNotNull() & best.isNotNull(), lose(x, best)))
+    bests = [f"_b{r}_{name}" for r in range(k)]
+    df = df.withColumn(name, F.array_compact(F.array(*bests)))
+    return df.drop(f"_x_{name}", *bests)
+
+
+# -- the block form: windows per block, totals carried over blocks ----------
+
+
+def _last(lists: Column, k: int) -> Column:
+    return F.slice(lists, F.greatest(F.size(lists) - k + 1, F.lit(1)), k)
+
+
+def _best(values: Column, k: int, largest: bool) -> Column:
+    ranked = F.reverse(F.array_sort(values)) if largest else F.array_sort(values)
+    return F.slice(ranked, 1, k)
+
+
 def _total(spec: Running, name: str, col: str, pick) -> Column:
     """Aggregate that sums up one block."""
     c = F.col(col)
@@ -145,8 +206,7 @@ def _carry(spec: Running, name: str, w) -> Column:
         return F.min(c).over(frame)
     if spec.kind == "last":
         return F.last(c, ignorenulls=True).over(frame)
-    lists = F.flatten(F.collect_list(c).over(w.rowsBetween(-spec.k, -1)))
-    return F.slice(lists, F.greatest(F.size(lists) - spec.k + 1, F.lit(1)), spec.k)
+    return _last(F.flatten(F.collect_list(c).over(w.rowsBetween(-spec.k, -1))), spec.k)
 
 
 def _combine(spec: Running, name: str) -> Column:
@@ -159,109 +219,108 @@ def _combine(spec: Running, name: str) -> Column:
         return F.least(local, carry)
     if spec.kind == "last":
         return F.coalesce(local, carry)
-    both = F.when(carry.isNull(), local).otherwise(F.concat(carry, local))
-    return F.slice(both, F.greatest(F.size(both) - spec.k + 1, F.lit(1)), spec.k)
+    return _last(F.when(carry.isNull(), local).otherwise(F.concat(carry, local)), spec.k)
+
+
+def _block_running(df, keys, order, reverse, outs):
+    by = [*keys, "_blk"]
+    inputs = {f"_in_{n}": s.value for n, s in outs.items()}
+    df = _windows(df.withColumns(inputs), by, _sorts(order, reverse), outs)
+    pick = F.min_by if reverse else F.max_by
+    totals = (
+        df.filter(F.col("_blk") != "")
+        .withColumn("_ord", F.struct(*order))
+        .groupBy(*by)
+        .agg(*[_total(s, n, f"_in_{n}", pick).alias(n) for n, s in outs.items()])
+    )
+    # One row per block: this window holds the blocks of a key, not its rows.
+    wb = Window.partitionBy(*keys).orderBy(*_sorts(["_blk"], reverse))
+    carry = totals.select(*by, *[_carry(s, n, wb).alias("_c_" + n) for n, s in outs.items()])
+    df = df.join(carry, by, "left").withColumns({n: _combine(s, n) for n, s in outs.items()})
+    return df.drop(*inputs, *["_c_" + n for n in outs])
+
+
+def _block_lists(df, keys, order, reverse, name, value, plain, merge):
+    """Running lists (``plain`` form per block), with the lists of earlier blocks merged in."""
+    by = [*keys, "_blk"]
+    mine = F.col(f"_w_{name}")
+    none = F.array()
+    df = plain(df.withColumn(f"_w_{name}", value), by, order, mine)
+    local = F.coalesce(F.col(name), none.cast(df.schema[name].dataType))
+    through = F.when(mine.isNull(), local).otherwise(F.concat(local, F.array(mine)))
+    pick = F.min_by if reverse else F.max_by
+    totals = (
+        df.filter(F.col("_blk") != "")
+        .groupBy(*by)
+        .agg(pick(merge(through), F.struct(*order)).alias("list"))
+        # Place in the list, made to grow in reading direction.
+        .select(*by, F.posexplode_outer("list").alias("i", "v"))
+        .withColumn("i", F.coalesce(F.col("i"), F.lit(0)) * (-1 if reverse else 1))
+    )
+    carry = (
+        plain(totals, keys, ["_blk", "i"], F.col("v"))
+        .filter(F.col("i") == 0)
+        .select(*by, F.col(name).alias(f"_c_{name}"))
+    )
+    carried = F.coalesce(F.col(f"_c_{name}"), none.cast(df.schema[name].dataType))
+    merged = merge(F.concat(carried, local))
+    df = df.join(carry, by, "left").withColumn(name, merged)
+    return df.drop(f"_w_{name}", f"_c_{name}")
 
 
 @dataclass(frozen=True)
 class Ordered:
-    """A frame with keys and a total order, ready for running values."""
+    """Rows with keys and a total order, ready for running values.
 
-    df: DataFrame
+    ``cold`` holds the ordinary keys, ``hot`` (maybe absent) the heavy ones, cut
+    into blocks ``_blk``.
+    """
+
+    cold: DataFrame
+    hot: DataFrame | None
     keys: tuple[str, ...]
     order: tuple[str, ...]
     reverse: bool
-    blocked: bool
 
-    def with_columns(self, cols: dict[str, Column]) -> "Ordered":
-        return Ordered(self.df.withColumns(cols), self.keys, self.order, self.reverse, self.blocked)
+    def _each(self, plain, block) -> "Ordered":
+        return replace(
+            self, cold=plain(self.cold), hot=None if self.hot is None else block(self.hot)
+        )
 
     def turned(self) -> "Ordered":
-        """The same rows and blocks, read in the other direction."""
-        return Ordered(self.df, self.keys, self.order, not self.reverse, self.blocked)
+        """The same rows, read in the other direction."""
+        return replace(self, reverse=not self.reverse)
 
-    def _sort(self) -> list[Column]:
-        return [F.col(c).desc() if self.reverse else F.col(c).asc() for c in self.order]
+    def with_columns(self, cols: dict[str, Column]) -> "Ordered":
+        add = lambda df: df.withColumns(cols)
+        return self._each(add, add)
 
     def running(self, outs: dict[str, Running]) -> "Ordered":
         """Add running values, all over one shuffle and one sort."""
-        inputs = {f"_in_{n}": s.value for n, s in outs.items()}
-        df = self.df.withColumns(inputs)
-        if not self.blocked:
-            w = Window.partitionBy(*self.keys).orderBy(*self._sort())
-            df = df.withColumns({n: _local(s, f"_in_{n}", w) for n, s in outs.items()})
-            return Ordered(df.drop(*inputs), self.keys, self.order, self.reverse, False)
-
-        by = [*self.keys, "_blk"]
-        w = Window.partitionBy(*by).orderBy(*self._sort())
-        df = df.withColumns({n: _local(s, f"_in_{n}", w) for n, s in outs.items()})
-        pick = F.min_by if self.reverse else F.max_by
-        totals = (
-            df.filter(F.col("_blk") != "")
-            .withColumn("_ord", F.struct(*self.order))
-            .groupBy(*by)
-            .agg(*[_total(s, n, f"_in_{n}", pick).alias(n) for n, s in outs.items()])
-        )
-        # One row per block: the window below holds blocks of a key, not its rows.
-        wb = Window.partitionBy(*self.keys).orderBy(
-            F.col("_blk").desc() if self.reverse else F.col("_blk").asc()
-        )
-        carry = totals.select(
-            *by, *[_carry(s, n, wb).alias("_c_" + n) for n, s in outs.items()]
-        )
-        df = df.join(carry, by, "left").withColumns({n: _combine(s, n) for n, s in outs.items()})
-        return Ordered(
-            df.drop(*inputs, *["_c_" + n for n in outs]), self.keys, self.order, self.reverse, True
-        )
+        args = (list(self.keys), self.order, self.reverse, outs)
+        return self._each(lambda df: _plain_running(df, *args), lambda df: _block_running(df, *args))
 
     def last_k(self, name: str, value: Column, k: int) -> "Ordered":
-        """List of the last ``k`` non-null values before the current row, oldest first.
-
-        Each step lets a row with a value remember one more of its forerunners,
-        so no task ever gathers more than ``k`` values per row.
-        """
-        o = self.with_columns({f"_v_{name}": value})
-        mine = F.col(f"_v_{name}")
-        o = o.with_columns({f"_l_{name}": F.when(mine.isNotNull(), F.array(mine))})
-        for _ in range(k - 1):
-            o = o.running({f"_p_{name}": running_last(F.col(f"_l_{name}"))})
-            prev = F.col(f"_p_{name}")
-            o = o.with_columns(
-                {
-                    f"_l_{name}": F.when(
-                        mine.isNotNull(),
-                        F.when(prev.isNull(), F.array(mine)).otherwise(F.concat(prev, F.array(mine))),
-                    )
-                }
-            )
-        o = o.running({name: running_last(F.col(f"_l_{name}"))})
-        return Ordered(
-            o.df.drop(f"_v_{name}", f"_l_{name}", f"_p_{name}"),
-            o.keys, o.order, o.reverse, o.blocked,
-        )
+        """List of the last ``k`` non-null values before the current row, oldest first (or null)."""
+        plain = lambda df, keys, order, v: _plain_last_k(
+            df, keys, order, self.reverse, name, v, k)
+        return self._lists(name, value, plain, lambda lists: _last(lists, k))
 
     def top_k(self, name: str, value: Column, k: int, largest: bool = True) -> "Ordered":
-        """The ``k`` largest (smallest) non-null values before the current row, best first.
-
-        The running best pushes the loser of each comparison down to the next
-        rank, so rank ``r + 1`` is the running best of what rank ``r`` gave up.
-        """
-        run = running_max if largest else running_min
-        lose = F.least if largest else F.greatest
-        o = self.with_columns({f"_x_{name}": value})
-        for r in range(k):
-            o = o.running({f"_b{r}_{name}": run(F.col(f"_x_{name}"))})
-            best, x = F.col(f"_b{r}_{name}"), F.col(f"_x_{name}")
-            if r < k - 1:
-                o = o.with_columns(
-                    {f"_x_{name}": F.when(x.isNotNull() & best.isNotNull(), lose(x, best))}
-                )
-        bests = [f"_b{r}_{name}" for r in range(k)]
-        o = o.with_columns({name: F.array_compact(F.array(*bests))})
-        return Ordered(o.df.drop(f"_x_{name}", *bests), o.keys, o.order, o.reverse, o.blocked)
+        """The ``k`` largest (smallest) non-null values before the current row, best first."""
+        plain = lambda df, keys, order, v: _plain_top_k(
+            df, keys, order, self.reverse, name, v, k, largest)
+        return self._lists(name, value, plain, lambda values: _best(values, k, largest))
+
+    def _lists(self, name, value, plain, merge) -> "Ordered":
+        keys = list(self.keys)
+        return self._each(
+            lambda df: plain(df, keys, self.order, value),
+            lambda df: _block_lists(df, keys, self.order, self.reverse, name, value, plain, merge),
+        )
 
     def result(self) -> DataFrame:
-        return self.df.drop("_blk") if self.blocked else self.df
+        return self.cold if self.hot is None else self.cold.unionByName(self.hot.drop("_blk"))
 
 
 # -- cutting heavy keys into blocks -----------------------------------------
@@ -278,31 +337,32 @@ def _heavy_blocks(df: DataFrame, keys: list[str], block_rows: int):
     )
 
 
-def _cut(spark: SparkSession, df: DataFrame, keys: list[str], order: list[str],
-         block_rows: int, only: tuple[str, ...] | None) -> DataFrame | None:
-    """Add ``_blk``: '' for ordinary keys, a prefix of the order text for heavy ones."""
-    out = df.withColumns({"_txt": order_text(df, order), "_blk": F.lit("")})
-    probe = out if only is None else out.filter(F.col(keys[0]).isin(*only))
-    cut = None
+def _cut(df: DataFrame, keys: list[str], order: list[str], block_rows: int) -> DataFrame:
+    """Add ``_blk``: '' where a key is one block, else a prefix of the order text.
+
+    A block above ``block_rows`` is cut at the first characters in which its rows
+    differ, as often as it takes.
+    """
+    types = dict(df.dtypes)
+    cut = df.withColumns({"_txt": order_text(df, order), "_blk": F.lit("")})
+    probe = cut
     for _ in range(_MAX_CUTS):
         heavy = _heavy_blocks(probe, keys, block_rows)
         if not heavy:
             break
-        types = dict(df.dtypes)
         rows = [
             (*[r[k] for k in keys], r["_blk"], len(commonprefix([r["lo"], r["hi"]])) + _STEP)
             for r in heavy
         ]
         schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "_blk string", "_len int"])
-        table = F.broadcast(spark.createDataFrame(rows, schema))  # at most MAX_HEAVY rows
-        cut = (cut if cut is not None else out).join(table, [*keys, "_blk"], "left")
-        cut = cut.withColumn(
-            "_blk",
-            F.when(F.col("_len").isNotNull(), F.expr("substring(_txt, 1, _len)")).otherwise(F.col("_blk")),
+        table = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # at most MAX_HEAVY rows
+        deeper = F.expr("substring(_txt, 1, _len)")
+        cut = cut.join(table, [*keys, "_blk"], "left").withColumn(
+            "_blk", F.when(F.col("_len").isNotNull(), deeper).otherwise(F.col("_blk"))
         )
         probe = cut.filter(F.col("_len").isNotNull()).drop("_len")
         cut = cut.drop("_len")
-    return None if cut is None else cut.drop("_txt")
+    return cut.drop("_txt")
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], heavy: HeavyKeys | None = None,
@@ -314,13 +374,15 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], heavy: HeavyKeys |
     name a block that the rows carry already ('' where a key has one block only,
     else text that sorts like ``order``); then nothing is probed.
     """
+    key, rest = keys[0], (tuple(keys), tuple(order), reverse)
     if block is not None:
-        return Ordered(df.withColumn("_blk", block), tuple(keys), tuple(order), reverse, True)
-    cut = None
+        marked = df.withColumn("_blk", block)
+        cold = marked.filter(F.col("_blk") == "").drop("_blk")
+        return Ordered(cold, marked.filter(F.col("_blk") != ""), *rest)
     if heavy is None:
-        cut = _cut(df.sparkSession, df, keys, order, BLOCK_ROWS, None)
-    elif heavy.keys:
-        cut = _cut(df.sparkSession, df, keys, order, heavy.block_rows, heavy.keys)
-    if cut is None:
-        return Ordered(df, tuple(keys), tuple(order), reverse, False)
-    return Ordered(cut, tuple(keys), tuple(order), reverse, True)
+        heavy = heavy_keys(df, key)
+    if not heavy.keys:
+        return Ordered(df, None, *rest)
+    is_heavy = F.coalesce(F.col(key).isin(*heavy.keys), F.lit(False))
+    hot = _cut(written(df.filter(is_heavy)), keys, order, heavy.block_rows)
+    return Ordered(df.filter(~is_heavy), hot, *rest)

@@ -201,8 +201,9 @@ def attach_results(blocks: DataFrame, keys: list[str], order: list[str],
             o.result()
             .filter(F.col("_call").isNotNull())
             .groupBy(*keys, "_call")
-            .agg(F.max(F.when(call, F.struct(*call_cols))).alias("c"), *outcome)
-            .select(*[k for k in keys if k not in call_cols], "c.*", "size", "ok")
+            # One call row per group; column by column, so that unused ones are pruned.
+            .agg(*[F.max(F.when(call, F.col(c))).alias(c) for c in call_cols if c not in keys], *outcome)
+            .drop("_call")
         )
     return calls.withColumns(
         {
