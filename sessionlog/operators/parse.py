@@ -23,11 +23,13 @@ from ..sources.jsonl import path_facts
 HEAD_CHARS = 240
 FOLLOWED_BY = 5
 
-def parse_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS) -> DataFrame:
+def parse_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS,
+                scrub_first: bool = False) -> DataFrame:
     """One typed row per line: status, event fields, content blocks.
 
     ``status`` is ok, blank, or bad (not a JSON object, or a content list with
-    items that are not objects).
+    items that are not objects).  ``scrub_first`` redacts message heads before they
+    are cut.
     """
     get = lambda p, t="string": F.try_variant_get("v", "$.line." + p, t)
     text = F.col("text")
@@ -124,7 +126,8 @@ def parse_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS) -> DataFr
         get(usage + "cache_creation_input_tokens", "bigint").alias("cache_creation"),
         get("durationMs", "bigint").alias("duration_ms"),
         F.length("payload").cast("bigint").alias("text_len"),
-        F.substring("payload", 1, HEAD_CHARS).alias("text_head"),
+        F.substring(scrub(F.col("payload")) if scrub_first else F.col("payload"), 1, HEAD_CHARS)
+        .alias("text_head"),
         F.when(kind == "user", slash_command(F.col("payload"))).alias("slash"),
         tool_blocks.alias("blocks"),
     )

@@ -1,0 +1,141 @@
+"""From files to stored tables and signals, twice."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from sessionlog.plans import queries
+from sessionlog.plans.dashboard import dashboard, write_json
+from sessionlog.plans.evidence import skill_evidence
+from sessionlog.plans.pipeline import derive, ingest
+from sessionlog.sources.jsonl import read_session_lines
+from sessionlog.sources.signatures import DEFAULT_SIGNATURES
+from sessionlog.sources.store import SessionStore
+
+PARENT = "aaaaaaaa-bbbb-cccc-dddd-eeeeeeeeeeee"
+CHILD = "agent-1234567890abcdef"
+
+
+def line(kind, ts, uuid, content):
+    return json.dumps({"type": kind, "timestamp": ts, "uuid": uuid, "message": {"role": kind, "content": content}})
+
+
+def stats(df):
+    return tuple(df.first())
+
+
+@pytest.fixture(scope="module")
+def place(tmp_path_factory):
+    root = tmp_path_factory.mktemp("logs")
+    project = root / "projects" / "-Users-test-project"
+    (project / PARENT / "subagents").mkdir(parents=True)
+    (project / f"{PARENT}.jsonl").write_text("\n".join([
+        line("user", "2026-05-29T16:00:00Z", "p1", "/code-review http://example/pr/1"),
+        line("user", "2026-05-29T16:02:00Z", "p2", "<local-command-stdout>review result</local-command-stdout>"),
+    ]))
+    (project / PARENT / "subagents" / f"{CHILD}.jsonl").write_text("\n".join([
+        line("assistant", "2026-05-29T16:01:00Z", "a1",
+             [{"type": "tool_use", "id": "t", "name": "LSP", "input": {"action": "refs"}}]),
+        line("user", "2026-05-29T16:01:01Z", "a2", [{"type": "tool_result", "tool_use_id": "t", "content": "ok"}]),
+    ]))
+    return root
+
+
+@pytest.fixture(scope="module")
+def store(spark, place):
+    store = SessionStore(spark, str(place / "store"))
+    assert stats(ingest(spark, str(place / "projects"), store)) == (2, 0, 2)
+    return store
+
+
+def test_parent_and_child(store):
+    rows = {r.session_id: r for r in store.table("sessions").collect()}
+    assert set(rows) == {PARENT, CHILD}
+    assert rows[PARENT].project == rows[CHILD].project == "project"
+    assert rows[CHILD].is_subagent and rows[CHILD].parent_session_id == PARENT
+    assert not rows[PARENT].is_subagent and rows[PARENT].parent_session_id is None
+    assert rows[PARENT].ingested_at is not None
+    skills = store.table("skill_invocations").collect()
+    assert [(s.session_id, s.skill_name, s.triggered_by, s.followed_by_tools) for s in skills] == [
+        (PARENT, "code-review", "user_slash", [])]
+    calls = store.table("tool_calls").collect()
+    assert [(c.session_id, c.tool_name, c.result_size) for c in calls] == [(CHILD, "LSP", 2)]
+    rolled = queries.rollup_tools(store.table("tool_calls"), store.table("sessions"), PARENT).collect()
+    assert [tuple(r) for r in rolled] == [(PARENT, "LSP", 1)]
+
+
+def test_timelines(store):
+    t = store.table
+    own = queries.session_timeline(t("events"), t("tool_calls"), PARENT)
+    both = queries.session_timeline(t("events"), t("tool_calls"), PARENT, t("sessions"), with_subagents=True)
+    assert own.count() == 2 and [r.tool_name for r in both.collect()] == [None, "LSP", None, None]
+    view = queries.timeline_view(both, tools_only=True).collect()
+    assert [(r.time, r.event, r["from"], r["head"]) for r in view] == [("16:01:00", "LSP", "agent-12", "-")]
+    kids = queries.subagents(t("sessions"), t("tool_calls"), PARENT).collect()
+    assert [(k.session_id, k.tool_calls) for k in kids] == [(CHILD, 1)]
+
+
+def test_evidence(spark, place, store):
+    lines = read_session_lines(spark, str(place / "projects"))
+    found = skill_evidence("any:code-review", lines, store.table("skill_invocations"), store.table("sessions"))
+    rows = found.collect()
+    assert len(rows) == 1
+    assert rows[0].invocation_text == "/code-review http://example/pr/1"
+    assert [f.text for f in rows[0].followups] == ["<local-command-stdout>review result</local-command-stdout>"]
+    assert rows[0].path.endswith(f"-Users-test-project/{PARENT}.jsonl")
+    assert skill_evidence("other", lines, store.table("skill_invocations"), store.table("sessions")).isEmpty()
+
+
+def test_second_run_and_growth(spark, place, store):
+    root = str(place / "projects")
+    before = {n: sorted(map(str, store.table(n).drop("ingested_at").collect()))
+              for n in ("sessions", "events", "tool_calls", "skill_invocations", "tool_sequences")}
+    assert stats(ingest(spark, root, store)) == (0, 2, 2)
+    file = place / "projects" / "-Users-test-project" / f"{PARENT}.jsonl"
+    more = line("assistant", "2026-05-29T16:03:00Z", "p3", [
+        {"type": "tool_use", "id": "1", "name": "Edit", "input": {"x": "y" * 3000}},
+        {"type": "tool_use", "id": "2", "name": "Bash", "input": {}}])
+    file.write_text(file.read_text() + "\n" + more)
+    assert stats(ingest(spark, root, store)) == (1, 1, 2)
+    after = {n: sorted(map(str, store.table(n).drop("ingested_at").collect())) for n in before}
+    assert set(before["events"]) < set(after["events"]) and len(after["events"]) == 5
+    assert len(after["sessions"]) == 2 and len(after["tool_calls"]) == 3
+    assert store.payloads().count() == 1
+    assert [(r.n, r["count"], r.sequence) for r in store.table("tool_sequences").collect()] == [
+        (2, 1, ["Edit", "Bash"])]
+
+    # The session starts over on another day, with less in it: nothing old may stay.
+    file.write_text(line("user", "2026-06-01T00:00:00Z", "q1", "hello"))
+    assert stats(ingest(spark, root, store)) == (1, 1, 2)
+    rows = store.table("events").filter(F.col("session_id") == PARENT).collect()
+    assert [r.event_id for r in rows] == ["q1"]
+    assert store.table("tool_sequences").isEmpty() and store.table("tool_calls").count() == 1
+    assert store.table("skill_invocations").isEmpty()
+    assert store.table("sessions").count() == 2
+
+
+def test_same_session_in_two_folders(spark, tmp_path):
+    for folder, ts in (("-a", "2026-01-02T00:00:00Z"), ("-b", "2026-01-03T00:00:00Z"), ("-c", "2026-01-03T00:00:00Z"),
+                       ("-d", "2026-01-01T00:00:00Z")):
+        (tmp_path / "p" / folder).mkdir(parents=True)
+        (tmp_path / "p" / folder / "s.jsonl").write_text(line("user", ts, folder, "x"))
+    store = SessionStore(spark, str(tmp_path / "store"))
+    assert stats(ingest(spark, str(tmp_path / "p"), store)) == (2, 2, 4)
+    assert [(s.session_id, s.project) for s in store.table("sessions").collect()] == [("s", "b")]
+    assert [e.event_id for e in store.table("events").collect()] == ["-b"]
+    assert stats(ingest(spark, str(tmp_path / "p"), store)) == (0, 4, 4)
+
+
+def test_signals_dashboard_and_sql(spark, place, store, tmp_path):
+    derive(store, DEFAULT_SIGNATURES)
+    for name, df in store.tables().items():
+        df.count()
+    board = dashboard({n: store.signal(n) for n in ("signal_bloat", "signal_redundant_reads")})
+    assert [r.panel for r in board.collect()] == ["top_bloat"]
+    write_json(board, str(tmp_path / "board"))
+    assert json.loads(spark.read.json(str(tmp_path / "board")).first()["row"])["tool_name"] == "LSP"
+    queries.register_views(store.tables())
+    assert queries.query(spark, "SELECT project, count(*) AS n FROM sessions GROUP BY 1;").count() == 1
+    assert queries.query(spark, "SELECT * FROM events", limit=1).count() == 1
+    assert queries.query(spark, "SELECT * FROM events LIMIT 2", limit=1).count() == 2
