@@ -149,6 +149,7 @@ def _plain_last_k(df, keys, order, reverse, name, value, k):
         both = F.when(prev.isNull(), F.array(mine)).otherwise(F.concat(prev, F.array(mine)))
         df = df.withColumn(f"_l_{name}", F.when(mine.isNotNull(), both))
     df = _plain_running(df, keys, order, reverse, {name: running_last(known)})
+    df = df.withColumn(name, F.coalesce(F.col(name), F.array()))
     return df.drop(f"_v_{name}", f"_l_{name}", f"_p_{name}")
 
 
@@ -244,9 +245,8 @@ def _block_lists(df, keys, order, reverse, name, value, plain, merge):
     """Running lists (``plain`` form per block), with the lists of earlier blocks merged in."""
     by = [*keys, "_blk"]
     mine = F.col(f"_w_{name}")
-    none = F.array()
     df = plain(df.withColumn(f"_w_{name}", value), by, order, mine)
-    local = F.coalesce(F.col(name), none.cast(df.schema[name].dataType))
+    local = F.col(name)
     through = F.when(mine.isNull(), local).otherwise(F.concat(local, F.array(mine)))
     pick = F.min_by if reverse else F.max_by
     totals = (
@@ -262,7 +262,7 @@ def _block_lists(df, keys, order, reverse, name, value, plain, merge):
         .filter(F.col("i") == 0)
         .select(*by, F.col(name).alias(f"_c_{name}"))
     )
-    carried = F.coalesce(F.col(f"_c_{name}"), none.cast(df.schema[name].dataType))
+    carried = F.coalesce(F.col(f"_c_{name}"), F.array())
     merged = merge(F.concat(carried, local))
     df = df.join(carry, by, "left").withColumn(name, merged)
     return df.drop(f"_w_{name}", f"_c_{name}")
@@ -301,7 +301,7 @@ class Ordered:
         return self._each(lambda df: _plain_running(df, *args), lambda df: _block_running(df, *args))
 
     def last_k(self, name: str, value: Column, k: int) -> "Ordered":
-        """List of the last ``k`` non-null values before the current row, oldest first (or null)."""
+        """List of the last ``k`` non-null values before the current row, oldest first."""
         plain = lambda df, keys, order, v: _plain_last_k(
             df, keys, order, self.reverse, name, v, k)
         return self._lists(name, value, plain, lambda lists: _last(lists, k))

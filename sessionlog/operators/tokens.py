@@ -85,7 +85,7 @@ def signal_compaction_proximity(events: DataFrame, k: int = COMPACTION_WINDOW,
         ordered(rows.unionByName(marks), ["session_id"], ["ts", "rank", "event_id"], heavy)
         .last_k("before", F.col("e"), k)
         .result()
-        .filter(F.col("times").isNotNull() & F.col("before").isNotNull())
+        .filter(F.col("times").isNotNull() & (F.size("before") > 0))
     )
     latest_first = F.transform(
         F.reverse("before"),

@@ -64,7 +64,7 @@ def test_running_values_equal_a_loop(spark, reverse, block_rows):
     want = loop(data, reverse)
     assert len(got) == len(data)
     for r in got:
-        mine = (r.s, r.hi, r.lo, r.last, list(r.tail), list(r.last3 or []), list(r.top3 or []))
+        mine = (r.s, r.hi, r.lo, r.last, list(r.tail), list(r.last3), list(r.top3))
         assert mine == want[r.id], (r, want[r.id])
 
 
