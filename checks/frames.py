@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sessionlog.functions.ordered import (
     BLOCK_ROWS, HeavyKeys, heavy_keys, ordered, running_sum,
 )
+from sessionlog.functions.scratch import written
 from sessionlog.functions.text import slash_command
 from sessionlog.operators import parse
 from sessionlog.operators.sequences import tool_sequences
@@ -266,6 +267,11 @@ class Frames:
     def parsed(self) -> DataFrame:
         return parse.parse_lines(self.lines)
 
+    def stage(self) -> "Frames":
+        """Write the parsed lines out, as loading does, for queries that read them several times."""
+        self.parsed = written(self.parsed)
+        return self
+
     @property
     def split_files(self) -> bool:
         return bool(self.heavy.keys)

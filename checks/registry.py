@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlog.functions.scratch import written
 from sessionlog.functions.text import normalize_path, scrub
 from sessionlog.operators import incremental, parse
 from sessionlog.operators.payloads import build_payloads, get_payload
@@ -186,7 +187,7 @@ def followed_by_tools(f: Frames) -> DataFrame:
 
 @_query
 def skill_invocations(f: Frames) -> DataFrame:
-    return json_text(f.parsed_skills.select(
+    return json_text(f.stage().parsed_skills.select(
         "session_id", "ts", "skill_name", "args", "triggered_by", "followed_by_tools"))
 
 
@@ -401,7 +402,7 @@ def dashboard(f: Frames) -> DataFrame:
 
 def _talk(f: Frames) -> tuple[DataFrame, DataFrame]:
     """Skill invocations and sessions of the conversation lines."""
-    parsed = parse.parse_lines(f.talk_lines)
+    parsed = written(parse.parse_lines(f.talk_lines))
     split = bool(f.talk_heavy.keys)
     skills = parse.tool_skills(parse.tool_calls(parse.with_positions(parsed, split), split))
     return skills, parse.session_rollup(parsed)

@@ -61,10 +61,6 @@ def slash_command(col: Column) -> Column:
     return F.nullif(F.regexp_extract(lstrip(col), SLASH_PATTERN, 1), F.lit(""))
 
 
-def first_non_empty(*cols: Column) -> Column:
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
-
-
 def array_json(col: Column) -> Column:
     """JSON text of a string array with ``", "`` between elements."""
     quoted = F.transform(col, lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", 1))

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import ARGS_CHARS, block_texts, read_json, truthy
+from ..functions.jsontext import ARGS_CHARS, block_texts, read_json
 from ..functions.ordered import (
     HeavyKeys, ordered, running_last, running_min, running_sum, running_tail,
 )
-from ..functions.text import first_non_empty, normalize_path, scrub, slash_command, strip
+from ..functions.text import normalize_path, scrub, slash_command, strip
 from ..schemas import EVENTS, SESSIONS, SKILL_INVOCATIONS, TOOL_CALLS, conform
 from ..sources.jsonl import path_facts
 
@@ -23,6 +23,73 @@ from ..sources.jsonl import path_facts
 HEAD_CHARS = 240
 FOLLOWED_BY = 5
 
+
+def _field(path: str, kind: str = "string") -> str:
+    return f"try_variant_get(v, '$.line.{path}', '{kind}')"
+
+
+def _truthy(text: str) -> str:
+    return f"coalesce({text} NOT IN ('', 'false', '0', '0.0', '[]', '{{}}'), false)"
+
+
+# Content blocks of a line, as far as they can be read inside the JVM.
+_RAW_BLOCKS = f"""transform(items, b -> struct(
+    try_variant_get(b, '$.type', 'string') AS kind,
+    try_variant_get(b, '$.text', 'string') AS text,
+    coalesce(nullif(try_variant_get(b, '$.name', 'string'), ''), 'unknown') AS tool_name,
+    coalesce(try_variant_get(b, '$.id', 'string'), try_variant_get(b, '$.tool_use_id', 'string')) AS link,
+    {_truthy("try_variant_get(b, '$.is_error', 'string')")} AS is_error,
+    schema_of_variant(try_variant_get(b, '$.content', 'variant')) AS shape,
+    schema_of_variant(b) LIKE 'OBJECT%' AS is_object,
+    length(try_variant_get(b, '$.content', 'string')) AS content_chars))"""
+
+_PAYLOAD = f"""nullif(
+    CASE WHEN items IS NULL AND schema_of_variant({_field("message.content", "variant")}) = 'STRING'
+         THEN {_field("message.content")}
+         ELSE array_join(transform(filter(raw_blocks, b -> b.kind = 'text'), b -> coalesce(b.text, '')), '\n') END, '')"""
+
+_STATUS = """CASE WHEN text = '' THEN 'blank'
+    WHEN coalesce(try_variant_get(v, '$.line_end', 'boolean'), false) AND text LIKE '{%'
+         AND NOT coalesce(exists(raw_blocks, b -> NOT b.is_object), false) THEN 'ok'
+    ELSE 'bad' END"""
+
+# Calls, and results that are no plain text, need their exact JSON text.
+_NEEDS_TEXT = """status = 'ok' AND exists(raw_blocks,
+    b -> b.kind = 'tool_use' OR (b.kind = 'tool_result' AND b.shape != 'STRING'))"""
+
+_TOOL_BLOCKS = """filter(transform(raw_blocks, (b, i) -> struct(
+    i AS block_idx, b.kind AS kind, b.tool_name AS tool_name, b.link AS link,
+    get(texts, i).args_json AS args_json, get(texts, i).skill AS skill, get(texts, i).skill_args AS skill_args,
+    CASE WHEN b.kind != 'tool_result' THEN NULL
+         WHEN b.shape = 'STRING' THEN CAST(b.content_chars AS BIGINT)
+         ELSE coalesce(get(texts, i).size, 2L) END AS size,
+    NOT b.is_error AS ok)), b -> b.kind IN ('tool_use', 'tool_result')) AS blocks"""
+
+_LINE_COLUMNS = [
+    "path", "block", "line", "status",
+    "status = 'ok' AND type != 'ai-title' AS is_event",
+    "type",
+    f"coalesce(nullif({_field('timestamp')}, ''), nullif({_field('ts')}, ''), '') AS ts",
+    f"coalesce(nullif({_field('uuid')}, ''), nullif({_field('leafUuid')}, '')) AS uuid",
+    f"{_field('parentUuid')} AS parent_uuid",
+    f"{_field('subtype')} AS subtype",
+    f"{_truthy(_field('isSidechain'))} AS is_sidechain",
+    f"{_truthy(_field('isMeta'))} AS is_meta",
+    f"{_field('message.role')} AS role",
+    f"nullif({_field('message.model')}, '') AS model",
+    f"{_field('aiTitle')} AS ai_title",
+    f"{_field('message.usage.input_tokens', 'bigint')} AS input_tokens",
+    f"{_field('message.usage.output_tokens', 'bigint')} AS output_tokens",
+    f"{_field('message.usage.cache_read_input_tokens', 'bigint')} AS cache_read",
+    f"{_field('message.usage.cache_creation_input_tokens', 'bigint')} AS cache_creation",
+    f"{_field('durationMs', 'bigint')} AS duration_ms",
+    "CAST(length(payload) AS BIGINT) AS text_len",
+    f"substring(head, 1, {HEAD_CHARS}) AS text_head",
+    "slash",
+    _TOOL_BLOCKS,
+]
+
+
 def parse_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS,
                 scrub_first: bool = False) -> DataFrame:
     """One typed row per line: status, event fields, content blocks.
@@ -31,106 +98,25 @@ def parse_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS,
     items that are not objects).  ``scrub_first`` redacts message heads before they
     are cut.
     """
-    get = lambda p, t="string": F.try_variant_get("v", "$.line." + p, t)
-    text = F.col("text")
-    df = lines.withColumn("text", strip(F.col("value"))).withColumn("v", read_json(text))
-    df = df.withColumn("items", get("message.content", "array<variant>"))
-    blocks = F.transform(
-        "items",
-        lambda b: F.struct(
-            F.try_variant_get(b, "$.type", "string").alias("kind"),
-            F.try_variant_get(b, "$.text", "string").alias("text"),
-            F.try_variant_get(b, "$.name", "string").alias("name"),
-            F.coalesce(
-                F.try_variant_get(b, "$.id", "string"),
-                F.try_variant_get(b, "$.tool_use_id", "string"),
-            ).alias("link"),
-            truthy(b, "$.is_error").alias("is_error"),
-            F.schema_of_variant(F.try_variant_get(b, "$.content", "variant")).alias("shape"),
-            F.schema_of_variant(b).startswith("OBJECT").alias("is_object"),
-            F.try_variant_get(b, "$.content", "string").alias("content"),
-        ),
-    )
-    df = df.withColumn("raw_blocks", blocks)
-    one_text = F.when(
-        F.col("items").isNull()
-        & (F.schema_of_variant(get("message.content", "variant")) == "STRING"),
-        get("message.content"),
-    )
-    payload = F.coalesce(
-        one_text,
-        F.array_join(
-            F.transform(
-                F.filter("raw_blocks", lambda b: b.kind == "text"),
-                lambda b: F.coalesce(b.text, F.lit("")),
-            ),
-            "\n",
-        ),
-    )
-    ok = (
-        F.coalesce(F.try_variant_get("v", "$.line_end", "boolean"), F.lit(False))
-        & text.startswith("{")
-        & ~F.coalesce(F.exists("raw_blocks", lambda b: ~b.is_object), F.lit(False))
-    )
+    payload = F.col("payload")
+    df = lines.withColumn("text", strip(F.col("value"))).withColumn("v", read_json(F.col("text")))
+    df = df.withColumn("items", F.expr(_field("message.content", "array<variant>")))
+    df = df.withColumn("raw_blocks", F.expr(_RAW_BLOCKS))
     df = df.withColumns(
         {
-            "status": F.when(text == "", "blank").when(ok, "ok").otherwise("bad"),
-            "payload": F.nullif(payload, F.lit("")),
+            "payload": F.expr(_PAYLOAD),
+            "status": F.expr(_STATUS),
+            "type": F.expr(f"coalesce({_field('type')}, 'other')"),
         }
     )
-    odd_result = lambda b: (b.kind == "tool_result") & (
-        F.coalesce(b.shape, F.lit("VOID")) != "STRING"
-    ) & b.shape.isNotNull()
-    needs_text = F.exists("raw_blocks", lambda b: (b.kind == "tool_use") | odd_result(b))
-    df = df.withColumn(
-        "texts", block_texts(F.when((F.col("status") == "ok") & needs_text, text), args_chars)
-    )
-    tool_blocks = F.filter(
-        F.transform(
-            "raw_blocks",
-            lambda b, i: F.struct(
-                i.alias("block_idx"),
-                b.kind.alias("kind"),
-                F.coalesce(F.nullif(b["name"], F.lit("")), F.lit("unknown")).alias("tool_name"),
-                b.link.alias("link"),
-                F.get("texts", i).args_json.alias("args_json"),
-                F.get("texts", i).skill.alias("skill"),
-                F.get("texts", i).skill_args.alias("skill_args"),
-                F.when(b.kind == "tool_result",
-                       F.when(b.shape == "STRING", F.length(b.content).cast("bigint"))
-                       .otherwise(F.coalesce(F.get("texts", i).size, F.lit(2).cast("bigint")))
-                       ).alias("size"),
-                (~b.is_error).alias("ok"),
-            ),
-        ),
-        lambda b: b.kind.isin("tool_use", "tool_result"),
-    )
-    kind = F.coalesce(get("type"), F.lit("other"))
-    usage = "message.usage."
-    return df.select(
-        "path", "block", "line", "status",
-        ((F.col("status") == "ok") & (kind != "ai-title")).alias("is_event"),
-        kind.alias("type"),
-        F.coalesce(first_non_empty(get("timestamp"), get("ts")), F.lit("")).alias("ts"),
-        first_non_empty(get("uuid"), get("leafUuid")).alias("uuid"),
-        get("parentUuid").alias("parent_uuid"),
-        get("subtype").alias("subtype"),
-        truthy(F.col("v"), "$.line.isSidechain").alias("is_sidechain"),
-        truthy(F.col("v"), "$.line.isMeta").alias("is_meta"),
-        get("message.role").alias("role"),
-        F.nullif(get("message.model"), F.lit("")).alias("model"),
-        get("aiTitle").alias("ai_title"),
-        get(usage + "input_tokens", "bigint").alias("input_tokens"),
-        get(usage + "output_tokens", "bigint").alias("output_tokens"),
-        get(usage + "cache_read_input_tokens", "bigint").alias("cache_read"),
-        get(usage + "cache_creation_input_tokens", "bigint").alias("cache_creation"),
-        get("durationMs", "bigint").alias("duration_ms"),
-        F.length("payload").cast("bigint").alias("text_len"),
-        F.substring(scrub(F.col("payload")) if scrub_first else F.col("payload"), 1, HEAD_CHARS)
-        .alias("text_head"),
-        F.when(kind == "user", slash_command(F.col("payload"))).alias("slash"),
-        tool_blocks.alias("blocks"),
+    df = df.withColumns(
+        {
+            "head": scrub(payload) if scrub_first else payload,
+            "slash": F.when(F.col("type") == "user", slash_command(payload)),
+            "texts": block_texts(F.when(F.expr(_NEEDS_TEXT), F.col("text")), args_chars),
+        }
     )
+    return df.selectExpr(*_LINE_COLUMNS)
 
 
 def bad_lines(parsed: DataFrame) -> DataFrame:
