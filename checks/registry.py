@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.functions.scratch import written
+from sessionlog.functions.scratch import scratch_path, written
 from sessionlog.functions.text import normalize_path, scrub
 from sessionlog.operators import incremental, parse
 from sessionlog.operators.payloads import build_payloads, get_payload
@@ -24,8 +23,10 @@ from sessionlog.plans import dashboard as boards
 from sessionlog.plans import evidence
 from sessionlog.plans import queries as named
 from sessionlog.schemas import json_text
+from sessionlog.sources import jsonl
 from sessionlog.sources.jsonl import path_facts
 from sessionlog.sources.signatures import load_signatures, longest
+from sessionlog.sources.store import DAY, SessionStore, day_of
 
 from .frames import SIGNATURES, Frames, table
 
@@ -33,8 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def _query(fn: Callable[[Frames], DataFrame]):
-    """Register a query on the derived frames under the function's name."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Frames(spark, sf_dir))
+    """Register a query on the derived frames under the function's name (less a final '_')."""
+    QUERIES[fn.__name__.rstrip("_")] = lambda spark, sf_dir: fn(Frames(spark, sf_dir))
     return fn
 
 
@@ -63,9 +64,6 @@ def path_facts_(f: Frames) -> DataFrame:
     return f.raw.select(f.path.alias("path")).distinct().select(*[c.alias(n) for n, c in facts.items()])
 
 
-QUERIES["path_facts"] = QUERIES.pop("path_facts_")
-
-
 @_query
 def select_new(f: Frames) -> DataFrame:
     sessions = _with_paths(f)
@@ -112,16 +110,44 @@ def load_signatures_(f: Frames) -> DataFrame:
     )
 
 
-QUERIES["load_signatures"] = QUERIES.pop("load_signatures_")
+@_query
+def read_session_lines(f: Frames) -> DataFrame:
+    """The events written as text files in session order, and read back in file order."""
+    folder = scratch_path(f.spark)
+    rows = f.positioned.select("session_id", "pos", F.to_json(F.struct("session_id", "type", "pos")).alias("value"))
+    (
+        rows.repartitionByRange("session_id", "pos").sortWithinPartitions("session_id", "pos")
+        .select("value").write.text(folder)
+    )
+    lines = jsonl.read_session_lines(f.spark, folder, "*.txt")
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    at = F.struct("path", "block", "line")
+    return lines.groupBy(field("session_id").alias("session_id")).agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.min_by(field("type"), at).alias("first_type"), F.max_by(field("type"), at).alias("last_type"))
 
 
-# -- parse ------------------------------------------------------------------
+@_query
+def session_store(f: Frames) -> DataFrame:
+    """All events stored, then a quarter of the sessions replaced, then read back."""
+    store = SessionStore(f.spark, scratch_path(f.spark))
+    days = f.sessions.select("session_id", day_of(F.col("started_at")).alias(DAY))
+    events = f.events.join(days, "session_id")
+    store.replace({"sessions": f.sessions.join(days, "session_id"), "events": events}, days)
+    again = days.filter(_number(f) % 4 == 0)
+    changed = events.join(again.select("session_id"), "session_id", "left_semi")
+    store.replace({"events": changed.filter(F.col("type") != "system")}, again)
+    return store.table("events").select("event_id", "session_id", "type")
 
 
 @_query
-def read_session_lines(f: Frames) -> DataFrame:
-    return f.lines.select(path_facts(F.col("path"))["session_id"].alias("session_id")).groupBy(
-        "session_id").agg(F.count(F.lit(1)).alias("lines"))
+def write_json(f: Frames) -> DataFrame:
+    folder = scratch_path(f.spark)
+    boards.write_json(named.sessions_by_project(f.sessions), folder)
+    return f.spark.read.schema("project string, sessions bigint").json(folder)
+
+
+# -- parse ------------------------------------------------------------------
 
 
 @_query
@@ -220,9 +246,6 @@ def scrub_(f: Frames) -> DataFrame:
     return _corpus(f).select("doc_id", scrub(F.col("text")).alias("text"))
 
 
-QUERIES["scrub"] = QUERIES.pop("scrub_")
-
-
 @_query
 def normalize_path_(f: Frames) -> DataFrame:
     pages = table(f.spark, f.sf_dir, "pages")
@@ -230,9 +253,6 @@ def normalize_path_(f: Frames) -> DataFrame:
                         normalize_path(F.col("html"), "<p").alias("html"))
 
 
-QUERIES["normalize_path"] = QUERIES.pop("normalize_path_")
-
-
 def _payloads(f: Frames) -> DataFrame:
     return build_payloads(table(f.spark, f.sf_dir, "documents"), "text")
 
@@ -242,18 +262,12 @@ def build_payloads_(f: Frames) -> DataFrame:
     return _payloads(f)
 
 
-QUERIES["build_payloads"] = QUERIES.pop("build_payloads_")
-
-
 @_query
 def get_payload_(f: Frames) -> DataFrame:
     wanted = _payloads(f).agg(F.min("hash")).first()[0]
     return get_payload(_payloads(f), wanted)
 
 
-QUERIES["get_payload"] = QUERIES.pop("get_payload_")
-
-
 # -- signals ----------------------------------------------------------------
 
 
