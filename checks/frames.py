@@ -249,28 +249,28 @@ class Frames:
             F.lit(',"model":"m'), (k % 3).cast("string"), F.lit('","usage":'), usage,
             F.lit(',"content":'), content, F.lit("}}"),
         )
-        rows = self.positioned.withColumn("lines", F.array(
+        texts_of_event = F.array(
             value,
             F.when((et == "error") & (k % 10 == 0),
                    F.concat(F.lit('{"type":"ai-title","aiTitle":"t'), k.cast("string"), F.lit('"}'))),
             F.when((et == "error") & (k % 10 == 1), F.lit("  \t ")),
             F.when((et == "error") & (k % 10 == 2), F.concat(value, F.lit("}"))),
             F.when((et == "error") & (k % 10 == 3), F.lit("[1]")),
-        ))
-        rows = rows.select(
-            "session_id", "user_id", "pos", F.posexplode("lines").alias("i", "line_text")
+        )
+        rows = self.positioned.select(
+            "session_id", "user_id", "pos", F.posexplode(texts_of_event).alias("i", "line_text")
         ).filter(F.col("line_text").isNotNull())
         rows = rows.withColumn("at", F.col("pos").cast("bigint") * 8 + F.col("i"))
         return self._lines(rows, "at", self.path, F.col("line_text"), self.heavy)
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return parse.parse_lines(self.lines)
+        """The parsed lines, written out as the ingest job does."""
+        return written(parse.parse_lines(self.lines))
 
-    def stage(self) -> "Frames":
-        """Write the parsed lines out, as loading does, for queries that read them several times."""
-        self.parsed = written(self.parsed)
-        return self
+    @cached_property
+    def talk_parsed(self) -> DataFrame:
+        return written(parse.parse_lines(self.talk_lines))
 
     @property
     def split_files(self) -> bool:

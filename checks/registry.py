@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.functions.scratch import scratch_path, written
+from sessionlog.functions.scratch import scratch_path
 from sessionlog.functions.text import normalize_path, scrub
 from sessionlog.operators import incremental, parse
 from sessionlog.operators.payloads import build_payloads, get_payload
@@ -176,7 +176,7 @@ def explode_blocks(f: Frames) -> DataFrame:
 
 @_query
 def text_payload(f: Frames) -> DataFrame:
-    rows = parse.parse_lines(f.talk_lines).filter("is_event")
+    rows = f.talk_parsed.filter("is_event")
     return rows.select(path_facts(F.col("path"))["session_id"].alias("session_id"), "ts", "type",
                        "text_len", "text_head")
 
@@ -213,7 +213,7 @@ def followed_by_tools(f: Frames) -> DataFrame:
 
 @_query
 def skill_invocations(f: Frames) -> DataFrame:
-    return json_text(f.stage().parsed_skills.select(
+    return json_text(f.parsed_skills.select(
         "session_id", "ts", "skill_name", "args", "triggered_by", "followed_by_tools"))
 
 
@@ -370,7 +370,7 @@ def timeline_view_tools_only(f: Frames) -> DataFrame:
 
 @_query
 def timeline_snippets(f: Frames) -> DataFrame:
-    rows = parse.normalize_events(parse.with_positions(parse.parse_lines(f.talk_lines), bool(f.talk_heavy.keys)))
+    rows = parse.normalize_events(parse.with_positions(f.talk_parsed, bool(f.talk_heavy.keys)))
     timeline = rows.withColumns({"tool_name": F.lit(None).cast("string"), "whole_id": F.col("session_id")})
     return named.timeline_view(timeline, verbose=True).select(F.col("from").alias("session_id"), "time", "head")
 
@@ -416,7 +416,7 @@ def dashboard(f: Frames) -> DataFrame:
 
 def _talk(f: Frames) -> tuple[DataFrame, DataFrame]:
     """Skill invocations and sessions of the conversation lines."""
-    parsed = written(parse.parse_lines(f.talk_lines))
+    parsed = f.talk_parsed
     split = bool(f.talk_heavy.keys)
     skills = parse.tool_skills(parse.tool_calls(parse.with_positions(parsed, split), split))
     return skills, parse.session_rollup(parsed)

@@ -96,7 +96,8 @@ def parse_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS,
 
     ``status`` is ok, blank, or bad (not a JSON object, or a content list with
     items that are not objects).  ``scrub_first`` redacts message heads before they
-    are cut.
+    are cut.  Write the result out before filtering or reading it more than once:
+    filters on it would parse again.
     """
     payload = F.col("payload")
     df = lines.withColumn("text", strip(F.col("value"))).withColumn("v", read_json(F.col("text")))

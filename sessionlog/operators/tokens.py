@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import read_json
+from ..functions.once import computed_once
 from ..functions.ordered import HeavyKeys, ordered, running_last, running_max
 from .sequences import CALL_ORDER
 
@@ -104,9 +105,9 @@ def signal_redundant_reads(calls: DataFrame, heavy: HeavyKeys | None = None) ->
 
     The count is that of the redundant reads plus the first one.
     """
+    path = F.try_variant_get(read_json(F.col("args_json")), "$.line.file_path", "string")
     rows = (
-        calls.filter(F.col("tool_name").isin("Read", "Edit"))
-        .withColumn("file_path", F.try_variant_get(read_json(F.col("args_json")), "$.line.file_path", "string"))
+        computed_once(calls.filter(F.col("tool_name").isin("Read", "Edit")), {"file_path": path})
         .filter(F.col("file_path") != "")
         .select("session_id", "file_path", "tool_name", *CALL_ORDER)
     )

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import keep_matching
 from ..functions.jsontext import _encodable, read_json, truthy
+from ..functions.once import computed_once
 from ..functions.ordered import HeavyKeys, ordered
+from ..functions.scratch import written
 from ..functions.text import EXIT_TAG, normalize_path, scrub, strip
 from ..sources.jsonl import path_facts
 
@@ -34,11 +36,6 @@ def user_messages(lines: DataFrame, home_prefix: str = "") -> DataFrame:
     get = lambda p, t="string": F.try_variant_get("v", "$.line." + p, t)
     df = lines if "session_id" in lines.columns else _with_file(lines, home_prefix)
     df = df.withColumn("v", read_json(strip(F.col("value"))))
-    df = df.filter(
-        F.coalesce(F.try_variant_get("v", "$.line_end", "boolean"), F.lit(False))
-        & (get("type") == "user")
-        & ~truthy(F.col("v"), "$.line.isMeta")
-    )
     items = get("message.content", "array<struct<type string, text string>>")
     content = F.when(
         items.isNotNull(),
@@ -47,12 +44,16 @@ def user_messages(lines: DataFrame, home_prefix: str = "") -> DataFrame:
             "\n",
         ),
     ).when(F.schema_of_variant(get("message.content", "variant")) == "STRING", get("message.content"))
-    return (
-        df.withColumn("text", content)
-        .filter(strip(F.col("text")) != "")
-        .select("path", "session_id", "cwd", "block", "line",
-                F.coalesce(get("timestamp"), F.lit("")).alias("ts"), "text")
+    df = computed_once(
+        df.select("path", "session_id", "cwd", "block", "line", "v"),
+        {
+            "is_message": F.coalesce(F.try_variant_get("v", "$.line_end", "boolean"), F.lit(False))
+            & (get("type") == "user") & ~truthy(F.col("v"), "$.line.isMeta"),
+            "ts": F.coalesce(get("timestamp"), F.lit("")),
+            "text": content,
+        },
     )
+    return df.filter(F.col("is_message") & (strip(F.col("text")) != "")).drop("v", "is_message")
 
 
 def _invocation(line: str) -> str:
@@ -87,11 +88,14 @@ def invocation_text(lines: DataFrame, invocations: DataFrame, home_prefix: str =
     df = lines if "session_id" in lines.columns else _with_file(lines, home_prefix)
     df = df.withColumn("v", read_json(strip(F.col("value"))))
     shape = F.schema_of_variant(get("message.content", "variant"))
-    df = df.withColumn("ts", get("timestamp")).filter(
-        F.coalesce(F.try_variant_get("v", "$.line_end", "boolean"), F.lit(False))
-        & F.col("ts").isNotNull()
-        & ((shape == "STRING") | shape.startswith("ARRAY"))
-    )
+    df = computed_once(
+        df.select("path", "session_id", "cwd", "block", "line", "value", "v"),
+        {
+            "has_content": F.coalesce(F.try_variant_get("v", "$.line_end", "boolean"), F.lit(False))
+            & ((shape == "STRING") | shape.startswith("ARRAY")),
+            "ts": get("timestamp"),
+        },
+    ).filter(F.col("has_content") & F.col("ts").isNotNull()).drop("v")
     keys = [*FILE, "ts"]
     chosen = (
         df.join(invocations.select(*keys).distinct(), keys, "left_semi")
@@ -144,7 +148,8 @@ def skill_evidence(skill: str, lines: DataFrame, skills: DataFrame, sessions: Da
 
     ``with_children`` false leaves the texts of child sessions empty.
     """
-    found = (
+    # Read several times below, and small against the tables it comes from.
+    found = written(
         skills.filter(matches_skill(F.col("skill_name"), skill))
         .select("session_id", "ts")
         .groupBy("session_id", "ts")
@@ -154,7 +159,8 @@ def skill_evidence(skill: str, lines: DataFrame, skills: DataFrame, sessions: Da
     located = _with_file(lines, home_prefix, home)
     if not with_children:
         located = located.filter(~F.col("is_subagent"))
-    mine = keep_matching(located, found, FILE)
+    # The raw lines are scanned once; what follows reads the lines of these sessions.
+    mine = written(keep_matching(located, found, FILE))
     keys = [*FILE, "ts"]
     asked = invocation_text(mine, found)
     after = followups(user_messages(mine), found, window, heavy)

@@ -28,15 +28,16 @@ from ..sources.store import DAY, SessionStore, day_of
 
 def ingest(spark: SparkSession, projects_root: str, store: SessionStore, home_prefix: str = "",
            home: str = "", pair_by: str = "order", scrub_first: bool = False,
-           full_args: bool = False) -> DataFrame:
+           full_args: bool = False, modified_after: str | None = None) -> DataFrame:
     """Load new and grown sessions; returns the counts (sessions_ingested, skipped, total).
 
     A second run over the same files loads nothing.  The manifest is written last,
     so a run that broke off is simply run again.  ``full_args`` keeps whole
     arguments for the payloads; ``scrub_first`` redacts before cutting, not after.
+    ``modified_after`` looks only at files changed since then, and counts only those.
     """
-    split = has_split_files(spark, projects_root)
-    lines = read_session_lines(spark, projects_root)
+    split = has_split_files(spark, projects_root, modified_after=modified_after)
+    lines = read_session_lines(spark, projects_root, modified_after=modified_after)
     args_chars = None if full_args or scrub_first else parse.ARGS_CHARS
     # Every line is parsed once; all tables derive from this one.
     parsed = written(parse.parse_lines(lines, args_chars, scrub_first))

@@ -12,17 +12,22 @@ _CHILD = rf"/([^/]*)/({UUID_PATTERN})/{SUBAGENT_DIR}/[^/]*$"
 _PARENT = r"(?:^|/)([^/]*)/[^/]*$"
 
 
-def read_session_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
+def _reader(spark: SparkSession, glob: str, modified_after: str | None):
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    return reader.option("modifiedAfter", modified_after) if modified_after else reader
+
+
+def read_session_lines(spark: SparkSession, root: str, glob: str = "*.jsonl",
+                       modified_after: str | None = None) -> DataFrame:
     """Lines of all session files below ``root``: path, block, line, value.
 
     Files are read in splits, so one very long session does not go through one
     task.  ``line`` grows along a split.  ``block`` is '' for a file that fits
     one split, else the zero-padded start of the split; ``(block, line)`` is the
-    line order of a file.
+    line order of a file.  ``modified_after`` (a timestamp) leaves older files unread.
     """
     raw = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
+        _reader(spark, glob, modified_after)
         .text(root)
         .select(
             "value",
@@ -45,13 +50,13 @@ def read_session_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") ->
     )
 
 
-def has_split_files(spark: SparkSession, root: str, glob: str = "*.jsonl") -> bool:
+def has_split_files(spark: SparkSession, root: str, glob: str = "*.jsonl",
+                    modified_after: str | None = None) -> bool:
     """Whether any session file may be read in several splits (looks at the listing only)."""
     smallest_split = 1 << 20
     files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
+        _reader(spark, glob, modified_after)
+        .format("binaryFile")
         .load(root)
         .filter(F.col("length") > smallest_split)
     )
