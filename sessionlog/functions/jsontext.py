@@ -15,35 +15,57 @@ SKILL_ARGS_CHARS = 512
 _BLOCK_TEXT = "array<struct<args_json: string, skill: string, skill_args: string, size: bigint>>"
 
 
-def _encodable(text: str) -> str:
-    return text.encode("utf-8", "replace").decode("utf-8")
+def block_texts(line: Column, args_chars: int | None = ARGS_CHARS) -> Column:
+    """Exact JSON texts of the content blocks of a line, in block order (null line: null)."""
+    # Inner functions travel to the executors by value; the package need not be there.
 
+    def encodable(text):
+        return text.encode("utf-8", "replace").decode("utf-8")
 
-def _block_texts(line: str | None, args_chars: int | None):
-    if line is None:
-        return None
-    out = []
-    for b in json.loads(line)["message"]["content"]:
+    def of_block(b):
         item = {"args_json": None, "skill": None, "skill_args": None, "size": None}
         if b.get("type") == "tool_use":
             given = b.get("input") or {}
-            item["args_json"] = _encodable(json.dumps(given, ensure_ascii=False)[:args_chars])
+            item["args_json"] = encodable(json.dumps(given, ensure_ascii=False)[:args_chars])
             if b.get("name") == "Skill":
                 given = given if isinstance(given, dict) else {}
-                item["skill"] = _encodable(str(given.get("skill", "unknown")))
+                item["skill"] = encodable(str(given.get("skill", "unknown")))
                 item["skill_args"] = json.dumps(given.get("args") or "")[:SKILL_ARGS_CHARS]
         elif b.get("type") == "tool_result" and not isinstance(b.get("content"), str):
             item["size"] = len(json.dumps(b.get("content") or ""))
-        out.append(item)
-    return out
-
+        return item
 
-def block_texts(line: Column, args_chars: int | None = ARGS_CHARS) -> Column:
-    """Exact JSON texts of the content blocks of a line, in block order (null line: null)."""
+    def of_line(text):
+        return [of_block(b) for b in json.loads(text)["message"]["content"]]
 
     @F.pandas_udf(_BLOCK_TEXT)
     def texts(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda v: _block_texts(v, args_chars), na_action="ignore")
+        return lines.map(of_line, na_action="ignore")
+
+    return texts(line)
+
+
+def invocation_texts(line: Column) -> Column:
+    """Text of a message line: its text blocks, and its Skill calls as JSON text."""
+
+    def of_block(b):
+        if not isinstance(b, dict):
+            return None
+        if b.get("type") == "text":
+            return b.get("text") or ""
+        if b.get("type") == "tool_use" and b.get("name") == "Skill":
+            return "[Skill tool_use] " + json.dumps(b.get("input") or {})
+        return None
+
+    def of_line(text):
+        content = json.loads(text)["message"]["content"]
+        if not isinstance(content, str):
+            content = "\n".join(t for t in map(of_block, content) if t is not None)
+        return content.encode("utf-8", "replace").decode("utf-8")
+
+    @F.pandas_udf("string")
+    def texts(lines: pd.Series) -> pd.Series:
+        return lines.map(of_line, na_action="ignore")
 
     return texts(line)
 

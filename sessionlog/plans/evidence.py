@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import keep_matching
-from ..functions.jsontext import _encodable, read_json, truthy
+from ..functions.jsontext import invocation_texts, read_json, truthy
 from ..functions.once import computed_once
 from ..functions.ordered import HeavyKeys, ordered
 from ..functions.scratch import written
@@ -56,29 +53,6 @@ def user_messages(lines: DataFrame, home_prefix: str = "") -> DataFrame:
     return df.filter(F.col("is_message") & (strip(F.col("text")) != "")).drop("v", "is_message")
 
 
-def _invocation(line: str) -> str:
-    content = json.loads(line)["message"]["content"]
-    if isinstance(content, str):
-        return _encodable(content)
-    parts = []
-    for b in content:
-        if not isinstance(b, dict):
-            continue
-        if b.get("type") == "text":
-            parts.append(b.get("text") or "")
-        elif b.get("type") == "tool_use" and b.get("name") == "Skill":
-            parts.append("[Skill tool_use] " + json.dumps(b.get("input") or {}))
-    return _encodable("\n".join(parts))
-
-
-def _invocation_texts(lines: Column) -> Column:
-    @F.pandas_udf("string")
-    def texts(values: pd.Series) -> pd.Series:
-        return values.map(_invocation, na_action="ignore")
-
-    return texts(lines)
-
-
 def invocation_text(lines: DataFrame, invocations: DataFrame, home_prefix: str = "") -> DataFrame:
     """Text of the first line at an invocation's time that has content, redacted.
 
@@ -103,7 +77,7 @@ def invocation_text(lines: DataFrame, invocations: DataFrame, home_prefix: str =
         .agg(F.min_by(F.struct("path", "value"), F.struct("block", "line")).alias("c"))
     )
     return chosen.select(
-        *keys, F.col("c.path").alias("path"), scrub(_invocation_texts(F.col("c.value"))).alias("invocation_text")
+        *keys, F.col("c.path").alias("path"), scrub(invocation_texts(F.col("c.value"))).alias("invocation_text")
     )
 
 
