@@ -14,12 +14,12 @@ from pyspark.sql.types import ArrayType
 from .functions.text import array_json
 
 
-def _table(ddl: str) -> dict[str, str]:
+def columns_of(ddl: str) -> dict[str, str]:
     """Column name -> type of a list of simple columns."""
     return dict(c.split(" ", 1) for c in ddl.split(", "))
 
 
-SESSIONS = _table(
+SESSIONS = columns_of(
     "session_id string, project string, cwd string, git_branch string, started_at string, "
     "ended_at string, duration_ms bigint, message_count int, total_input_tokens bigint, "
     "total_output_tokens bigint, total_cache_read_tokens bigint, "
@@ -27,30 +27,30 @@ SESSIONS = _table(
     "ingested_at timestamp, parent_session_id string, is_subagent boolean"
 )
 
-EVENTS = _table(
+EVENTS = columns_of(
     "event_id string, session_id string, parent_uuid string, ts string, type string, "
     "subtype string, is_sidechain boolean, is_meta boolean, role string, input_tokens bigint, "
     "output_tokens bigint, cache_read bigint, cache_creation bigint, duration_ms bigint, "
     "text_len bigint, text_head string, blob_hash string"
 )
 
-TOOL_CALLS = _table(
+TOOL_CALLS = columns_of(
     "event_id string, session_id string, ts string, tool_name string, args_json string, "
     "args_blob_hash string, result_size bigint, result_blob_hash string, success boolean, "
     "duration_ms bigint, retry_attempt int, position_in_session int, block_idx int"
 )
 
-SKILL_INVOCATIONS = _table(
+SKILL_INVOCATIONS = columns_of(
     "session_id string, ts string, skill_name string, args string, triggered_by string, "
     "followed_by_tools array<string>"
 )
 
-TOOL_SEQUENCES = _table(
+TOOL_SEQUENCES = columns_of(
     "session_id string, n int, sequence array<string>, count int, first_ts string, last_ts string"
 )
 
-PAYLOADS = _table("prefix string, hash string, content string")
-MANIFEST = _table("session_id string, last_ts string")
+PAYLOADS = columns_of("prefix string, hash string, content string")
+MANIFEST = columns_of("session_id string, last_ts string")
 
 SIGNALS = {
     "signal_bloat": "session_id string, event_id string, tool_name string, result_size bigint, "

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import written
 from ..operators.incremental import replace_sessions
-from ..schemas import BASE_TABLES, MANIFEST, PAYLOADS, SIGNALS, _table
+from ..schemas import BASE_TABLES, MANIFEST, PAYLOADS, SIGNALS, columns_of
 
 DAY = "day"
 #: Days touched by one load that are listed by name; above it all days are rewritten.
@@ -57,7 +57,7 @@ class SessionStore:
         return self._read("payloads", PAYLOADS)
 
     def signal(self, name: str) -> DataFrame:
-        return self._read(name, _table(SIGNALS[name]))
+        return self._read(name, columns_of(SIGNALS[name]))
 
     def tables(self) -> dict[str, DataFrame]:
         """All tables by name, as far as they are for reading by SQL."""
