@@ -198,3 +198,16 @@ def test_payloads(spark):
     assert get_payload(made, h).first()["content"] == "a" * 3000
     assert get_payload(made, "0" * 64).isEmpty()
     assert build_payloads(df, existing=made).isEmpty()
+
+
+def test_only_files_changed_since(spark, root):
+    assert read_session_lines(spark, root, modified_after="2100-01-01T00:00:00").isEmpty()
+    assert not read_session_lines(spark, root, modified_after="2001-01-01T00:00:00").isEmpty()
+
+
+def test_stored_columns(spark, positioned):
+    from sessionlog.schemas import EVENTS, TOOL_CALLS
+
+    assert parse.normalize_events(positioned).columns == list(EVENTS)
+    calls = parse.conform_calls(parse.tool_calls(positioned))
+    assert dict(calls.dtypes) == TOOL_CALLS
