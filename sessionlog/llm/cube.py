@@ -20,6 +20,9 @@ BLOCK = 2000
 #: Smallest units of a last block that take part on words alone.
 HELD = 40
 
+#: Samples of a last block at most, and how near (as a share of its words) is near enough.
+DRAWS, NEAR = 64, 0.002
+
 _EPS = 1e-9
 
 
@@ -76,13 +79,20 @@ def land(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarr
     The smallest units are held back from the flight on both sums, then all that are open fly on
     the words alone, the largest first: so the document total is given up before the words,
     and the last unit, drawn by its probability, is a small one.  Units come in falling size.
+    Of up to ``DRAWS`` such samples the one nearest to the expected words is taken.
     """
+    best, least, aim = None, np.inf, float(size @ pi)
     first = max(0, len(pi) - HELD)
-    pi = np.concatenate([fly(size[:first], pi[:first], rng), pi[first:]])
-    pi = fly(size, pi, rng, by_count=False)
-    open_ = (pi > _EPS) & (pi < 1 - _EPS)
-    pi[open_] = rng.random(int(open_.sum())) < pi[open_]
-    return np.round(pi)
+    for _ in range(DRAWS):
+        p = fly(size, np.concatenate([fly(size[:first], pi[:first], rng), pi[first:]]), rng, by_count=False)
+        open_ = (p > _EPS) & (p < 1 - _EPS)
+        p[open_] = rng.random(int(open_.sum())) < p[open_]
+        off = abs(float(size @ p) - aim)
+        if off < least:
+            best, least = np.round(p), off
+        if least <= NEAR * aim:
+            break
+    return best
 
 
 def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFrame:

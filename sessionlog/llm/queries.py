@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowseq, bpe, cube, hostrules, resample, wordpiece
+from . import arrowseq, bpe, cube, hostrules, knlm, resample, wordpiece
 from .common import load, shared_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def op6_rank_array_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(load(spark, sf_dir, "documents"), vocabulary_path())
 
 
+@_query
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knlm.train_and_score(load(spark, sf_dir, "documents"), shared_uri(spark)).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(load(spark, sf_dir, "documents"), vocabulary_path())
