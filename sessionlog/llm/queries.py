@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowseq, bpe, cube, hostrules, knlm, resample, wordpiece
+from . import arrowseq, bpe, cube, hostrules, knlm, repeats, resample, wordpiece
 from .common import load, shared_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(load(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@_query
+def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.drop_repeats(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
