@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowseq, bpe, cube, hostrules, knlm, repeats, resample, wordpiece
+from . import arrowseq, bpe, cube, hostrules, jaccard, knlm, pivots, repeats, resample, wordpiece
 from .common import load, shared_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.quality_filter(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+@_query
+def op2_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.mix(load(spark, sf_dir, "documents")).select(
@@ -72,6 +77,11 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@_query
+def op8_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(load(spark, sf_dir, "documents"))
+
+
 @_query
 def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(load(spark, sf_dir, "documents"), vocabulary_path())
