@@ -11,6 +11,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import map_chunks
 
@@ -257,18 +258,28 @@ def library_encoder(path: str) -> CachedEncoder:
     return _ENCODERS["library", path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """Every whole text as ids: doc_id, ids (binary, little-endian unsigned 32-bit).
+def encode(docs: DataFrame, path: str, carry: list[str] = ()) -> DataFrame:
+    """Every whole text as ids: doc_id, the columns ``carry``, n_tokens, ids (array of int).
 
     Null and empty texts have no ids.  Rows with equal ids, null ids or repeated texts are
     kept one by one; other columns are not looked at.
     """
+    kept = ["doc_id", *carry]
+
     def make():
         encoder, _ = rank_array_encoder(path)
-        return lambda b: {"doc_id": b.column("doc_id"), "ids": pa.array(
-            encoder.encode(b.column("text").to_pylist()), pa.binary())}
 
-    return map_chunks(docs, ["doc_id", "text"], "doc_id long, ids binary", make)
+        def run(batch: pa.RecordBatch) -> dict:
+            ids = encoder.encode(batch.column("text").to_pylist())
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            return {**{c: batch.column(c) for c in kept}, "n_tokens": np.diff(ends),
+                    "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)}
+
+        return run
+
+    schema = docs.select(*kept).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
+    return map_chunks(docs, [*kept, "text"], schema, make)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:

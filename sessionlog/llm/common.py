@@ -87,6 +87,16 @@ def map_chunks(df: DataFrame, columns: list[str], schema: str | StructType,
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``id`` (the doc_id, null as the smallest long) and ``tk`` (a hash of the text).
+
+    ``tk`` also tells a null id and a null text from others; rows with equal (id, tk) are equal rows.
+    """
+    return docs.withColumns({
+        "id": F.coalesce("doc_id", F.lit(-(1 << 63))),
+        "tk": F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.coalesce("text", F.lit("")))})
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, kept if executors are lost."""
     return written(df)

@@ -123,10 +123,10 @@ def targets(sources: DataFrame, weights: Sequence[float], most: float) -> DataFr
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 17,
-        block: int = BLOCK) -> DataFrame:
+        block: int = BLOCK, carry: list[str] = ()) -> DataFrame:
     """Copies of each document such that sources reach their target words.
 
-    Returns doc_id, source, size, source_size, target, copies, taken (size times copies).  A
+    Returns doc_id, source, size, source_size, target, copies, taken (size times copies), and the columns ``carry`` of ``docs``.  A
     document is taken ``target / source_size`` times on average: the whole part for certain,
     the fraction by the cube method, balanced on the words and the documents of its source.
     Sources are cut into blocks of about ``block`` documents by a hash of the id; each block
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     Repeated rows are drawn one by one.  An empty table gives an empty result.
     """
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
-    sized = cut_lineage(docs.select("doc_id", "source", key.alias("key"),
+    sized = cut_lineage(docs.select("doc_id", "source", *carry, key.alias("key"),
                                     F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     totals = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"),
                                                 F.sum((F.col("size") > 0).cast("long")).alias("n"))
@@ -184,4 +184,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
         level += 1
     copies = F.col("whole") + F.col("pi").cast("long")
     return settled.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-                          (F.col("size") * copies).alias("taken"))
+                          (F.col("size") * copies).alias("taken"), *carry)

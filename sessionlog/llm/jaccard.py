@@ -125,19 +125,22 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
     return rows["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and key (128-bit hash of the set; null for the empty set) of every row."""
+def set_rows(docs: DataFrame, width: int, carry: list[str] = ()) -> DataFrame:
+    """doc_id, ``carry``, n_shingles and key (128-bit hash of the set; null for the empty set) of every row."""
+    kept = ["doc_id", *carry]
+
     def make():
         def run(batch: pa.RecordBatch) -> dict:
             h, sizes = shingle_sets(batch.column("text").to_pylist(), width)
             ends = np.cumsum(sizes)
             keys = [xxhash.xxh128_digest(h[e - n:e].tobytes()) if n else None
                     for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            return {"doc_id": batch.column("doc_id"), "n_shingles": sizes, "key": pa.array(keys, pa.binary())}
+            return {**{c: batch.column(c) for c in kept}, "n_shingles": sizes, "key": pa.array(keys, pa.binary())}
 
         return run
 
-    return map_chunks(docs, ["doc_id", "text"], "doc_id long, n_shingles long, key binary", make)
+    schema = docs.select(*kept).schema.add("n_shingles", "long").add("key", "binary")
+    return map_chunks(docs, [*kept, "text"], schema, make)
 
 
 def prefix_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -206,8 +209,8 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -
     return cut_lineage(rows.mapInArrow(search, "a binary, b binary"))
 
 
-def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """Documents and their classes: doc_id, n_shingles, component_id.
+def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str] = ()) -> DataFrame:
+    """Documents and their classes: doc_id, n_shingles, component_id, and the columns ``carry`` of ``docs``.
 
     A document's set is its distinct shingles of ``width`` words in lower case (A-Z only);
     two documents link when 100 * shared >= percent * union.  ``component_id`` is the smallest
@@ -225,7 +228,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     the class of rows with an equal set; a set that only such rows have is not compared, and its
     component id is null.  Equal rows are kept one by one.  An empty table gives an empty result.
     """
-    rows = cut_lineage(set_rows(docs, width))
+    rows = cut_lineage(set_rows(docs, width, carry))
     lists = prefix_rows(docs, width, percent).dropDuplicates(["h", "key"])
     lists = cut_lineage(lists)
     held = lists.groupBy("h").agg(F.min(F.struct("key", "n")).alias("first"), F.count(F.lit(1)).alias("m")).filter(
@@ -261,7 +264,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     least = in_class.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return in_class.join(least, "component", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), *carry)
 
 
 def _own_text(named: DataFrame, width: int) -> DataFrame:

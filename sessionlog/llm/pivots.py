@@ -141,7 +141,7 @@ def linked(described: DataFrame, cosine: float, shared: int, block: int = BLOCK)
     return dealt.groupBy("label", "pivot", "low", "high").applyInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, shared: int = 4, nearest: int = NEAREST,
+def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, shared: int = 2, nearest: int = NEAREST,
                     pivots: int | None = None) -> DataFrame:
     """Vectors that nearly point the same way: vec_id, n_links, component_id, kept.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, cut_lineage, map_chunks, mix64
+from .common import CHUNK_BYTES, chunks, cut_lineage, map_chunks, mix64, with_row_key
 
 #: Bytes of an anchor, the first digit that suffixes are dealt by.
 ANCHOR = 16
@@ -150,14 +150,6 @@ def _ranges(flags: np.ndarray, sizes: np.ndarray) -> tuple[list[list[int]], list
             [place[ends[a:b]].tolist() for a, b in zip(cuts, cuts[1:], strict=False)])
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """Rows by (id, tk): the id, null as the smallest long, and a hash that tells null from it and texts apart."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        "doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"),
-        F.xxhash64(F.col("doc_id").isNull(), text).alias("tk"))
-
-
 def repeated_spans(keyed: DataFrame, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """Texts with a repeated anchor (id, tk, text), and the runs of repeated windows (id, tk, starts, ends)."""
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,11 +308,12 @@ def cover(starts: list[int], ends: list[int], length: int) -> list[tuple[int, in
     return [(s, e) for s, e in out]
 
 
-def drop_repeats(docs: DataFrame, length: int = 200, hot: int = HOT, keep_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 200, hot: int = HOT, keep_text: bool = False,
+                 carry: list[str] = ()) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that starts anywhere else, too.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end) and,
-    with ``keep_text``, kept (binary).  Texts are UTF-8 bytes; windows never cross texts, may
+    with ``keep_text``, kept (binary); also the columns ``carry`` of ``docs``.  Texts are UTF-8 bytes; windows never cross texts, may
     overlap in one text, and are judged on the input.
 
     Suffixes are first dealt by their anchor (see :class:`Scan`): counts of anchors, added up
@@ -332,7 +325,7 @@ def drop_repeats(docs: DataFrame, length: int = 200, hot: int = HOT, keep_text:
     Null and empty texts and those shorter than ``length`` lose nothing.  Null ids are kept,
     equal rows count as copies of each other.  An empty table gives an empty result.
     """
-    keyed = _key(docs)
+    keyed = with_row_key(docs.select("doc_id", "text", *carry)).withColumn("text", F.coalesce("text", F.lit("")))
     marked, spans = repeated_spans(keyed, length, hot)
 
     def remove():
@@ -360,10 +353,10 @@ def drop_repeats(docs: DataFrame, length: int = 200, hot: int = HOT, keep_text:
     changed = map_chunks(joined, ["id", "tk", "text", "starts", "ends"], "id long, tk long, n_removed long, "
                          "spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string", remove)
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    base = keyed.select("doc_id", "id", "tk", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"),
+    base = keyed.select("doc_id", "id", "tk", *carry, F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"),
                         *([F.col("text").cast("binary").alias("whole")] if keep_text else []))
     result = base.join(changed, ["id", "tk"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        "doc_id", *carry, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long").alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "spans",
         *([F.coalesce("kept", "whole").alias("kept")] if keep_text else []))

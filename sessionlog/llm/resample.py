@@ -211,8 +211,8 @@ def _ordered_bits(batches):
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, seed: int = 11, temperature: float = 0.02,
-                   fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Importance resampling of documents: doc_id, log_weight, gumbel_key, kept.
+                   fit_rows: int = FIT_ROWS, carry: list[str] = ()) -> DataFrame:
+    """Importance resampling of documents: doc_id, log_weight, gumbel_key, kept, and columns ``carry`` of ``docs``.
 
     The target model is fitted on whole labelled documents of quality 1 that are not toxic, the
     raw model on all documents.  How many are drawn (k) is the number of documents whose log
@@ -227,9 +227,9 @@ def quality_filter(docs: DataFrame, labels: DataFrame, seed: int = 11, temperatu
     """
     marks = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
         F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    marked = docs.select("doc_id", "text").join(marks, "doc_id", "left")
+    marked = docs.select("doc_id", "text", *carry).join(marks, "doc_id", "left")
     table = log_ratios(bucket_counts(marked.select("text", F.coalesce("good", F.lit(False)).alias("target"))))
-    scored = cut_lineage(log_weights(marked, table, ["doc_id", "good"]))
+    scored = cut_lineage(log_weights(marked, table, ["doc_id", "good", *carry]))
     known = scored.filter("good is not null")
     n = known.count()
     if n > fit_rows:
@@ -242,4 +242,4 @@ def quality_filter(docs: DataFrame, labels: DataFrame, seed: int = 11, temperatu
     k = keyed.filter(F.col("log_weight") >= F.lit(bar)).count()
     last = kth_largest(keyed.select(F.col("gumbel_key").alias("value")), k)
     kept = F.lit(False) if last is None else F.col("gumbel_key") >= F.lit(last)
-    return keyed.select("doc_id", "log_weight", "gumbel_key", kept.alias("kept"))
+    return keyed.select("doc_id", "log_weight", "gumbel_key", kept.alias("kept"), *carry)
