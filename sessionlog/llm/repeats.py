@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, chunks, cut_lineage, map_chunks, mix64, with_row_key
 
-#: Bytes of an anchor, the first digit that suffixes are dealt by.
-ANCHOR = 16
+#: Bytes of an anchor at most, the first digit that suffixes are dealt by.  Shorter ones are
+#: rarer in a text but found again by chance.
+ANCHOR = 64
 
 #: Different contexts of one anchor above which its windows are dealt one by one.
 HOT = 20_000
@@ -24,8 +25,13 @@ SORT_BYTES = 1 << 23
 _PLACE = (1 << 23) - 1
 
 
+def anchor_size(length: int) -> int:
+    """The largest power of two up to a third of ``length`` and ``ANCHOR``."""
+    return 1 << (max(1, min(ANCHOR, length // 3)).bit_length() - 1)
+
+
 class Scan:
-    """Anchors of many texts: the least-hashed 16 bytes of each window of ``length`` bytes.
+    """Anchors of many texts: the least-hashed few bytes of each window of ``length`` bytes.
 
     Which anchor a window has depends on its bytes alone, so equal windows have equal anchors
     at equal distance.  ``doc, p, first, last, hash`` describe each anchor: its text, place,
@@ -55,15 +61,15 @@ class Scan:
     @staticmethod
     def _scan(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
         data = np.frombuffer(b"".join(b for _, _, b in pieces), np.uint8)
-        n = len(data)
+        n, anchor_bytes = len(data), anchor_size(length)
         lens = np.array([len(b) for _, _, b in pieces])
         ends = np.cumsum(lens)
         h, k = data.astype(np.uint64) + np.uint64(1), 1
-        while k < ANCHOR:
+        while k < anchor_bytes:
             h[:n - k] = mix64(h[:n - k], h[k:])
             k *= 2
         m = (h & ~np.uint64(_PLACE)) | np.arange(n, dtype=np.uint64)
-        wide, k = length - ANCHOR + 1, 1
+        wide, k = length - anchor_bytes + 1, 1
         while k * 2 <= wide:
             m[:n - k] = np.minimum(m[:n - k], m[k:])
             k *= 2
