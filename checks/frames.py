@@ -34,6 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def two_digits(n):
+    return F.lpad(n.cast("string"), 2, "0")
+
+
 def iso(ts):
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
@@ -256,6 +260,12 @@ class Frames:
             F.when((et == "error") & (k % 10 == 1), F.lit("  \t ")),
             F.when((et == "error") & (k % 10 == 2), F.concat(value, F.lit("}"))),
             F.when((et == "error") & (k % 10 == 3), F.lit("[1]")),
+            # Titles with a key given twice, with NaN, and beside an item that is no object.
+            F.when((et == "error") & (k % 10 == 0),
+                   F.concat(F.lit('{"type":"x","type":"ai-title","aiTitle":"u'), k.cast("string"), F.lit('"}'))),
+            F.when((et == "error") & (k % 10 == 4), F.lit('{"type":"ai-title","aiTitle":"n","durationMs":NaN}')),
+            F.when((et == "error") & (k % 10 == 5),
+                   F.lit('{"type":"ai-title","aiTitle":"i","message":{"content":["bare",{"type":"text","text":"t"}]}}')),
         )
         rows = self.positioned.select(
             "session_id", "user_id", "pos", F.posexplode(texts_of_event).alias("i", "line_text")
@@ -319,7 +329,8 @@ class Frames:
             F.col("turn") % 2 == 1, two).otherwise(one)
         head = F.to_json(F.struct(
             F.col("role").alias("type"),
-            F.concat(F.lit("2026-01-01T00:00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit("Z"))
+            F.concat(F.lit("2026-01-01T"), two_digits(F.floor(F.col("turn") / 3600)), F.lit(":"),
+                     two_digits(F.floor(F.col("turn") / 60) % 60), F.lit(":"), two_digits(F.col("turn") % 60), F.lit("Z"))
             .alias("timestamp"),
         ))
         value = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"message":'), message, F.lit("}"))

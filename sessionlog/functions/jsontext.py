@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lengths at which stored argument text is cut.
@@ -36,7 +36,8 @@ def block_texts(line: Column, args_chars: int | None = ARGS_CHARS) -> Column:
         return item
 
     def of_line(text):
-        return [of_block(b) for b in json.loads(text)["message"]["content"]]
+        # As in the JVM: items that are no objects are left out.
+        return [of_block(b) for b in json.loads(text)["message"]["content"] if isinstance(b, dict)]
 
     @F.pandas_udf(_BLOCK_TEXT)
     def texts(lines: pd.Series) -> pd.Series:
@@ -70,6 +71,41 @@ def invocation_texts(line: Column) -> Column:
     return texts(line)
 
 
+def plain_json(line: Column) -> Column:
+    """A line as JSON that VARIANT takes: the last of equal keys, null for NaN and infinities.
+
+    Null where the line is no JSON, or null.
+    """
+
+    def plain(value):
+        if isinstance(value, dict):
+            return {k: plain(v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [plain(v) for v in value]
+        return None if isinstance(value, float) and (value != value or abs(value) == float("inf")) else value
+
+    def of_line(text):
+        try:
+            return json.dumps(plain(json.loads(text)))
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def texts(lines: pd.Series) -> pd.Series:
+        return lines.map(of_line, na_action="ignore")
+
+    return texts(line)
+
+
+def given(calls: DataFrame, name: str) -> Column:
+    """A text argument of tool calls: the column taken from the whole line, else from ``args_json``.
+
+    ``args_json`` is cut, so it may not parse; it serves tables without the column.
+    """
+    parsed = F.try_variant_get(read_json(F.col("args_json")), f"$.line.{name}", "string")
+    return F.coalesce(F.col(name), parsed) if name in calls.columns else parsed
+
+
 def read_json(value: Column) -> Column:
     """VARIANT with the line under ``$.line``; null unless the whole text is one JSON value.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import ARGS_CHARS, block_texts, read_json
+from ..functions.jsontext import ARGS_CHARS, block_texts, plain_json, read_json
 from ..functions.ordered import (
     HeavyKeys, ordered, running_last, running_min, running_sum, running_tail,
 )
@@ -33,14 +33,15 @@ def _truthy(text: str) -> str:
 
 
 # Content blocks of a line, as far as they can be read inside the JVM.
-_RAW_BLOCKS = f"""transform(items, b -> struct(
+_RAW_BLOCKS = f"""transform(filter(items, b -> schema_of_variant(b) LIKE 'OBJECT%'), b -> struct(
     try_variant_get(b, '$.type', 'string') AS kind,
     try_variant_get(b, '$.text', 'string') AS text,
     coalesce(nullif(try_variant_get(b, '$.name', 'string'), ''), 'unknown') AS tool_name,
     coalesce(try_variant_get(b, '$.id', 'string'), try_variant_get(b, '$.tool_use_id', 'string')) AS link,
     {_truthy("try_variant_get(b, '$.is_error', 'string')")} AS is_error,
     schema_of_variant(try_variant_get(b, '$.content', 'variant')) AS shape,
-    schema_of_variant(b) LIKE 'OBJECT%' AS is_object,
+    try_variant_get(b, '$.input.file_path', 'string') AS file_path,
+    try_variant_get(b, '$.input.old_string', 'string') AS old_string,
     length(try_variant_get(b, '$.content', 'string')) AS content_chars))"""
 
 _PAYLOAD = f"""nullif(
@@ -49,8 +50,7 @@ _PAYLOAD = f"""nullif(
          ELSE array_join(transform(filter(raw_blocks, b -> b.kind = 'text'), b -> coalesce(b.text, '')), '\n') END, '')"""
 
 _STATUS = """CASE WHEN text = '' THEN 'blank'
-    WHEN coalesce(try_variant_get(v, '$.line_end', 'boolean'), false) AND text LIKE '{%'
-         AND NOT coalesce(exists(raw_blocks, b -> NOT b.is_object), false) THEN 'ok'
+    WHEN coalesce(try_variant_get(v, '$.line_end', 'boolean'), false) AND text LIKE '{%' THEN 'ok'
     ELSE 'bad' END"""
 
 # Calls, and results that are no plain text, need their exact JSON text.
@@ -60,6 +60,8 @@ _NEEDS_TEXT = """status = 'ok' AND exists(raw_blocks,
 _TOOL_BLOCKS = """filter(transform(raw_blocks, (b, i) -> struct(
     i AS block_idx, b.kind AS kind, b.tool_name AS tool_name, b.link AS link,
     get(texts, i).args_json AS args_json, get(texts, i).skill AS skill, get(texts, i).skill_args AS skill_args,
+    CASE WHEN b.kind = 'tool_use' THEN b.file_path END AS file_path,
+    CASE WHEN b.kind = 'tool_use' AND b.tool_name = 'Edit' THEN b.old_string END AS old_string,
     CASE WHEN b.kind != 'tool_result' THEN NULL
          WHEN b.shape = 'STRING' THEN CAST(b.content_chars AS BIGINT)
          ELSE coalesce(get(texts, i).size, 2L) END AS size,
@@ -94,13 +96,17 @@ def parse_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS,
                 scrub_first: bool = False) -> DataFrame:
     """One typed row per line: status, event fields, content blocks.
 
-    ``status`` is ok, blank, or bad (not a JSON object, or a content list with
-    items that are not objects).  ``scrub_first`` redacts message heads before they
+    ``status`` is ok, blank, or bad (not a JSON object).  Items of a content list that
+    are not objects are left out.  Lines that VARIANT refuses (a key given twice, ``NaN``)
+    are read by Python and tried again.  ``scrub_first`` redacts message heads before they
     are cut.  Write the result out before filtering or reading it more than once:
     filters on it would parse again.
     """
     payload = F.col("payload")
-    df = lines.withColumn("text", strip(F.col("value"))).withColumn("v", read_json(F.col("text")))
+    df = lines.withColumn("text", strip(F.col("value"))).withColumn("first_v", read_json(F.col("text")))
+    refused = F.col("first_v").isNull() & F.col("text").startswith("{")
+    df = df.withColumn("plain", plain_json(F.when(refused, F.col("text"))))
+    df = df.withColumn("v", F.coalesce("first_v", read_json(F.col("plain"))))
     df = df.withColumn("items", F.expr(_field("message.content", "array<variant>")))
     df = df.withColumn("raw_blocks", F.expr(_RAW_BLOCKS))
     df = df.withColumns(
@@ -173,7 +179,7 @@ def attach_results(blocks: DataFrame, keys: list[str], order: list[str],
     result = F.col("kind") == "tool_result"
     at = F.struct(*order)
     call_cols = [c for c in ("session_id", "event_id", "ts", "tool_name", "args_json", "skill",
-                             "skill_args", "pos", "block_idx") if c in blocks.columns]
+                             "skill_args", "file_path", "old_string", "pos", "block_idx") if c in blocks.columns]
     outcome = [
         F.max(F.when(result, F.col("size"))).alias("size"),
         F.max_by("ok", F.when(result, at)).alias("ok"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import read_json
+from ..functions.joins import keep_matching
+from ..functions.jsontext import given
 from ..functions.ordered import HeavyKeys, ordered, running_last
 from ..functions.text import CORRECTION_PATTERN, is_correction
 from .sequences import CALL_ORDER
@@ -20,17 +21,19 @@ def signal_correction_clusters(events: DataFrame, calls: DataFrame, heavy: Heavy
 
     Taken are the calls with the highest positions among those strictly earlier.
     """
-    tool = calls.select(
+    marked = events.filter(
+        (F.col("role") == "user") & ~F.col("is_meta") & F.col("text_head").isNotNull()
+        & is_correction(F.col("text_head"), pattern)
+    )
+    # Only calls of sessions with a correction are sorted.
+    tool = keep_matching(calls, marked, ["session_id"]).select(
         "session_id", "ts", F.lit(1).alias("rank"), "event_id",
         F.struct(
             F.col("position_in_session").alias("p"), F.col("event_id").alias("e"),
             F.col("block_idx").alias("b"), F.col("tool_name").alias("name"),
         ).alias("t"),
     )
-    corrections = events.filter(
-        (F.col("role") == "user") & ~F.col("is_meta") & F.col("text_head").isNotNull()
-        & is_correction(F.col("text_head"), pattern)
-    ).select(
+    corrections = marked.select(
         "session_id", "ts", F.lit(0).alias("rank"), "event_id",
         F.lit(None).cast(tool.schema["t"].dataType).alias("t"),
     )
@@ -57,7 +60,7 @@ def signal_repeated_path_fixes(calls: DataFrame, max_distance: int | None = None
         ).filter(F.lit(False))
     edits = (
         calls.filter(F.col("tool_name") == "Edit")
-        .withColumn("old", F.try_variant_get(read_json(F.col("args_json")), "$.line.old_string", "string"))
+        .withColumn("old", given(calls, "old_string"))
         .select("session_id", "old", *CALL_ORDER)
     )
     pairs = (

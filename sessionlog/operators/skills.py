@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import BROADCAST_ROWS, keep_matching
 from ..functions.ordered import (
     HeavyKeys, ordered, running_last, running_sum, running_tail,
 )
@@ -35,12 +36,14 @@ def signal_skill_eligible_missed(calls: DataFrame, skills: DataFrame, signatures
         .result()
         .withColumn("window", F.reverse("window"))
     )
-    # An equi-join on the first tool; Spark broadcasts the signatures if they are small.
+    # An equi-join on the first tool.  Spark knows no size of the signatures, so they are
+    # counted; the calls, whose tool names are few and frequent, then stay where they are.
     sigs = signatures.filter(F.size("signature") > 0).select(
         "skill_name", "signature", F.col("signature")[0].alias("tool_name")
     )
+    few = sigs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hits = (
-        ahead.join(sigs, "tool_name")
+        ahead.join(F.broadcast(sigs) if few else sigs, "tool_name")
         .filter(F.slice("window", 1, F.size("signature")) == F.col("signature"))
         .groupBy("session_id", "skill_name")
         .agg(F.min("position").cast("int").alias("position"))
@@ -52,7 +55,8 @@ def signal_skill_eligible_missed(calls: DataFrame, skills: DataFrame, signatures
 def signal_skill_abandoned(skills: DataFrame, events: DataFrame, heavy: HeavyKeys | None = None,
                            pattern: str = CORRECTION_PATTERN) -> DataFrame:
     """Invocations with a correction among the next three user messages."""
-    messages = events.filter(
+    # Only messages of sessions with an invocation are sorted.
+    messages = keep_matching(events, skills, ["session_id"]).filter(
         (F.col("role") == "user") & ~F.col("is_meta") & F.col("text_head").isNotNull()
     ).select(
         "session_id", "ts", F.lit(0).alias("rank"), "event_id",
@@ -91,7 +95,7 @@ def signal_skill_turnaround(skills: DataFrame, events: DataFrame,
     """Output tokens between an invocation and the next event with role user."""
     is_user = F.coalesce(F.col("role") == "user", F.lit(False))
     # Backwards in time, at equal times: invocation, events, then end marks of user events.
-    rows = events.select(
+    rows = keep_matching(events, skills, ["session_id"]).select(
         "session_id", "ts", "event_id",
         F.lit(None).cast("string").alias("skill_name"),
         F.coalesce("output_tokens", F.lit(0).cast("bigint")).alias("tokens"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import read_json
+from ..functions.joins import keep_matching
+from ..functions.jsontext import given
 from ..functions.once import computed_once
 from ..functions.ordered import HeavyKeys, ordered, running_last, running_max
 from .sequences import CALL_ORDER
@@ -77,7 +78,8 @@ def signal_compaction_proximity(events: DataFrame, k: int = COMPACTION_WINDOW,
             F.lit(None).cast("struct<tokens:bigint>").alias("e"),
         )
     )
-    rows = events.select(
+    # Only sessions that have a mark are sorted.
+    rows = keep_matching(events, marks, ["session_id"]).select(
         "session_id", "ts", F.lit(1).alias("rank"), "event_id", F.lit(None).cast("bigint").alias("times"),
         F.struct(F.col("output_tokens").alias("tokens")).alias("e"),
     )
@@ -105,9 +107,10 @@ def signal_redundant_reads(calls: DataFrame, heavy: HeavyKeys | None = None) ->
 
     The count is that of the redundant reads plus the first one.
     """
-    path = F.try_variant_get(read_json(F.col("args_json")), "$.line.file_path", "string")
+    path = given(calls, "file_path")
     rows = (
-        computed_once(calls.filter(F.col("tool_name").isin("Read", "Edit")), {"file_path": path})
+        computed_once(calls.filter(F.col("tool_name").isin("Read", "Edit")).select(
+            "session_id", "tool_name", path.alias("given_path"), *CALL_ORDER), {"file_path": F.col("given_path")})
         .filter(F.col("file_path") != "")
         .select("session_id", "file_path", "tool_name", *CALL_ORDER)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import json_text
@@ -35,6 +35,8 @@ def dashboard(signals: dict[str, DataFrame], rows: int = DASHBOARD_ROWS) -> Data
             top.select(F.lit(panel).alias("panel"), rank.alias("rank"),
                        F.to_json(F.struct(*df.columns)).alias("row"))
         )
+    if not parts:
+        return SparkSession.active().createDataFrame([], "panel string, rank int, row string")
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import keep_matching
 from ..functions.text import snippet
 from ..schemas import json_text
 
@@ -70,7 +71,7 @@ def session_timeline(events: DataFrame, calls: DataFrame, session_id: str,
         wanted = wanted.unionByName(
             events.filter(F.col("session_id") == session_id).select("session_id")
         ).distinct()
-        e, t = (df.join(wanted, "session_id", "left_semi") for df in (events, calls))
+        e, t = (keep_matching(df, wanted, ["session_id"]) for df in (events, calls))
     else:
         e, t = (df.filter(F.col("session_id") == session_id) for df in (events, calls))
     t = t.select("event_id", "session_id", "tool_name", "block_idx", "result_blob_hash", "args_blob_hash")
@@ -148,8 +149,7 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         json_text(df).createOrReplaceTempView(name)
 
 
-def query(spark: SparkSession, sql: str, limit: int = 200) -> DataFrame:
-    """Run a SQL query over the registered views; ``limit`` rows unless it names a limit."""
-    text = sql.strip().rstrip(";")
-    df = spark.sql(text)
-    return df if "limit" in text.lower() else df.limit(limit)
+def query(spark: SparkSession, sql: str, limit: int | None = None) -> DataFrame:
+    """Run a SQL query over the registered views; all rows, or the first ``limit``."""
+    df = spark.sql(sql.strip().rstrip(";"))
+    return df if limit is None else df.limit(limit)

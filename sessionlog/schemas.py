@@ -37,7 +37,8 @@ EVENTS = columns_of(
 TOOL_CALLS = columns_of(
     "event_id string, session_id string, ts string, tool_name string, args_json string, "
     "args_blob_hash string, result_size bigint, result_blob_hash string, success boolean, "
-    "duration_ms bigint, retry_attempt int, position_in_session int, block_idx int"
+    "duration_ms bigint, retry_attempt int, position_in_session int, block_idx int, "
+    "file_path string, old_string string"
 )
 
 SKILL_INVOCATIONS = columns_of(

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 DEFAULT_SIGNATURES = {
     "debugging": {
         "signature": ["Bash", "Read", "Edit", "Bash"],
-        "reason": "iterating on a failing test with no debugging skill",
+        "reason": "a run, a look, a change and a run again, without the debugging skill",
     },
     "test_driven_development": {
         "signature": ["Edit", "Bash"],
-        "reason": "writing code then running tests but never wrote test first",
+        "reason": "a change followed by a run, with no test written before it",
     },
 }
 

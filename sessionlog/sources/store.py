@@ -11,7 +11,7 @@ from ..operators.incremental import replace_sessions
 from ..schemas import BASE_TABLES, MANIFEST, PAYLOADS, SIGNALS, columns_of
 
 DAY = "day"
-#: Days touched by one load that are listed by name; above it all days are rewritten.
+#: Days touched by one load that are listed by name; more of them are joined as a table.
 MAX_DAYS = 5_000
 
 
@@ -47,6 +47,21 @@ class SessionStore:
         rows = self._with_day(name).filter(F.col("session_id").isNotNull())
         return rows.drop(DAY)
 
+    def of_session(self, session_id: str, with_subagents: bool = False) -> dict[str, DataFrame]:
+        """The base tables of a session (and of its children), read from its days only."""
+        sessions = self._with_day("sessions")
+        mine = F.col("session_id") == session_id
+        if with_subagents:
+            mine = mine | (F.col("parent_session_id") == session_id)
+        days = sessions.filter(mine).select(DAY).distinct()
+        names = [r[DAY] for r in days.limit(MAX_DAYS + 1).collect()]
+        out = {}
+        for name in BASE_TABLES:
+            rows = self._with_day(name).filter(F.col("session_id").isNotNull())
+            rows = rows.filter(F.col(DAY).isin(*names)) if len(names) <= MAX_DAYS else rows
+            out[name] = rows.drop(DAY)
+        return out
+
     def _with_day(self, name: str) -> DataFrame:
         return self._read(name, BASE_TABLES[name], DAY)
 
@@ -83,13 +98,14 @@ class SessionStore:
 
         Only days that hold an old or a new version of such a session are
         rewritten.  The merged rows are written aside before a day is overwritten,
-        since they are read from it.
+        since they are read from it.  The old days are those in ``sessions``, so that table
+        is written last: a load that broke off is repeated over the same days.
         """
         old = self._with_day("sessions").filter(F.col("session_id").isNotNull()).select("session_id", DAY)
         old_days = old.join(replaced.select("session_id"), "session_id", "left_semi").select(DAY)
         days = written(old_days.union(replaced.select(DAY)).distinct())
         names = [r[DAY] for r in days.limit(MAX_DAYS + 1).collect()]
-        for name, rows in new.items():
+        for name, rows in sorted(new.items(), key=lambda item: item[0] == "sessions"):
             existing = self._with_day(name).filter(F.col("session_id").isNotNull())
             if len(names) <= MAX_DAYS:
                 existing = existing.filter(F.col(DAY).isin(*names))

@@ -85,15 +85,15 @@ def test_lines_keep_order_and_text(spark, root):
 
 def test_status(parsed):
     counts = {r["status"]: r["count"] for r in parsed.groupBy("status").count().collect()}
-    assert counts == {"ok": 9, "blank": 3, "bad": 5}
-    assert parse.bad_lines(parsed).count() == 5
+    assert counts == {"ok": 10, "blank": 3, "bad": 4}
+    assert parse.bad_lines(parsed).count() == 4
 
 
 def test_events(positioned):
     rows = parse.normalize_events(positioned).collect()
     at = {r.event_id: r for r in rows}
-    assert len(rows) == 8
-    assert set(at) == {"e0", "e1", "e2", "s 1%+:3", "e4", "e5", "e6", "s 1%+:7"}
+    assert len(rows) == 9
+    assert set(at) == {"e0", "e1", "e2", "s 1%+:3", "e4", "e5", "e6", "s 1%+:7", "s 1%+:8"}
     e1 = at["e1"]
     assert (e1.text_head, e1.text_len, e1.role, e1.input_tokens, e1.output_tokens, e1.cache_read,
             e1.cache_creation) == ("one\nzwei 😀", 10, "assistant", 10, 5, 3, None)
@@ -144,7 +144,7 @@ def test_sessions(parsed):
     s = rows["s 1%+"]
     assert (s.project, s.cwd) == ("app", "/Users/me/my/app")
     assert (s.started_at, s.ended_at) == ("2026-05-01T10:00:00Z", "2026-05-01T10:00:06Z")
-    assert (s.message_count, s.total_input_tokens, s.total_output_tokens, s.total_cache_read_tokens) == (6, 10, 12, 3)
+    assert (s.message_count, s.total_input_tokens, s.total_output_tokens, s.total_cache_read_tokens) == (7, 10, 12, 3)
     assert (s.compaction_count, s.model, s.ai_title, s.is_subagent) == (1, "m1", "Title", False)
     assert rows["blank"].started_at is None and rows["blank"].message_count == 0
 

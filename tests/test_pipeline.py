@@ -138,4 +138,55 @@ def test_signals_dashboard_and_sql(spark, place, store, tmp_path):
     queries.register_views(store.tables())
     assert queries.query(spark, "SELECT project, count(*) AS n FROM sessions GROUP BY 1;").count() == 1
     assert queries.query(spark, "SELECT * FROM events", limit=1).count() == 1
-    assert queries.query(spark, "SELECT * FROM events LIMIT 2", limit=1).count() == 2
+    assert queries.query(spark, "SELECT * FROM events").count() == store.table("events").count() > 1
+    assert dashboard({}).columns == ["panel", "rank", "row"] and dashboard({}).count() == 0
+
+
+def test_one_session_from_its_days(store):
+    for children in (False, True):
+        part = store.of_session(PARENT, children)
+        args = PARENT, part["sessions"], children
+        whole = [store.table(n) for n in ("events", "tool_calls")]
+        got = queries.session_timeline(part["events"], part["tool_calls"], *args)
+        want = queries.session_timeline(*whole, PARENT, store.table("sessions"), children)
+        assert got.collect() == want.collect() and got.count()
+
+
+def test_a_load_that_broke_off(spark, tmp_path):
+    """A session moves to another day, and the load breaks after each table in turn."""
+    folder = tmp_path / "p" / "-a-b"
+    folder.mkdir(parents=True)
+    read = {"type": "tool_use", "id": "t", "name": "Read", "input": {"file_path": "/f"}}
+    for s in ("s1", "s2"):
+        (folder / f"{s}.jsonl").write_text("\n".join([
+            line("user", "2026-05-02T00:00:00Z", f"{s}a", "/code-review"), line("assistant", "2026-05-02T00:00:01Z", f"{s}b", [read]),
+            line("assistant", "2026-05-02T00:00:02Z", f"{s}c", [read])]))
+    stores = [SessionStore(spark, str(tmp_path / f"store{i}")) for i in range(6)]
+    for s in stores:
+        ingest(spark, str(tmp_path / "p"), s)
+    text = (folder / "s1.jsonl").read_text()
+    (folder / "s1.jsonl").write_text(line("user", "2026-05-01T00:00:00Z", "s1z", "earlier") + "\n" + text + "\n"
+                                     + line("user", "2026-05-03T00:00:00Z", "s1y", "later"))
+
+    class Broken(Exception):
+        pass
+
+    for n, s in enumerate(stores[:-1]):
+        write, written_tables = s._write_days, []
+
+        def stop(name, df, write=write, seen=written_tables, n=n):
+            write(name, df)
+            seen.append(name)
+            if len(seen) == n + 1:
+                raise Broken(name)
+
+        s._write_days = stop
+        with pytest.raises(Broken):
+            ingest(spark, str(tmp_path / "p"), s)
+        s._write_days = write
+        ingest(spark, str(tmp_path / "p"), s)
+    ingest(spark, str(tmp_path / "p"), stores[-1])
+    rows = lambda s, name: sorted(map(str, s.table(name).drop("ingested_at").collect()))
+    for name in ("sessions", "events", "tool_calls", "skill_invocations", "tool_sequences"):
+        assert all(rows(s, name) == rows(stores[-1], name) for s in stores), name
+    assert stores[-1].table("events").count() == 8

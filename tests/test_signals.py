@@ -123,19 +123,18 @@ def test_compaction_proximity(t):
 
 
 def test_redundant_reads(t):
-    count, read, edit = Counter(), {}, {}
-    for sid in sids(TC):
-        for c in in_order(TC, sid):
-            m = re.fullmatch(r'\{"file_path": "(.+)", "old_string": "k*"\}', c["args_json"])
-            if c["tool_name"] not in ("Read", "Edit") or not m:
-                continue
-            key, p = (sid, m.group(1)), c["position_in_session"]
-            if c["tool_name"] == "Edit":
-                edit[key] = p
-                continue
-            if key in read and edit.get(key, -1) < read[key]:
-                count[key] += 1
-            read[key] = p
+    # A Read is redundant if the file was read before, and not edited at or after the last such Read.
+    files = [(c["session_id"], m.group(1), c["tool_name"], (c["position_in_session"], c["block_idx"])) for c in TC
+             if (m := re.fullmatch(r'\{"file_path": "(.+)", "old_string": "k*"\}', c["args_json"]))]
+
+    def before(name, sid, path, at):
+        return [a[0] for s, f, tool, a in files if (s, f, tool) == (sid, path, name) and a < at]
+
+    def redundant(sid, path, at):
+        reads = before("Read", sid, path, at)
+        return bool(reads) and not any(e >= max(reads) for e in before("Edit", sid, path, at))
+
+    count = Counter((s, f) for s, f, tool, at in files if tool == "Read" and redundant(s, f, at))
     assert count
     assert rows(signal_redundant_reads(t.calls, t.heavy)) == sorted((*k, n + 1) for k, n in count.items())
 
@@ -169,16 +168,15 @@ def test_tool_sequences_and_recurring(t, spark):
 
 
 def test_eligible_missed(t, spark):
+    # Tool names of a session as one text; the signature's first place in it, counted in names.
+    invoked = {(k["session_id"], k["skill_name"]) for k in SK}
     want = []
-    for sid in sids(TC):
-        names = [c["tool_name"] for c in in_order(TC, sid)]
-        for skill, spec in SIGS.items():
-            sig = spec.get("signature")
-            if not sig or any(k["session_id"] == sid and k["skill_name"] == skill for k in SK):
-                continue
-            at = next((i for i in range(len(names)) if names[i:i + len(sig)] == sig), None)
-            if at is not None:
-                want.append((sid, skill, at))
+    for skill, sig in ((s, spec["signature"]) for s, spec in SIGS.items() if spec.get("signature")):
+        for sid in sids(TC):
+            text = "".join(f"<{c['tool_name']}>" for c in in_order(TC, sid))
+            head, found, _ = text.partition("".join(f"<{n}>" for n in sig))
+            if found and (sid, skill) not in invoked:
+                want.append((sid, skill, head.count("<")))
     got = signal_skill_eligible_missed(t.calls, t.skills, load_signatures(spark, SIGS), longest(SIGS), t.heavy)
     assert want and rows(got) == sorted(want)
 
@@ -231,11 +229,17 @@ def test_repeated_fixes(t):
 
 
 def test_followed_by_tools(t):
+    # The five calls from the lowest place of those not before the skill.
+    place = {}
+    for sid in sids(TC):
+        place.update({(sid, i): c for i, c in enumerate(in_order(TC, sid))})
     want = []
     for k in SK:
-        cs = in_order(TC, k["session_id"])
-        at = next((i for i, c in enumerate(cs) if c["ts"] >= k["ts"]), len(cs))
-        want.append((k["session_id"], k["ts"], k["skill_name"], tuple(c["tool_name"] for c in cs[at:at + 5])))
+        lowest = min((i for (sid, i), c in place.items() if sid == k["session_id"] and c["ts"] >= k["ts"]), default=None)
+        names = () if lowest is None else tuple(
+            c["tool_name"] for (sid, i), c in sorted(place.items(), key=lambda x: x[0])
+            if sid == k["session_id"] and 0 <= i - lowest < 5)
+        want.append((k["session_id"], k["ts"], k["skill_name"], names))
     skills = t.skills.select("session_id", "ts", "skill_name")
     assert rows(parse.followed_by_tools(skills, t.calls, ["session_id"], t.heavy)) == sorted(want)
 
