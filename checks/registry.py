@@ -28,6 +28,7 @@ from sessionlog.sources.jsonl import path_facts
 from sessionlog.sources.signatures import load_signatures, longest
 from sessionlog.sources.store import DAY, SessionStore, day_of
 
+from . import whole_run
 from .frames import SIGNATURES, Frames, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,6 +148,22 @@ def write_json(f: Frames) -> DataFrame:
     return f.spark.read.schema("project string, sessions bigint").json(folder)
 
 
+@_query
+def ingest_run(f: Frames) -> DataFrame:
+    """The calls that the whole run has stored: files loaded, grown and loaded again."""
+    return whole_run.run(f).table("tool_calls").select(
+        "session_id", "event_id", "ts", "tool_name", "args_json", "position_in_session")
+
+
+@_query
+def ingest_run_rollup(f: Frames) -> DataFrame:
+    """The session table of the whole run."""
+    return whole_run.run(f).table("sessions").select(
+        "session_id", "project", "started_at", "ended_at", "message_count", "total_input_tokens",
+        "total_output_tokens", "total_cache_read_tokens", "compaction_count", "model", "ai_title",
+    )
+
+
 # -- parse ------------------------------------------------------------------
 
 
