@@ -19,8 +19,8 @@ UNIGRAMS, BIGRAMS = 1 << 19, 1 << 18
 #: Tokens of a passage.
 PASSAGE = 16
 
-#: Labelled documents used at most to place the bar (a bound of the fit, by smallest id hash).
-FIT_ROWS = 50_000
+#: Labelled documents that the fit looks at, at most (those with the smallest hashes of their ids).
+FIT_ROWS = 100_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -106,9 +106,10 @@ def log_ratios(counts: DataFrame, z: float = 4.0) -> np.ndarray:
     counts = cut_lineage(counts.withColumn("pair", F.col("bucket") >= UNIGRAMS))
     totals = counts.groupBy("pair").agg(F.sum("target").alias("all_target"), F.sum("raw").alias("all_raw"))
     expected = F.col("raw") * F.col("all_target") / F.col("all_raw")
+    sigma = z * F.sqrt(expected + 1)
     ratio = F.log((F.col("target") + 0.5) / (expected + 0.5))
     marked = counts.join(F.broadcast(totals), "pair").filter(  # two rows
-        (F.col("all_target") > 0) & (F.abs(F.col("target") - expected) > z * F.sqrt(expected + 1)))
+        (F.col("all_target") > 0) & (F.abs(F.col("target") - expected) > sigma))
     rows = marked.select("bucket", ratio.alias("ratio")).toPandas()
     table = np.zeros(UNIGRAMS + BIGRAMS, np.float32)
     table[rows["bucket"].to_numpy(np.int64)] = rows["ratio"]
@@ -210,14 +211,24 @@ def _ordered_bits(batches):
         yield pa.RecordBatch.from_pydict({"value": batch.column("value"), "code": pa.array(code.astype(np.int64))})
 
 
+def _sample(marks: DataFrame, most: int, seed: int) -> DataFrame:
+    """About ``most`` rows, and no more: those with the smallest hashes of their ids."""
+    n = marks.count()
+    if n <= most:
+        return marks
+    bits = 40
+    share = int((1 << bits) * most / n * (1 - 4 / most ** 0.5))  # four sigmas below
+    return marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << bits)) < share).limit(most)
+
+
 def quality_filter(docs: DataFrame, labels: DataFrame, seed: int = 11, temperature: float = 0.02,
                    fit_rows: int = FIT_ROWS, carry: list[str] = ()) -> DataFrame:
     """Importance resampling of documents: doc_id, log_weight, gumbel_key, kept, and columns ``carry`` of ``docs``.
 
-    The target model is fitted on whole labelled documents of quality 1 that are not toxic, the
-    raw model on all documents.  How many are drawn (k) is the number of documents whose log
-    weight clears a bar placed on labelled documents (at most ``fit_rows`` of them, those with
-    the smallest hash of their id).  The k documents with the largest log weight plus
+    The fit looks at ``fit_rows`` labelled documents at most, those with the smallest hash of
+    their id.  The target model is that of the whole texts of quality 1 among them that are not
+    toxic, the raw model that of all documents.  How many are drawn (k) is the number of
+    documents whose log weight clears a bar placed on the labelled ones.  The k documents with the largest log weight plus
     ``temperature`` times Gumbel noise are kept, with all that tie with the last; the noise
     comes from a hash of the id and the seed, so reruns agree and equal rows share their fate.
 
@@ -227,16 +238,14 @@ def quality_filter(docs: DataFrame, labels: DataFrame, seed: int = 11, temperatu
     """
     marks = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
         F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    marked = docs.select("doc_id", "text", *carry).join(marks, "doc_id", "left")
+    marks = cut_lineage(_sample(marks, fit_rows, seed))
+    # Of bounded size, so no text is shuffled.
+    marked = docs.select("doc_id", "text", *carry).join(F.broadcast(marks), "doc_id", "left")
     table = log_ratios(bucket_counts(marked.select("text", F.coalesce("good", F.lit(False)).alias("target"))))
     scored = cut_lineage(log_weights(marked, table, ["doc_id", "good", *carry]))
-    known = scored.filter("good is not null")
-    n = known.count()
-    if n > fit_rows:
-        place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30))
-        limit = known.select(place.alias("place")).approxQuantile("place", [0.98 * fit_rows / n], 0.001)[0]
-        known = known.filter(place <= limit).limit(fit_rows)
-    bar = place_bar(known)
+    # Repeated rows of a labelled id count once.
+    bar = place_bar(scored.filter("good is not null").groupBy("doc_id").agg(
+        F.first("good").alias("good"), F.min("log_weight").alias("log_weight")))
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = cut_lineage(scored.withColumn("gumbel_key", F.col("log_weight") - temperature * F.log(-F.log(uniform))))
     k = keyed.filter(F.col("log_weight") >= F.lit(bar)).count()
