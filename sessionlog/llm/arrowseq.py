@@ -177,5 +177,5 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                             "doc_id": docs.column("doc_id"), "start": pa.array([s + row["base"] for s in starts], pa.int64()),
                             "n_tokens": docs.column("n_tokens"), "ids_crc32": pa.array(crc, pa.int64())})
 
-    spread = files.repartition(F.col("part"))
+    spread = files.repartition(max(1, manifest.count()), "part")  # AQE would put many files into one task
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,13 +22,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Unicode White_Space.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: Texts in which some white space is not one inner space or line feed.
-_ODD = re.compile("[ \n]{2}|[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\\A[ \n]|[ \n]\\Z")
-#: Units of such texts: a run without white space and a space before it, or white space.
+#: Units of texts in which some white space is not one inner space or line feed: a run without white space and a space before it, or white space.
 _UNITS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 #: Words kept with their ids per Python worker; the table starts anew when it is full.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 
 #: Pieces longer than this many bytes are merged with a heap, one by one.
 SHORT = 48
@@ -163,7 +162,7 @@ class RankArrays:
 
 
 class CachedEncoder:
-    """Whole texts to ids, each distinct word once; ``words`` gives ids of a list of words.
+    """Whole texts to ids, each distinct word once; ``words`` gives the ids of each of a list as bytes.
 
     A word is what stands between two spaces or line feeds, with the one before it; the
     pattern never matches across its bounds.  Texts with other white space are cut by a
@@ -177,34 +176,49 @@ class CachedEncoder:
         self.cache: dict[str, bytes] = {}
         self.top = 0  # the largest id, where it is known
 
-    def _units(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            # A mark that no fast unit starts with: units of one text are not mixed with others.
-            return ["\t" + u for u in _UNITS.findall(text)]
+    @staticmethod
+    def _units(text: str) -> list[str]:
         return ("\n" + text.replace("\n", " \n")).split(" ")
 
-    def _fill(self, units: set[str]) -> None:
-        missing = [u for u in units if u not in self.cache]
+    @staticmethod
+    def _odd(unit: str) -> bool:
+        """Whether a unit shows that its text has other white space than single inner spaces and line feeds."""
+        return unit.split() != [unit[1:] if unit[:1] == "\n" else unit]
+
+    def _fill(self, missing: list[str], units: set[str]) -> None:
         if not missing:
             return
         if len(self.cache) + len(missing) > CACHE_WORDS:
             self.cache.clear()
             missing = list(units)
         plain = [u[1:] if u[0] == "\t" else u if u[0] == "\n" else " " + u for u in missing]
-        self.cache.update(zip(missing, (x.astype("<u4").tobytes() for x in self.words(plain)), strict=True))
+        self.cache.update(zip(missing, self.words(plain), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null and empty give none."""
-        cut = []
+        cut, plain = [], []
         for text in texts:
             if not text:
-                cut.append([])
+                parts = []
             elif self.special and any(s in text for s in self.specials):
-                parts = self.special.split(text)
-                cut.append([self.specials[p] if i % 2 else self._units(p) for i, p in enumerate(parts) if p])
+                parts = [self.specials[p] if i % 2 else p for i, p in enumerate(self.special.split(text)) if p]
             else:
-                cut.append([self._units(text)])
-        self._fill({u for parts in cut for p in parts if isinstance(p, list) for u in p})
+                parts = [text]
+            plain.append(parts)
+            cut.append([p if isinstance(p, int) else self._units(p) for p in parts])
+        units = set().union(*(p for parts in cut for p in parts if isinstance(p, list)))
+        missing = units - self.cache.keys()
+        odd = {u for u in missing if self._odd(u)}
+        if odd:
+            # Such units are never kept, so every text that has one is found here.
+            for parts, raw in zip(cut, plain, strict=True):
+                for i, p in enumerate(parts):
+                    if isinstance(p, list) and not odd.isdisjoint(p):
+                        # A mark that no fast unit starts with: units of one text are not mixed with others.
+                        parts[i] = ["\t" + u for u in _UNITS.findall(raw[i])]
+            units = set().union(*(p for parts in cut for p in parts if isinstance(p, list)))
+            missing = units - self.cache.keys()
+        self._fill(list(missing), units)
         get, out = self.cache.__getitem__, []
         for parts in cut:
             done = []
@@ -214,7 +228,7 @@ class CachedEncoder:
                 else:
                     joined = b"".join(map(get, p))
                     done.append(joined if p[0][0] == "\t" else joined[4:])  # less the line feed put before
-            out.append(b"".join(done))
+            out.append(done[0] if len(done) == 1 else b"".join(done))
         return out
 
 
@@ -228,10 +242,10 @@ def rank_array_encoder(path: str) -> tuple[CachedEncoder, RankArrays]:
 
         pattern, arrays = regex.compile(PATTERN), RankArrays(path)
 
-        def words(units: list[str]) -> list[np.ndarray]:
+        def words(units: list[str]) -> list[bytes]:
             cut = [[p.encode() for p in pattern.findall(u)] for u in units]
-            ids = arrays.encode_words(p for pieces in cut for p in pieces)
-            return [np.concatenate([ids[p] for p in pieces]) if len(pieces) != 1 else ids[pieces[0]] for pieces in cut]
+            ids = {w: x.tobytes() for w, x in arrays.encode_words(p for pieces in cut for p in pieces).items()}
+            return [b"".join([ids[p] for p in pieces]) for pieces in cut]
 
         _ENCODERS["own", path] = CachedEncoder(words, arrays.specials), arrays
     return _ENCODERS["own", path]
@@ -250,8 +264,8 @@ def library_encoder(path: str) -> CachedEncoder:
         tokenizer.no_padding()
         specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
-        def words(units: list[str]) -> list[np.ndarray]:
-            return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        def words(units: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
         _ENCODERS["library", path] = CachedEncoder(words, specials)
         _ENCODERS["library", path].top = max([*tokenizer.get_vocab().values()])
