@@ -70,7 +70,8 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
 
 
 def map_chunks(df: DataFrame, columns: list[str], schema: str | StructType,
-               make: Callable[[], Callable[[pa.RecordBatch], dict | None]]) -> DataFrame:
+               make: Callable[[], Callable[[pa.RecordBatch], dict | None]],
+               most: int = CHUNK_BYTES) -> DataFrame:
     """Run a function over ``columns`` of ``df`` in slices of bounded text size.
 
     ``make`` runs once per task and returns the function, which gives the new columns as
@@ -79,7 +80,7 @@ def map_chunks(df: DataFrame, columns: list[str], schema: str | StructType,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=most):
                 out = fn(part)
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out)

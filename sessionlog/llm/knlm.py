@@ -27,13 +27,19 @@ from .common import chunks, cut_lineage, filesystem, lower_ascii, map_chunks
 END = xxhash.xxh64_intdigest(b"</ end>")
 
 #: Training tokens per shard of pairs, and words per shard of the vocabulary.
-SHARD_TOKENS, SHARD_WORDS = 4_000_000, 1_000_000
+SHARD_TOKENS, SHARD_WORDS = 1_500_000, 500_000
+
+#: Text bytes that a task counts or scores at a time.
+PART_BYTES = 1 << 21
 
 #: Contexts with more than one of this many tokens are dealt over all shards.
 FREQUENT = 1000
 
 #: Pairs a counting task holds before it hands them on.
-HELD_PAIRS = 2_000_000
+HELD_PAIRS = 1_000_000
+
+#: Words whose hashes a worker remembers.
+KNOWN_WORDS = 250_000
 
 _KNOWN: dict[bytes, int] = {}
 
@@ -46,7 +52,7 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(int(sizes.sum()), END, np.uint64)
     if flat:
         code, unique = pd.factorize(np.array(flat, object))
-        if len(_KNOWN) + len(unique) > 700_000:
+        if len(_KNOWN) + len(unique) > KNOWN_WORDS:
             _KNOWN.clear()
         for w in unique:
             if w not in _KNOWN:
@@ -102,7 +108,8 @@ class Words:
 
     def array(self, kind: str, shard: int, dtype) -> np.ndarray:
         if (kind, shard) not in self.held:
-            self.held[kind, shard] = _map(self.folder, f"words-{shard}.{kind}", dtype)
+            there = self.base[shard + 1] > self.base[shard]  # an empty shard has no file
+            self.held[kind, shard] = np.zeros(0, dtype) if not there else _map(self.folder, f"words-{shard}.{kind}", dtype)
         return self.held[kind, shard]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -140,13 +147,16 @@ class Model:
 
     def _array(self, name: str, dtype) -> np.ndarray:
         if name not in self.held:
-            self.held[name] = _map(self.folder, name, dtype)
+            self.held[name] = _map(self.folder, name, dtype) if self.n else np.zeros(0, dtype)
         return self.held[name]
 
     def _find(self, kind: str, key: str, keys: np.ndarray, shard: np.ndarray, value: str, missing: float) -> np.ndarray:
         out = np.full(len(keys), missing)
-        for s in np.unique(shard):
-            here = np.flatnonzero(shard == s)
+        if not len(keys):
+            return out
+        order = np.argsort(shard, kind="stable")  # keys stay sorted in each shard
+        there, first = np.unique(shard[order], return_index=True)
+        for s, here in zip(there.tolist(), np.split(order, first[1:]), strict=True):
             known = self._array(f"{kind}-{s}.{key}", np.uint64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, keys[here]), len(known) - 1)
@@ -209,7 +219,7 @@ def train(docs: DataFrame, folder: str) -> dict:
             return u, np.bincount(inverse, weights=n).astype(np.int64)
 
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=PART_BYTES):
                 if part.num_rows:
                     held.append(np.unique(token_hashes(part.column("text").to_pylist())[0], return_counts=True))
                 if sum(len(h) for h, _ in held) > HELD_PAIRS:
@@ -265,7 +275,7 @@ def train(docs: DataFrame, folder: str) -> dict:
                 "shard": pa.array(shard_of(k, often, shards), pa.int32()), "key": _signed(k), "n": n.astype(np.int32)})
 
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=PART_BYTES):
                 if not part.num_rows:
                     continue
                 hashes, n_of = token_hashes(part.column("text").to_pylist())
@@ -403,7 +413,7 @@ def score(docs: DataFrame, folder: str, spec: dict) -> DataFrame:
 
     rows = docs.withColumn("held_out", is_held_out(F.col("doc_id")))
     return map_chunks(rows, ["doc_id", "text", "held_out"], "doc_id long, held_out boolean, n_tokens long, "
-                      "n_known long, base_score double, score double, train_tokens long", make)
+                      "n_known long, base_score double, score double, train_tokens long", make, PART_BYTES)
 
 
 def train_and_score(docs: DataFrame, folder: str) -> DataFrame:
