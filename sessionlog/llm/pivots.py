@@ -45,6 +45,8 @@ def choose_pivots(classes: DataFrame, n: int, pivots: int | None) -> np.ndarray:
     rows = classes.select("v", place.alias("place"), F.size("v").alias("d")).orderBy("place").limit(m).collect()
     widths = [r["d"] for r in rows]
     most = max(set(widths), key=widths.count) if widths else 0
+    if not most:
+        return np.zeros((0, 0))
     out = np.array([r["v"] for r in rows if r["d"] == most], float).reshape(-1, most)
     return _unit(out)
 
