@@ -11,14 +11,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import chunks, components, cut_lineage, lower_ascii, map_chunks, mix64
+from sessionlog.functions.joins import BROADCAST_ROWS
 
-#: One of so many texts is looked at to find frequent shingles; how often one must be seen there.
+from .common import chunks, components, cut_lineage, lower_ascii, map_chunks, mix64, with_row_key
+
+#: One of so many texts is looked at to find frequent shingles and words; how often a shingle must be seen there.
 SAMPLE, SEEN = 16, 4
 
-#: Frequent shingles kept at most (the most frequent ones).  They only settle an order; results don't depend on it.
-FREQUENT = 1_000_000
+#: Frequent shingles and words kept at most (the most frequent ones).  They only settle an order; results don't depend on it.
+FREQUENT = 200_000
+
+#: Parts that the list of a frequent shingle is dealt to.
+PARTS = 16
 
 #: Candidates of one query that are indexed together.
 INDEXED = 512
@@ -26,20 +32,25 @@ INDEXED = 512
 _KNOWN: dict[bytes, int] = {}
 
 
-def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts one after the other, ascending in each, and their numbers."""
+def shingle_sets(texts: list[str | None], width: int, rarity=None) -> tuple[np.ndarray, ...]:
+    """Distinct shingle hashes of all texts one after the other, ascending in each, and their numbers.
+
+    With ``rarity`` (word hashes to counts) also the count of each shingle's rarest word.
+    """
     words = [lower_ascii(t).split() if t else [] for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
     flat = [w for ws in words for w in ws]
     if not flat:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return none if rarity is None else (*none, np.zeros(0, np.int64))
     code, unique = pd.factorize(np.array(flat, object))
-    if len(_KNOWN) + len(unique) > 700_000:
+    if len(_KNOWN) + len(unique) > 400_000:
         _KNOWN.clear()
     for w in unique:
         if w not in _KNOWN:
             _KNOWN[w] = xxhash.xxh64_intdigest(w)
-    one = np.array([_KNOWN[w] for w in unique], np.uint64)[code]
+    of_word = np.array([_KNOWN[w] for w in unique], np.uint64)
+    one = of_word[code]
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     start = np.flatnonzero(np.arange(len(one)) + width <= ends[doc])
@@ -47,16 +58,24 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     for k in range(width):
         h = mix64(h, one[start + k])
     of = doc[start]
+    rare = None
+    if rarity is not None:
+        count = rarity(of_word)[code]
+        rare = count[start]
+        for k in range(1, width):
+            rare = np.minimum(rare, count[start + k])
     # Texts of fewer words: the whole sequence is their one shingle.
     short = np.flatnonzero((sizes > 0) & (sizes < width))
     if len(short):
         whole = [np.uint64(xxhash.xxh64_intdigest(b" ".join(words[i]), seed=len(words[i]))) for i in short]
         h, of = np.concatenate([h, np.array(whole, np.uint64)]), np.concatenate([of, short])
+        rare = None if rare is None else np.concatenate([rare, np.zeros(len(short), np.int64)])
     order = np.lexsort((h, of))
     h, of = h[order], of[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    return h[new], np.bincount(of[new], minlength=len(sizes))
+    sets = h[new], np.bincount(of[new], minlength=len(sizes))
+    return sets if rare is None else (*sets, rare[order][new])
 
 
 def needed(a, b, percent: int):
@@ -101,80 +120,156 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], percent: int) -> np.n
     return reached
 
 
-def _frequent(docs: DataFrame, width: int) -> np.ndarray:
-    """Frequent shingles, the more frequent the later; bounded by ``FREQUENT``."""
+def _frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Frequent shingles and words of a sample of the texts: sorted hashes and counts, ``FREQUENT`` each at most.
+
+    All that are seen at least so often that there are no more.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
 
-        def rows():
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int32())})
+        def rows(word: bool):
+            h, n = np.unique(np.concatenate(held[word]), return_counts=True)
+            held[word] = []
+            return pa.RecordBatch.from_pydict({
+                "word": [word] * len(h), "h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int32())})
 
         for batch in batches:
             for part in chunks(batch):
-                held.append(shingle_sets(part.column("text").to_pylist(), width)[0])
-                if sum(map(len, held)) > 2_000_000:
-                    yield rows()
-                    held = []
-        if held:
-            yield rows()
-
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).dropDuplicates(["text"]).select("text")
-    counts = sample.mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= SEEN)
-    rows = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
-    return rows["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
-
-
-def set_rows(docs: DataFrame, width: int, carry: list[str] = ()) -> DataFrame:
-    """doc_id, ``carry``, n_shingles and key (128-bit hash of the set; null for the empty set) of every row."""
-    kept = ["doc_id", *carry]
+                texts = part.column("text").to_pylist()
+                held[False].append(shingle_sets(texts, width)[0])
+                held[True].append(shingle_sets(texts, 1)[0])
+                for word in held:
+                    if sum(map(len, held[word])) > 1_000_000:
+                        yield rows(word)
+        for word in held:
+            if held[word]:
+                yield rows(word)
+
+    # Equal texts count once: one of each hash, found by ids alone.
+    keyed = with_row_key(docs.select("doc_id", "text")).filter(F.pmod("tk", F.lit(SAMPLE)) == 0)
+    sample = keyed.dropDuplicates(["tk"]).select("text")
+    counts = cut_lineage(sample.mapInArrow(count, "word boolean, h long, n int").groupBy("word", "h").agg(F.sum("n").alias("n")))
+    out = []
+    for word, least in ((False, SEEN), (True, 1)):
+        own = counts.filter((F.col("word") == word) & (F.col("n") >= least))
+        # The smallest count that not too many have; so nothing is sorted.
+        many = own.groupBy(F.floor(8 * F.log2("n")).alias("b")).agg(F.min("n"), F.count(F.lit(1))).collect()
+        total, bar = 0, 1 << 62
+        for _, smallest, c in sorted(many, reverse=True):
+            total += c
+            if total > FREQUENT:
+                break
+            bar = smallest
+        rows = own.filter(F.col("n") >= bar).select("h", "n").toPandas()
+        h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+        order = np.argsort(h)
+        out.append((h[order], n[order]))
+    return out[0], out[1]
+
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Counts of hashes, 0 for unknown ones."""
+    known, n = table
+    if not len(known):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.where(known[at] == h, n[at], 0)
+
+
+def set_rows(docs: DataFrame, width: int, percent: int, carry: list[str]) -> DataFrame:
+    """Every row's set, and the first shingles of the sets.
+
+    Rows with null ``h`` are documents: ``carry``, n and key (a 128-bit hash of the set; null for
+    the empty set).  The others say that shingle ``h`` is among the first of the set ``key``;
+    equal sets are told once per task and slice of it.  Linked sets share a shingle among their
+    first ``n - least overlap + 1``, in one order of all shingles: those with a rare word first,
+    shingles found frequent (``often``) last, so lists rarely hold sets that share a passage or
+    common words only.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))  # bounded by FREQUENT
+    schema = docs.select(*carry).schema.add("n", T.IntegerType()).add("key", "binary").add("h", "long").add("often", "boolean")
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
     def make():
+        shingles, known_words = shared.value
+        sent: set[bytes] = set()
+
         def run(batch: pa.RecordBatch) -> dict:
-            h, sizes = shingle_sets(batch.column("text").to_pylist(), width)
+            h, sizes, place = shingle_sets(batch.column("text").to_pylist(), width, lambda x: _look_up(known_words, x))
+            seen = _look_up(shingles, h)
+            place = np.where(seen > 0, (1 << 40) + seen, place)
             ends = np.cumsum(sizes)
             keys = [xxhash.xxh128_digest(h[e - n:e].tobytes()) if n else None
                     for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            return {**{c: batch.column(c) for c in kept}, "n_shingles": sizes, "key": pa.array(keys, pa.binary())}
+            new = np.zeros(len(sizes), bool)
+            for i, k in enumerate(keys):
+                if k is not None and k not in sent:
+                    new[i] = True
+                    sent.add(k)
+            if len(sent) > 200_000:
+                sent.clear()
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            by = np.lexsort((h, place, doc))
+            nth = np.arange(len(h)) - np.repeat(ends - sizes, sizes)
+            take = by[(nth < np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)) & new[doc]]
+            of = doc[take]
+            m = len(take)
+            both = lambda x, y, kind: pa.concat_arrays([x, y]).cast(kind)
+            out = {c: pa.concat_arrays([a, pa.nulls(m, a.type)]) for c, a in ((c, batch.column(c)) for c in carry)}
+            key = pa.array(keys, pa.binary())
+            return out | {
+                "n": both(pa.array(sizes), pa.array(sizes[of]), pa.int32()),
+                "key": pa.concat_arrays([key, key.take(pa.array(of))]),
+                "h": pa.concat_arrays([pa.nulls(len(sizes), pa.int64()), pa.array(h[take].view(np.int64))]),
+                "often": pa.concat_arrays([pa.nulls(len(sizes), pa.bool_()), pa.array(seen[take] > 0)])}
 
         return run
 
-    schema = docs.select(*kept).schema.add("n_shingles", "long").add("key", "binary")
-    return map_chunks(docs, [*kept, "text"], schema, make)
+    return map_chunks(docs, [*dict.fromkeys([*carry, "text"])], schema, make)
 
 
-def prefix_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """h, key, n: the first shingles of each text's set, in one order of all shingles.
+def shared_lists(first: DataFrame) -> DataFrame:
+    """Rows (h, key, n) of lists with several sets, once each, and the list's smallest set (``lead``, ``lead_n``).
 
-    Linked sets share a shingle among their first ``n - least overlap + 1``.  Infrequent
-    shingles come first (by hash), so lists of common passages are rarely looked at.
+    Lists are dealt by shingle and read in order of sets, so a task holds one row of a list.
+    The list of a frequent shingle is dealt to ``PARTS`` parts, whose smallest sets then meet.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))  # bounded by FREQUENT
-
-    def make():
-        frequent = shared.value
-        order = np.argsort(frequent)
-        known, rank = frequent[order], order.astype(np.int64)
-
-        def run(batch: pa.RecordBatch) -> dict:
-            h, sizes = shingle_sets(batch.column("text").to_pylist(), width)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.zeros(len(h), np.int64)
-            if len(known) and len(h):
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                place = np.where(known[at] == h, rank[at] + 1, 0)
-            by = np.lexsort((h, place, doc))
-            ends = np.cumsum(sizes)
-            nth = np.arange(len(h)) - np.repeat(ends - sizes, sizes)
-            take = by[nth < np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)]
-            keys = np.array([xxhash.xxh128_digest(h[e - n:e].tobytes()) for e, n in zip(
-                ends.tolist(), sizes.tolist(), strict=True)], object)
-            return {"h": pa.array(h[take].view(np.int64)), "key": pa.array(keys[doc[take]], pa.binary()),
-                    "n": pa.array(sizes[doc[take]], pa.int32())}
-
-        return run
-
-    return map_chunks(docs, ["text"], "h long, key binary, n int", make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, lead, alone = None, None, False
+        for batch in batches:
+            rows = []
+            for h, part, often, key, n in zip(*(batch.column(c).to_pylist() for c in (
+                    "h", "part", "often", "key", "n")), strict=True):
+                if (h, part) != (last and last[:2]):
+                    lead, alone = (key, n), True
+                    if often:  # it may meet others from other parts
+                        rows.append((h, key, n, key, n, True))
+                        alone = False
+                elif key != last[2]:
+                    if alone:
+                        rows.append((h, *lead, *lead, False))
+                        alone = False
+                    rows.append((h, key, n, *lead, often))
+                last = (h, part, key)
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(
+                    ("h", "key", "n", "lead", "lead_n", "often"), map(list, zip(*rows, strict=True)), strict=True)),
+                    schema=_LISTED)
+
+    part = F.when(F.col("often"), F.pmod(F.xxhash64("key"), F.lit(PARTS))).otherwise(0).cast("int")
+    dealt = first.select("h", part.alias("part"), "often", "key", "n").repartition("h", "part").sortWithinPartitions(
+        "h", "part", "key")
+    rows = cut_lineage(dealt.mapInArrow(run, "h long, key binary, n int, lead binary, lead_n int, often boolean"))
+    often = rows.filter("often")
+    tops = often.groupBy("h").agg(F.min(F.struct("lead", "lead_n")).alias("top"), F.max("key").alias("most")).filter(
+        F.col("top.lead") < F.col("most"))
+    often = often.select("h", "key", "n").join(tops, "h").select("h", "key", "n", "top.lead", "top.lead_n")
+    return rows.filter("not often").drop("often").unionByName(often)
+
+
+_LISTED = pa.schema([("h", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("lead", pa.binary()),
+                     ("lead_n", pa.int32()), ("often", pa.bool_())])
 
 
 def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -224,27 +319,27 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     and no list emits all its pairs.  Candidates are verified by :func:`divide_skip` on whole
     sets.
 
-    Null, empty and wordless texts have 0 shingles and no links.  A row with a null id belongs to
-    the class of rows with an equal set; a set that only such rows have is not compared, and its
-    component id is null.  Equal rows are kept one by one.  An empty table gives an empty result.
+    Null, empty and wordless texts have 0 shingles and no links.  Rows with null ids take part and
+    may connect others; a component without any id has the component id null.  Equal rows are
+    kept one by one.  An empty table gives an empty result.
     """
-    rows = cut_lineage(set_rows(docs, width, carry))
-    lists = prefix_rows(docs, width, percent).dropDuplicates(["h", "key"])
-    lists = cut_lineage(lists)
-    held = lists.groupBy("h").agg(F.min(F.struct("key", "n")).alias("first"), F.count(F.lit(1)).alias("m")).filter(
-        "m > 1").select("h", "first")
-    lists = cut_lineage(lists.join(held, "h"))
+    keyed = with_row_key(docs.select("doc_id", "text", *[c for c in carry if c not in ("id", "tk")]))
+    carried = [*dict.fromkeys(["doc_id", "id", "tk", *carry])]
+    found = cut_lineage(set_rows(keyed, width, percent, carried))
+    rows = found.filter("h is null").drop("h", "often")
+    lists = cut_lineage(shared_lists(found.filter("h is not null").select("h", "key", "n", "often")))
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    first = lists.filter((F.col("first.key") != F.col("key")) & alike(F.col("first.n"), F.col("n"))).groupBy("key").agg(
-        F.min("first.key").alias("a")).select("a", F.col("key").alias("b"))
-    named = docs.select(F.col("text"), "doc_id").join(
-        lists.select("key").distinct().join(rows.filter("key is not null").groupBy("key").agg(
-            F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("k")), "key"), "doc_id")
-    texts = cut_lineage(_own_text(named, width))
+    first = lists.filter((F.col("lead") != F.col("key")) & alike(F.col("lead_n"), F.col("n"))).groupBy("key").agg(
+        F.min("lead").alias("a")).select("a", F.col("key").alias("b"))
+    own = cut_lineage(rows.filter("key is not null").join(lists.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
+        F.min(F.struct("id", "tk")).alias("row")).select("key", "row.id", "row.tk"))
+    few = own.count() <= BROADCAST_ROWS
+    texts = cut_lineage(keyed.select("id", "tk", "text").join(F.broadcast(own) if few else own, ["id", "tk"]).select("key", "text"))
     edges = linked_pairs(first, texts, width, percent)
 
     nodes = components(edges).withColumnRenamed("id", "key")
-    placed = lists.drop("first").join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = lists.select("h", "key", "n").join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = cut_lineage(placed)
     sizes = placed.groupBy("h", "component").count()
     mains = sizes.groupBy("h").agg(F.max(F.struct("count", "component"))["component"].alias("main"),
                                    F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", "main")
@@ -254,8 +349,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     rest = outside.join(placed.select("h", "key", "n", "component"), "h").filter(
         (F.col("xc") != F.col("component")) & alike(F.col("xn"), F.col("n"))).select(
         F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
-    rest = cut_lineage(rest)
-    more = linked_pairs(rest, texts, width, percent)
+    more = linked_pairs(cut_lineage(rest), texts, width, percent)
     if not more.isEmpty():
         nodes = components(edges.unionByName(more)).withColumnRenamed("id", "key")
 
@@ -263,21 +357,5 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     in_class = cut_lineage(in_class)
     least = in_class.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return in_class.join(least, "component", "left").select(
-        "doc_id", "n_shingles",
+        "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), *carry)
-
-
-def _own_text(named: DataFrame, width: int) -> DataFrame:
-    """key and text of rows (doc_id, text, key) whose text has the set ``key``; one row per key."""
-    def make():
-        def run(batch: pa.RecordBatch) -> dict:
-            h, sizes = shingle_sets(batch.column("text").to_pylist(), width)
-            ends = np.cumsum(sizes)
-            own = [n > 0 and xxhash.xxh128_digest(h[e - n:e].tobytes()) == k for e, n, k in zip(
-                ends.tolist(), sizes.tolist(), batch.column("key").to_pylist(), strict=True)]
-            keep = pa.array(own)
-            return {"key": batch.column("key").filter(keep), "text": batch.column("text").filter(keep)}
-
-        return run
-
-    return map_chunks(named, ["key", "text"], "key binary, text string", make).dropDuplicates(["key"])
