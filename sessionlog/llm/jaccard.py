@@ -26,6 +26,9 @@ FREQUENT = 200_000
 #: Parts that the list of a frequent shingle is dealt to.
 PARTS = 16
 
+#: Bits of a set's parity signature.
+BITS = 1024
+
 #: Candidates of one query that are indexed together.
 INDEXED = 512
 
@@ -180,7 +183,7 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
 def set_rows(docs: DataFrame, width: int, percent: int, carry: list[str]) -> DataFrame:
     """Every row's set, and the first shingles of the sets.
 
-    Rows with null ``h`` are documents: ``carry``, n and key (a 128-bit hash of the set; null for
+    Rows with null ``h`` are documents: ``carry``, n, sig (see :func:`signatures`) and key (a 128-bit hash of the set; null for
     the empty set).  The others say that shingle ``h`` is among the first of the set ``key``;
     equal sets are told once per task and slice of it.  Linked sets share a shingle among their
     first ``n - least overlap + 1``, in one order of all shingles: those with a rare word first,
@@ -188,7 +191,7 @@ def set_rows(docs: DataFrame, width: int, percent: int, carry: list[str]) -> Dat
     common words only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))  # bounded by FREQUENT
-    schema = docs.select(*carry).schema.add("n", T.IntegerType()).add("key", "binary").add("h", "long").add("often", "boolean")
+    schema = docs.select(*carry).schema.add("n", T.IntegerType()).add("key", "binary").add("h", "long").add("often", "boolean").add("sig", T.ArrayType(T.LongType()))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
     def make():
@@ -218,17 +221,45 @@ def set_rows(docs: DataFrame, width: int, percent: int, carry: list[str]) -> Dat
             both = lambda x, y, kind: pa.concat_arrays([x, y]).cast(kind)
             out = {c: pa.concat_arrays([a, pa.nulls(m, a.type)]) for c, a in ((c, batch.column(c)) for c in carry)}
             key = pa.array(keys, pa.binary())
+            sig = signatures(h, doc, len(sizes))
             return out | {
                 "n": both(pa.array(sizes), pa.array(sizes[of]), pa.int32()),
                 "key": pa.concat_arrays([key, key.take(pa.array(of))]),
                 "h": pa.concat_arrays([pa.nulls(len(sizes), pa.int64()), pa.array(h[take].view(np.int64))]),
-                "often": pa.concat_arrays([pa.nulls(len(sizes), pa.bool_()), pa.array(seen[take] > 0)])}
+                "often": pa.concat_arrays([pa.nulls(len(sizes), pa.bool_()), pa.array(seen[take] > 0)]),
+                "sig": pa.concat_arrays([
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * (BITS // 64), pa.int32()), pa.array(sig.ravel())),
+                    pa.nulls(m, pa.list_(pa.int64()))])}
 
         return run
 
     return map_chunks(docs, [*dict.fromkeys([*carry, "text"])], schema, make)
 
 
+def signatures(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` sets ``BITS`` bits: the parity of its shingles per hash bucket, as 64-bit integers.
+
+    Two signatures differ in no more bits than the two sets differ in shingles.
+    """
+    bits = np.bincount(doc * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1
+    return np.packbits(bits.reshape(n, BITS).astype(np.uint8), axis=1).view(np.int64)
+
+
+def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) less those whose signatures differ in more bits than linked sets can.
+
+    ``sets`` has key, n and sig.  Linked sets share at least ``needed`` shingles, so they differ
+    in at most the sum of their sizes less twice that; no link is lost.
+    """
+    left = sets.select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("sig").alias("asig"))
+    right = sets.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("sig").alias("bsig"))
+    both = F.col("an") + F.col("bn")
+    least = F.ceil(percent * both / (100 + percent))
+    differ = F.aggregate(F.zip_with("asig", "bsig", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # One more is allowed for, as the quotient is no exact number.
+    return pairs.join(right, "b").join(left, "a").filter(differ <= both - 2 * least + 2).select("a", "b")
+
+
 def shared_lists(first: DataFrame) -> DataFrame:
     """Rows (h, key, n) of lists with several sets, once each, and the list's smallest set (``lead``, ``lead_n``).
 
@@ -304,6 +335,14 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -
     return cut_lineage(rows.mapInArrow(search, "a binary, b binary"))
 
 
+def _texts(keyed: DataFrame, named: DataFrame) -> DataFrame:
+    """key and text of the sets ``named`` (key, id, tk); a few are broadcast, after a count."""
+    named = cut_lineage(named.select("key", "id", "tk"))
+    few = named.count() <= BROADCAST_ROWS
+    rows = keyed.select("id", "tk", "text").join(F.broadcast(named) if few else named, ["id", "tk"])
+    return cut_lineage(rows.select("key", "text"))
+
+
 def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str] = ()) -> DataFrame:
     """Documents and their classes: doc_id, n_shingles, component_id, and the columns ``carry`` of ``docs``.
 
@@ -316,8 +355,9 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     lists, which joins large groups of copies by about one pair per node.  Then, in lists that
     still hold several components, every node outside the list's largest component is compared
     with all others: each link between different components has such an end, so none is lost,
-    and no list emits all its pairs.  Candidates are verified by :func:`divide_skip` on whole
-    sets.
+    and no list emits all its pairs.  Candidates whose
+    signatures differ too much are left out (:func:`may_link`), the others are verified by
+    :func:`divide_skip` on whole sets.
 
     Null, empty and wordless texts have 0 shingles and no links.  Rows with null ids take part and
     may connect others; a component without any id has the component id null.  Equal rows are
@@ -327,15 +367,17 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     carried = [*dict.fromkeys(["doc_id", "id", "tk", *carry])]
     found = cut_lineage(set_rows(keyed, width, percent, carried))
     rows = found.filter("h is null").drop("h", "often")
+    bare = rows.drop("sig")
     lists = cut_lineage(shared_lists(found.filter("h is not null").select("h", "key", "n", "often")))
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     first = lists.filter((F.col("lead") != F.col("key")) & alike(F.col("lead_n"), F.col("n"))).groupBy("key").agg(
         F.min("lead").alias("a")).select("a", F.col("key").alias("b"))
     own = cut_lineage(rows.filter("key is not null").join(lists.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
-        F.min(F.struct("id", "tk")).alias("row")).select("key", "row.id", "row.tk"))
-    few = own.count() <= BROADCAST_ROWS
-    texts = cut_lineage(keyed.select("id", "tk", "text").join(F.broadcast(own) if few else own, ["id", "tk"]).select("key", "text"))
-    edges = linked_pairs(first, texts, width, percent)
+        F.min(F.struct("id", "tk")).alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig")).select(
+        "key", "row.id", "row.tk", "n", "sig"))
+    first = cut_lineage(may_link(first, own, percent))
+    named = own.join(first.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+    edges = linked_pairs(first, _texts(keyed, named), width, percent)
 
     nodes = components(edges).withColumnRenamed("id", "key")
     placed = lists.select("h", "key", "n").join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
@@ -349,11 +391,13 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     rest = outside.join(placed.select("h", "key", "n", "component"), "h").filter(
         (F.col("xc") != F.col("component")) & alike(F.col("xn"), F.col("n"))).select(
         F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
-    more = linked_pairs(cut_lineage(rest), texts, width, percent)
+    rest = cut_lineage(may_link(rest, own, percent))
+    named = own.join(rest.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+    more = linked_pairs(rest, _texts(keyed, named), width, percent)
     if not more.isEmpty():
         nodes = components(edges.unionByName(more)).withColumnRenamed("id", "key")
 
-    in_class = rows.join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    in_class = bare.join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
     in_class = cut_lineage(in_class)
     least = in_class.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return in_class.join(least, "component", "left").select(
