@@ -168,3 +168,13 @@ def test_near_duplicates(spark):
         want[r[0], links[i], least, r[0] == least] += 1
     assert Counter(tuple(r) for r in exact.collect()) == want
     assert pivots.near_duplicates(frame.limit(0)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 2**64 - 1)), min_size=1, max_size=6))
+def test_signatures_differ_in_no_more_bits(sets):
+    h = np.array([x for s in sets for x in sorted(s)], np.uint64)
+    sig = jaccard.signatures(h, np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert sum(int(x).bit_count() for x in (sig[i] ^ sig[j]).view(np.uint64)) <= len(a ^ b)
