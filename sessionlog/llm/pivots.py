@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import components, cut_lineage
 
-#: Reference points at most and at least, and how many of the nearest ones describe a vector.
-MOST_PIVOTS, LEAST_PIVOTS, NEAREST = 4096, 64, 8
+#: Reference points at most, vectors they are chosen from, and how many of the nearest ones describe a vector.
+MOST_PIVOTS, CANDIDATES, NEAREST = 256, 4096, 8
 
 #: Vectors of one list that are compared as one block.
 BLOCK = 512
@@ -38,17 +38,28 @@ def classes_of(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", "key"), cut_lineage(known)
 
 
-def choose_pivots(classes: DataFrame, n: int, pivots: int | None) -> np.ndarray:
-    """Reference points: vectors with the smallest hashes of their keys, at most ``MOST_PIVOTS``."""
-    m = pivots or int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n // 64)))
+def choose_pivots(classes: DataFrame, cosine: float, pivots: int | None) -> np.ndarray:
+    """Reference points: of ``CANDIDATES`` vectors (smallest hashes of their keys) each time the one farthest from
+    those chosen.
+
+    No two are nearer than two links in a row can bridge, so a group of near copies has one at most, whatever its
+    share of the rows, and its members agree on the others.  The number doesn't follow that of the rows.
+    """
     place = F.xxhash64("key")
-    rows = classes.select("v", place.alias("place"), F.size("v").alias("d")).orderBy("place").limit(m).collect()
+    rows = classes.select("v", place.alias("place"), F.size("v").alias("d")).orderBy("place").limit(CANDIDATES).collect()
     widths = [r["d"] for r in rows]
     most = max(set(widths), key=widths.count) if widths else 0
     if not most:
         return np.zeros((0, 0))
-    out = np.array([r["v"] for r in rows if r["d"] == most], float).reshape(-1, most)
-    return _unit(out)
+    given = _unit(np.array([r["v"] for r in rows if r["d"] == most], float).reshape(-1, most))
+    near, chosen = given @ given[0], [0]
+    while len(chosen) < (pivots or MOST_PIVOTS):
+        farthest = int(near.argmin())
+        if near[farthest] > 2 * max(cosine, 0) ** 2 - 1:  # the cosine of twice the angle
+            break
+        chosen.append(farthest)
+        near = np.maximum(near, given @ given[farthest])
+    return given[chosen]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -91,7 +102,10 @@ def nearest_pivots(classes: DataFrame, pivots: np.ndarray, nearest: int) -> Data
 
 
 def linked(described: DataFrame, cosine: float, shared: int, block: int = BLOCK) -> DataFrame:
-    """Links found through the lists: a, b (keys, a < b).
+    """Links found through the lists, added up in each task: key, root (another key or null), n.
+
+    ``n`` is the number of vectors that link with ``key`` in the task, copies included; the rows
+    with a ``root`` connect what its links connect.  A dense group has far more links than that.
 
     A list holds the vectors of one label near one reference point.  Long lists are cut into
     pieces of about ``block`` vectors, and each pair of pieces is one small task, so a list
@@ -105,13 +119,13 @@ def linked(described: DataFrame, cosine: float, shared: int, block: int = BLOCK)
     dealt = lists.join(pieces, ["label", "pivot"]).withColumn("piece", piece)
     # Piece i meets each piece j: tasks (low, high).
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")).select(
-        "key", "v", "near", "pivot", "label", "piece",
+        "key", "v", "copies", "near", "pivot", "label", "piece",
         F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"))
 
     def compare(table: pa.Table) -> pa.Table:
         pivot, low, high = (table.column(c)[0].as_py() for c in ("pivot", "low", "high"))
         keys, pieces_ = np.array(table.column("key").to_pylist(), object), table.column("piece").to_numpy()
-        near = table.column("near").to_pylist()
+        near, copies = table.column("near").to_pylist(), table.column("copies").to_numpy()
         x = _unit(np.array(table.column("v").to_pylist(), float))
         codes, inverse = np.unique(np.concatenate(near), return_inverse=True)
         member = np.zeros((len(x), len(codes)), np.float32)
@@ -134,13 +148,23 @@ def linked(described: DataFrame, cosine: float, shared: int, block: int = BLOCK)
                     ok = (member[p] * member[q]).sum(1) >= min(shared, member.shape[1])
                     ok &= ~(below[p] * below[q]).any(1) if below.shape[1] else True
                     ok &= np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-                    a.append(keys[p[ok]])
-                    b.append(keys[q[ok]])
-        a, b = (np.concatenate(s).tolist() if s else [] for s in (a, b))
-        pairs = [(min(s, t), max(s, t)) for s, t in zip(a, b, strict=True)]
-        return pa.table({"a": pa.array([s for s, _ in pairs], pa.binary()), "b": pa.array([t for _, t in pairs], pa.binary())})
-
-    return dealt.groupBy("label", "pivot", "low", "high").applyInArrow(compare, "a binary, b binary")
+                    a.append(p[ok])
+                    b.append(q[ok])
+        a, b = (np.concatenate(s) if s else np.zeros(0, np.int64) for s in (a, b))
+        n = np.zeros(len(x), np.int64)
+        np.add.at(n, a, copies[b])
+        np.add.at(n, b, copies[a])
+        root, before = np.arange(len(x)), None
+        while before is None or (root != before).any():
+            before, low_ = root.copy(), np.minimum(root[a], root[b])
+            np.minimum.at(root, a, low_)
+            np.minimum.at(root, b, low_)
+            root = root[root]
+        some = np.flatnonzero(n)
+        return pa.table({"key": pa.array(keys[some].tolist(), pa.binary()), "n": n[some], "root": pa.array(
+            [keys[r] if r != i else None for i, r in zip(some, root[some], strict=True)], pa.binary())}).select(["key", "root", "n"])
+
+    return dealt.groupBy("label", "pivot", "low", "high").applyInArrow(compare, "key binary, root binary, n long")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, shared: int = 2, nearest: int = NEAREST,
@@ -148,8 +172,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, shared: int = 2
     """Vectors that nearly point the same way: vec_id, n_links, component_id, kept.
 
     Vectors of equal labels link when their cosine is at least ``cosine`` (double precision).
-    Each vector is described by its ``nearest`` reference points (a bounded sample of the
-    vectors) and stands in an inverted list of each; pairs that share ``shared`` of them are
+    Each vector is described by its ``nearest`` reference points (vectors that lie apart, at most
+    ``MOST_PIVOTS`` or ``pivots``) and stands in an inverted list of each; pairs that share ``shared`` of them are
     verified.  Every row is indexed; links that share fewer are missed (recall is tested
     against brute force).  ``n_links`` counts other vectors linked directly, copies included;
     ``component_id`` is the smallest vec_id reachable; a vector with that id is kept.
@@ -161,14 +185,11 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, shared: int = 2
     an empty result.
     """
     rows, known = classes_of(embeddings)
-    n = known.count()
-    described = cut_lineage(nearest_pivots(known, choose_pivots(known, n, pivots), nearest))
-    edges = cut_lineage(linked(described, cosine, shared))
+    described = cut_lineage(nearest_pivots(known, choose_pivots(known, cosine, pivots), nearest))
+    links = cut_lineage(linked(described, cosine, shared))
     copies = known.select(F.col("key"), "copies")
-    other = copies.select(F.col("key").alias("b"), "copies")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(other, "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("outer"))
-    nodes = components(edges).withColumnRenamed("id", "key")
+    degree = links.groupBy("key").agg(F.sum("n").alias("outer"))
+    nodes = components(links.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "key")
     facts = copies.join(degree, "key", "left").join(nodes, "key", "left").select(
         "key", (F.col("copies") - 1 + F.coalesce("outer", F.lit(0))).alias("n_links"),
         F.coalesce("component", "key").alias("component"))

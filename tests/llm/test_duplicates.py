@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sessionlog.llm import jaccard, pivots, repeats
 from sessionlog.llm.common import components
@@ -170,6 +171,20 @@ def test_near_duplicates(spark):
     assert pivots.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_dense_group(spark):
+    """A third of 12,000 vectors in one group of near copies."""
+    rng, d = np.random.default_rng(4), 64
+    x = rng.normal(size=(12_000, d))
+    x[:4000] = x[0] / np.linalg.norm(x[0]) + x[:4000] * np.sqrt((1 / 0.945 - 1) / d)
+    x = x.astype(np.float32)
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = sum(int((u[i:i + 2000] @ u.T >= 0.93).sum()) - 2000 for i in range(0, len(u), 2000))
+    assert links > 1_000_000
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = pivots.near_duplicates(frame).agg(F.sum("n_links")).first()[0]
+    assert 0.9 * links <= got <= links
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 2**64 - 1)), min_size=1, max_size=6))
 def test_signatures_differ_in_no_more_bits(sets):
