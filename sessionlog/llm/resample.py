@@ -16,7 +16,7 @@ from .common import cut_lineage, map_chunks, mix64
 #: Hash buckets of single tokens and of pairs.
 UNIGRAMS, BIGRAMS = 1 << 19, 1 << 18
 
-#: Tokens of a passage.
+#: Tokens that a weight is scaled to.
 PASSAGE = 16
 
 #: Labelled documents that the fit looks at, at most (those with the smallest hashes of their ids).
@@ -97,7 +97,7 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
 
 
-def log_ratios(counts: DataFrame, z: float = 4.0) -> np.ndarray:
+def log_ratios(counts: DataFrame, z: float = 2.5) -> np.ndarray:
     """Log of target share over raw share per bucket, 0 where the two don't differ by ``z`` sigmas.
 
     Shares are taken among single tokens and among pairs apart, with half a count added.  Only
@@ -117,10 +117,9 @@ def log_ratios(counts: DataFrame, z: float = 4.0) -> np.ndarray:
 
 
 def log_weights(docs: DataFrame, table: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``log_weight``: the log ratio of a text's weakest passage.
+    """``keep`` columns and ``log_weight``: the log ratio of a whole text, per ``PASSAGE`` tokens.
 
-    A passage is ``PASSAGE`` tokens in a row (or the whole of a shorter text).  The sum over a
-    whole text would let much ordinary text outweigh a bad passage.  Texts without tokens get 0.
+    A sum or a minimum over passages would follow the length of a text.  Texts without tokens get 0.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table)  # of fixed size
     schema = docs.select(*keep).schema.add("log_weight", "double")
@@ -136,16 +135,8 @@ def log_weights(docs: DataFrame, table: np.ndarray, keep: list[str]) -> DataFram
             # Sums as differences of one running sum; in 2**-20 steps they are exact.
             run_sum = np.concatenate([[0], np.cumsum(np.round(score * (1 << 20)).astype(np.int64))])
             ends = np.cumsum(sizes)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            start = np.arange(len(tokens))
-            stop = np.minimum(start + PASSAGE, ends[doc])
-            whole = (start + PASSAGE <= ends[doc]) | (start == (ends - sizes)[doc])
-            passage = np.where(whole, run_sum[stop] - run_sum[start], np.iinfo(np.int64).max)
-            weakest = np.zeros(len(sizes), np.int64)
-            some = sizes > 0
-            if some.any():
-                weakest[some] = np.minimum.reduceat(passage, (ends - sizes)[some])
-            return {**{c: batch.column(c) for c in keep}, "log_weight": weakest / (1 << 20)}
+            total = run_sum[ends] - run_sum[ends - sizes]
+            return {**{c: batch.column(c) for c in keep}, "log_weight": total / np.maximum(sizes, 1) * (PASSAGE / (1 << 20))}
 
         return run
 

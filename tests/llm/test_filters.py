@@ -1,12 +1,14 @@
 """Host rules, resampling, and mixing."""
 
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlog.llm import cube, hostrules, resample
 
@@ -79,6 +81,25 @@ def test_resampling_parts_good_from_bad(spark):
     assert all(r["kept"] == (r["gumbel_key"] >= keys[k - 1]) for r in found)
 
 
+def test_rejected_of_held_out_labels(spark):
+    """Clean texts of any length stay, most toxic ones go; each fifth label is not seen by the fit."""
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("no data")
+    docs = spark.read.parquet(f"{data}/documents.parquet").dropDuplicates(["doc_id"])
+    labels = spark.read.parquet(f"{data}/labels.parquet").dropna().dropDuplicates(["doc_id"])
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    kept = resample.quality_filter(docs, labels.filter(~held)).select("doc_id", "kept")
+    rows = kept.join(labels.filter(held), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    tokens = {r["doc_id"]: int(n) for r in rows for n in resample._Features().tokens([r["text"]])[1]}
+    clean = [r for r in rows if r["quality"] == 1 and r["toxic"] == 0]
+    rejected = [np.mean([not r["kept"] for r in clean if low <= tokens[r["doc_id"]] < high])
+                for low, high in ((0, 302), (302, 1510), (1510, 1 << 40))]
+    toxic = np.mean([r["kept"] for r in rows if r["toxic"] == 1])
+    print("clean rejected", rejected, "toxic kept", toxic)
+    assert max(rejected) < 0.1 and toxic < 0.3
+
+
 def test_resampling_without_rows_or_labels(spark):
     docs, labels = _labelled(spark, 20)
     assert resample.quality_filter(docs.limit(0), labels).count() == 0
