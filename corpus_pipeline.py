@@ -50,18 +50,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document of which nothing is left stays, with an empty text.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    left = repeats.drop_repeats(docs, keep_text=True, carry=[*others, "n_chars"])
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(_whole_characters("kept"))
+    left = repeats.drop_repeats(docs, keep_text=True, carry=[*others, "n_chars"], whole_characters=True)
+    text = F.col("kept").cast("string")
     return left.withColumns({
         "text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(
             F.length(text)).cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
 
 
-def _whole_characters(column: str):
-    """Text of bytes without those that are no whole UTF-8 character."""
-    return F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col(column).cast("string"))), F.lit("�"), F.lit(""))
-
-
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mixture of sources takes."""
     taken = cube.mix(with_row_key(docs), carry=_KEY).filter("copies > 0").select(*_KEY, "copies")

@@ -315,11 +315,11 @@ def cover(starts: list[int], ends: list[int], length: int) -> list[tuple[int, in
 
 
 def drop_repeats(docs: DataFrame, length: int = 200, hot: int = HOT, keep_text: bool = False,
-                 carry: list[str] = ()) -> DataFrame:
+                 carry: list[str] = (), whole_characters: bool = False) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that starts anywhere else, too.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of start, end) and,
-    with ``keep_text``, kept (binary); also the columns ``carry`` of ``docs``.  Texts are UTF-8 bytes; windows never cross texts, may
+    with ``keep_text``, kept (binary; with ``whole_characters`` less what spans leave of characters cut in half); also the columns ``carry`` of ``docs``.  Texts are UTF-8 bytes; windows never cross texts, may
     overlap in one text, and are judged on the input.
 
     Suffixes are first dealt by their anchor (see :class:`Scan`): counts of anchors, added up
@@ -343,8 +343,11 @@ def drop_repeats(docs: DataFrame, length: int = 200, hot: int = HOT, keep_text:
                 for s, e in runs:
                     left.append(raw[at:s])
                     at = e
-                left = b"".join([*left, raw[at:]])
-                out["n_removed"].append(len(raw) - len(left))
+                left.append(raw[at:])
+                out["n_removed"].append(len(raw) - sum(map(len, left)))
+                if whole_characters:
+                    left = [x.decode("utf-8", "ignore").encode() for x in left]
+                left = b"".join(left)
                 out["spans"].append([{"start": s, "end": e} for s, e in runs])
                 out["kept"].append(left if keep_text else None)
                 out["kept_sha256"].append(hashlib.sha256(left).hexdigest())

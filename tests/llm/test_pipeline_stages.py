@@ -54,3 +54,11 @@ def test_sql(spark, name):
     columns = [d[0] for d in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert normal([tuple(r) for r in df.collect()], df.columns) == normal(cur.fetchall(), columns)
+
+
+def test_replacement_characters_of_the_source_stay(spark):
+    passage = "".join(chr(0x4E00 + i) for i in range(100))
+    rows = [(1, f"own \ufffd word é{passage}", "a", 0), (2, f"other è{passage} end", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    assert got == {1: "own \ufffd word é", 2: "other è end"}
