@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowseq, bpe, cube, hostrules, jaccard, knlm, pivots, repeats, resample, wordpiece
+from . import arrowseq, bpe, cube, hostrules, jaccard, knlm, pivots, repeats, resample, wordpiece, zfast
 from .common import load, shared_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.drop_repeats(load(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query
+def op12_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = zfast.numbered_turns(load(spark, sf_dir, "conversations"))
+    return zfast.prefix_tree(zfast.rebuilt(turns))
