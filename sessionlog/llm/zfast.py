@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,8 @@ from .common import cut_lineage
 
 #: Turns of a conversation that one row holds.
 PIECE = 1024
+#: One piece in so many is inserted first; the others are searched for in what they make.
+BATCHES = 16
 #: Characters of joined ids that one row holds.
 ID_TEXT = 1 << 20
 
@@ -158,6 +161,19 @@ def _located(waiting: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
     return waiting
 
 
+def _agreement(rows: DataFrame) -> DataFrame:
+    """``m``: the depth to which a piece agrees with the one (other, obase) whose edge down to ``xd`` it is on."""
+    def agree(d):
+        mine, its = _at(d), _at(d, "other", "obase")
+        return (mine.a == its.a) & (mine.b == its.b)
+
+    shared = F.size(F.filter(F.sequence(F.col("lo") + 1, F.least("last", "xd")), agree))
+    return rows.withColumn("m", F.col("lo") + shared)
+
+
+_EXIT = ["rc", "rbase", "arr", "last", "m", "xa", "xb", "xd"]
+
+
 def _exits(waiting: DataFrame, edges: DataFrame, pieces: DataFrame) -> DataFrame:
     """Where each located piece leaves the trie: depth ``m`` on the edge to (xa, xb), null if at a node."""
     child = _at(F.col("lo") + 1)
@@ -168,60 +184,75 @@ def _exits(waiting: DataFrame, edges: DataFrame, pieces: DataFrame) -> DataFrame
     rows = waiting.withColumns({"ka": ka, "kb": kb}).join(below, ["ka", "kb"], "left").drop("ka", "kb")
     off, on = rows.filter("xd is null"), rows.filter("xd is not null")
     others = pieces.select(F.col("rc").alias("oc"), F.col("rbase").alias("obase"), F.col("arr").alias("other"))
+    on = _agreement(on.join(others, ["oc", "obase"]))
+    return on.select(*_EXIT).unionByName(off.withColumn("m", F.col("lo")).select(*_EXIT))
 
-    def agree(d):
-        mine, its = _at(d), _at(d, "other", "obase")
-        return (mine.a == its.a) & (mine.b == its.b)
 
-    shared = F.size(F.filter(F.sequence(F.col("lo") + 1, F.least("last", "xd")), agree))
-    on = on.join(others, ["oc", "obase"]).withColumn("m", F.col("lo") + shared)
-    names = ["rc", "rbase", "arr", "last", "m", "xa", "xb", "xd"]
-    return on.select(*names).unionByName(off.withColumn("m", F.col("lo")).select(*names))
+def _insert(exits: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """New edges and cuts (a, b, m) of old and new ones, for a batch that leaves the trie at ``exits``.
 
-
-def compacted_trie(pieces: DataFrame) -> DataFrame:
-    """Edges of the compacted trie over all pieces, columns ``_EDGE``."""
-    waiting = pieces.withColumns({"lo": F.col("rbase"), "hi": F.col("last")})
-    edges = None
+    Of the pieces that leave at one place for one child, one becomes that child's edge.  The others are on its path, so
+    they leave its edge next.  Which one it is goes by hash, so a group falls apart in a
+    logarithmic number of rounds.
+    """
+    new, cuts = [], []
     while True:
-        left, length = waiting.agg(F.count(F.lit(1)), F.max(F.col("hi") - F.col("lo"))).first()
-        if not left:
-            break
-        if edges is None:
-            none = F.lit(None).cast("long")
-            exits = waiting.select("rc", "rbase", "arr", "last", F.col("lo").alias("m"),
-                                   none.alias("xa"), none.alias("xb"), none.alias("xd"))
-        else:
-            exits = _exits(_located(waiting, edges, int(length).bit_length()), edges, pieces)
         exits = cut_lineage(exits)
-        rest = exits.filter("m < last")
+        cuts.append(exits.filter("xd is not null and m < xd").select(F.col("xa").alias("a"), F.col("xb").alias("b"), "m"))
         first = _at(F.col("m") + 1)
-        taken = cut_lineage(
-            rest.select(first.a.alias("ga"), first.b.alias("gb"),
-                        F.struct(*_edge(F.col("m"), F.col("last"))).alias("edge"),
-                        F.xxhash64("rc", "rbase").alias("draw"))
-            .groupBy("ga", "gb").agg(F.max_by("edge", "draw").alias("edge")).select("edge.*"))
+        rest = exits.filter("m < last").select(
+            "rc", "rbase", "arr", "last", F.col("m").alias("lo"), first.a.alias("ca"), first.b.alias("cb"))
+        edge = F.struct(*_edge(F.col("lo"), F.col("last")), F.col("arr").alias("other"))
+        taken = cut_lineage(rest.groupBy("ca", "cb").agg(
+            F.max_by(edge, F.xxhash64("rc", "rbase")).alias("edge")).select("edge.*"))
+        if taken.isEmpty():
+            return new, cuts
+        new.append(taken.select(*_EDGE))
+        leader = taken.select("ca", "cb", F.col("a").alias("xa"), F.col("b").alias("xb"), F.col("depth").alias("xd"),
+                              F.col("rc").alias("oc"), F.col("rbase").alias("obase"), "other")
+        others = rest.join(leader, ["ca", "cb"]).filter("rc <> oc or rbase <> obase")
+        exits = _agreement(others).select(*_EXIT)
+
+
+def _cut(edges: DataFrame, cuts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Edges split at the depths ``m`` of ``cuts``."""
+    places = cuts.groupBy("a", "b").agg(F.sort_array(F.collect_set("m")).alias("cuts"))  # at most a piece's length
+    marked = edges.join(places, ["a", "b"], "left")
+    parts = (
+        marked.filter("cuts is not null").select("rc", "rbase", "top", "depth", "cuts")
+        .join(pieces.select("rc", "rbase", "arr"), ["rc", "rbase"])
+        .withColumn("ends", F.concat(F.array("top"), "cuts", F.array("depth")))
+        .select("rc", "rbase", "arr", F.explode(F.arrays_zip(
+            F.expr("slice(ends, 1, size(ends) - 1)").alias("s"),
+            F.expr("slice(ends, 2, size(ends) - 1)").alias("e"))).alias("p"))
+    )
+    whole = marked.filter("cuts is null").select(*_EDGE)
+    return whole.unionByName(parts.select(*_edge(F.col("p.s"), F.col("p.e"))))
+
+
+def compacted_trie(pieces: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """Edges of the compacted trie over all pieces, columns ``_EDGE``.
+
+    The first batch has one piece in ``batches``, by hash, the second the others.
+    """
+    rows = pieces.withColumns({"lo": F.col("rbase"), "hi": F.col("last")})
+    first = F.pmod(F.xxhash64("rc", "rbase", F.lit("batch")), F.lit(batches)) == 0
+    none = F.lit(None).cast("long")
+    steps = int(pieces.agg(F.max(F.col("last") - F.col("rbase"))).first()[0] or 0).bit_length()
+    edges = None
+    for batch in (rows.filter(first), rows.filter(~first)):
         if edges is None:
-            edges = taken
+            exits = batch.select("rc", "rbase", "arr", "last", F.col("lo").alias("m"),
+                                 none.alias("xa"), none.alias("xb"), none.alias("xd"))
         else:
-            cuts = exits.filter("xd is not null and m < xd").groupBy(
-                F.col("xa").alias("a"), F.col("xb").alias("b")).agg(F.sort_array(F.collect_set("m")).alias("cuts"))
-            marked = edges.join(cuts, ["a", "b"], "left")
-            whole = marked.filter("cuts is null").select(*_EDGE)
-            parts = (
-                marked.filter("cuts is not null").select("rc", "rbase", "top", "depth", "cuts")
-                .join(pieces.select("rc", "rbase", "arr"), ["rc", "rbase"])
-                .withColumn("ends", F.concat(F.array("top"), "cuts", F.array("depth")))
-                .select("rc", "rbase", "arr", F.explode(F.arrays_zip(
-                    F.expr("slice(ends, 1, size(ends) - 1)").alias("s"),
-                    F.expr("slice(ends, 2, size(ends) - 1)").alias("e"))).alias("p"))
-            )
-            parts = parts.select(*_edge(F.col("p.s"), F.col("p.e")))
-            edges = cut_lineage(whole.unionByName(parts).unionByName(taken))
-        waiting = cut_lineage(
-            rest.join(taken.select("rc", "rbase", F.lit(1).alias("_")), ["rc", "rbase"], "left_anti")
-            .select("rc", "rbase", "arr", "last", F.col("m").alias("lo"), F.col("last").alias("hi")))
-    return edges if edges is not None else pieces.select(*_edge(F.col("rbase"), F.col("last")))
+            exits = _exits(_located(batch, edges, steps), edges, pieces)
+        new, cuts = _insert(exits)
+        for df in new:
+            edges = df if edges is None else edges.unionByName(df)
+        if edges is None:
+            edges = pieces.limit(0).select(*_edge(F.col("rbase"), F.col("last")))
+        edges = cut_lineage(_cut(edges, reduce(DataFrame.unionByName, cuts), pieces))
+    return edges
 
 
 def _subtree_totals(nodes: DataFrame) -> DataFrame:
