@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrowseq, bpe, cube, hostrules, jaccard, knlm, pivots, repeats, resample, wordpiece, zfast
+from . import arrowseq, bpe, cube, dic, hostrules, jaccard, knlm, pivots, repeats, resample, wordpiece, wrapper, zfast
 from .common import load, shared_uri
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,13 @@ def op10_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = zfast.numbered_turns(load(spark, sf_dir, "conversations"))
     return zfast.prefix_tree(zfast.rebuilt(turns))
+
+
+@_query
+def op11_dic_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.collocations(load(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(load(spark, sf_dir, "pages"))
