@@ -42,6 +42,17 @@ def iso(ts):
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def refused(line, when, n):
+    """Now and then a line that says the same, with a key given twice or NaN: some JSON readers refuse it."""
+    rest = F.substring(line, F.lit(2), F.length(line))
+    return F.when(when & (n % 4 == 1), F.concat(F.lit('{"type":"other",'), rest)).when(
+        when & (n % 4 == 2), F.concat(F.lit('{"cost":NaN,'), rest)).otherwise(line)
+
+
+#: Documents whose session line is repeated up to more characters than VARIANT takes, and to how many.
+LONG_EVERY, LONG_CHARS = 5_000, 17 << 20
+
+
 @dataclass
 class Frames:
     spark: SparkSession
@@ -253,6 +264,7 @@ class Frames:
             F.lit(',"model":"m'), (k % 3).cast("string"), F.lit('","usage":'), usage,
             F.lit(',"content":'), content, F.lit("}}"),
         )
+        value = refused(value, et.isin("view", "signup", "error"), k)
         texts_of_event = F.array(
             value,
             F.when((et == "error") & (k % 10 == 0),
@@ -334,5 +346,22 @@ class Frames:
             .alias("timestamp"),
         ))
         value = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"message":'), message, F.lit("}"))
+        value = refused(value, F.col("conv_id") % 3 == 1, F.col("turn") + F.col("conv_id"))
         path = F.concat(F.lit("/logs/-Users-test-talk/"), F.col("session_id"), F.lit(".jsonl"))
         return self._lines(conv, "turn", path, value, self.talk_heavy)
+
+    @cached_property
+    def long_lines(self) -> DataFrame:
+        """Each document as a session of one line with a text, a call and a result; some lines are very long."""
+        docs = table(self.spark, self.sf_dir, "documents").filter("text <> ''")
+        times = F.when(F.col("doc_id") % LONG_EVERY == 0, F.ceil(F.lit(LONG_CHARS) / F.length("text"))).otherwise(1)
+        quoted = F.to_json(F.array(F.repeat("text", times.cast("int"))))
+        quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+        value = F.concat(
+            F.lit('{"type":"user","timestamp":"2026-01-01T00:00:00Z","uuid":"d'), F.col("doc_id").cast("string"),
+            F.lit('","message":{"role":"user","usage":{"input_tokens":7},"content":[{"type":"text","text":'), quoted,
+            F.lit('},{"type":"tool_use","name":"Read","id":"t","input":{"file_path":"/f'), F.col("lang"),
+            F.lit('"}},{"type":"tool_result","tool_use_id":"t","content":'), quoted, F.lit("}]}}"))
+        return docs.select(
+            F.concat(F.lit("/logs/-Users-test-docs/d"), F.col("doc_id").cast("string"), F.lit(".jsonl")).alias("path"),
+            F.lit("").alias("block"), F.lit(0).cast("bigint").alias("line"), value.alias("value"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlog.functions.scratch import scratch_path
+from sessionlog.functions.scratch import scratch_path, written
 from sessionlog.functions.text import normalize_path, scrub
 from sessionlog.operators import incremental, parse
 from sessionlog.operators.payloads import build_payloads, get_payload
@@ -242,6 +242,19 @@ def session_rollup(f: Frames) -> DataFrame:
     )
 
 
+@_query
+def long_lines(f: Frames) -> DataFrame:
+    """What all tables have of lines of any length."""
+    parsed = written(parse.parse_lines(f.long_lines))
+    positioned = parse.with_positions(parsed, False)
+    calls = parse.tool_calls(positioned, False).select("session_id", "tool_name", "file_path", "result_size")
+    messages = parse.user_messages(parsed).select("session_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    totals = parse.session_rollup(parsed).select("session_id", "message_count", "total_input_tokens")
+    events = parse.normalize_events(positioned).select("session_id", "event_id", "text_len", F.md5(
+        F.col("text_head").cast("binary")).alias("head_md5"))
+    return events.join(calls, "session_id").join(messages, "session_id").join(totals, "session_id")
+
+
 # -- sanitising and payloads ------------------------------------------------
 
 

@@ -1,9 +1,9 @@
 """Session lines to typed tables.
 
-``parse_lines`` reads each line once (VARIANT, inside the JVM) and leaves one
-typed row per line.  The other functions derive the base tables from it.  Only
-the exact JSON text of tool arguments and structured results needs Python; those
-lines alone go through one Arrow UDF.
+``typed_lines`` reads each line once: as VARIANT inside the JVM, or, where VARIANT refuses it (over
+16 MiB, a key given twice, NaN), in Python, straight into the same typed fields.  ``parse_lines`` leaves
+one typed row per line, and the other functions derive the base tables from it.  Apart from refused lines,
+only the exact JSON text of tool arguments and structured results needs Python.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsontext import ARGS_CHARS, block_texts, plain_json, read_json
+from ..functions.jsontext import ARGS_CHARS, LINE_FIELDS, block_texts, line_fields, read_json
 from ..functions.ordered import (
     HeavyKeys, ordered, running_last, running_min, running_sum, running_tail,
 )
@@ -44,20 +44,31 @@ _RAW_BLOCKS = f"""transform(filter(items, b -> schema_of_variant(b) LIKE 'OBJECT
     try_variant_get(b, '$.input.old_string', 'string') AS old_string,
     length(try_variant_get(b, '$.content', 'string')) AS content_chars))"""
 
-_PAYLOAD = f"""nullif(
-    CASE WHEN items IS NULL AND schema_of_variant({_field("message.content", "variant")}) = 'STRING'
-         THEN {_field("message.content")}
-         ELSE array_join(transform(filter(raw_blocks, b -> b.kind = 'text'), b -> coalesce(b.text, '')), '\n') END, '')"""
+_IS_LIST = "coalesce(items IS NOT NULL, false)"
+_CONTENT = f"""CASE WHEN items IS NULL AND schema_of_variant({_field("message.content", "variant")}) = 'STRING'
+    THEN {_field("message.content")} END"""
+
+# The fields of a line, in the order of LINE_FIELDS.
+_FIELDS = [
+    _field("type"), _field("timestamp"), _field("ts"), _field("uuid"), _field("leafUuid"), _field("parentUuid"),
+    _field("subtype"), _truthy(_field("isSidechain")), _truthy(_field("isMeta")), _field("message.role"),
+    _field("message.model"), _field("aiTitle"), _field("message.usage.input_tokens", "bigint"),
+    _field("message.usage.output_tokens", "bigint"), _field("message.usage.cache_read_input_tokens", "bigint"),
+    _field("message.usage.cache_creation_input_tokens", "bigint"), _field("durationMs", "bigint"),
+    _CONTENT, _IS_LIST, _RAW_BLOCKS, "NULL",
+]
+_READ = f"""CASE WHEN coalesce(try_variant_get(v, '$.line_end', 'boolean'), false)
+    THEN CAST(struct({", ".join(_FIELDS)}) AS STRUCT<{LINE_FIELDS}>) END"""
+
+_PAYLOAD = """coalesce(r.content, array_join(transform(filter(r.blocks, b -> b.kind = 'text'), b -> coalesce(b.text, '')), '\n'))"""
 
-_STATUS = """CASE WHEN text = '' THEN 'blank'
-    WHEN coalesce(try_variant_get(v, '$.line_end', 'boolean'), false) AND text LIKE '{%' THEN 'ok'
-    ELSE 'bad' END"""
+_STATUS = "CASE WHEN text = '' THEN 'blank' WHEN r IS NOT NULL AND text LIKE '{%' THEN 'ok' ELSE 'bad' END"
 
 # Calls, and results that are no plain text, need their exact JSON text.
-_NEEDS_TEXT = """status = 'ok' AND exists(raw_blocks,
+_NEEDS_TEXT = """status = 'ok' AND r.texts IS NULL AND exists(r.blocks,
     b -> b.kind = 'tool_use' OR (b.kind = 'tool_result' AND b.shape != 'STRING'))"""
 
-_TOOL_BLOCKS = """filter(transform(raw_blocks, (b, i) -> struct(
+_TOOL_BLOCKS = """filter(transform(r.blocks, (b, i) -> struct(
     i AS block_idx, b.kind AS kind, b.tool_name AS tool_name, b.link AS link,
     get(texts, i).args_json AS args_json, get(texts, i).skill AS skill, get(texts, i).skill_args AS skill_args,
     CASE WHEN b.kind = 'tool_use' THEN b.file_path END AS file_path,
@@ -71,61 +82,76 @@ _LINE_COLUMNS = [
     "path", "block", "line", "status",
     "status = 'ok' AND type != 'ai-title' AS is_event",
     "type",
-    f"coalesce(nullif({_field('timestamp')}, ''), nullif({_field('ts')}, ''), '') AS ts",
-    f"coalesce(nullif({_field('uuid')}, ''), nullif({_field('leafUuid')}, '')) AS uuid",
-    f"{_field('parentUuid')} AS parent_uuid",
-    f"{_field('subtype')} AS subtype",
-    f"{_truthy(_field('isSidechain'))} AS is_sidechain",
-    f"{_truthy(_field('isMeta'))} AS is_meta",
-    f"{_field('message.role')} AS role",
-    f"nullif({_field('message.model')}, '') AS model",
-    f"{_field('aiTitle')} AS ai_title",
-    f"{_field('message.usage.input_tokens', 'bigint')} AS input_tokens",
-    f"{_field('message.usage.output_tokens', 'bigint')} AS output_tokens",
-    f"{_field('message.usage.cache_read_input_tokens', 'bigint')} AS cache_read",
-    f"{_field('message.usage.cache_creation_input_tokens', 'bigint')} AS cache_creation",
-    f"{_field('durationMs', 'bigint')} AS duration_ms",
+    "coalesce(nullif(r.timestamp, ''), nullif(r.ts, ''), '') AS ts",
+    "coalesce(nullif(r.uuid, ''), nullif(r.leaf_uuid, '')) AS uuid",
+    "r.parent_uuid AS parent_uuid", "r.subtype AS subtype",
+    "r.is_sidechain AS is_sidechain", "r.is_meta AS is_meta",
+    "r.role AS role", "nullif(r.model, '') AS model", "r.ai_title AS ai_title",
+    "r.input_tokens AS input_tokens", "r.output_tokens AS output_tokens",
+    "r.cache_read AS cache_read", "r.cache_creation AS cache_creation", "r.duration_ms AS duration_ms",
     "CAST(length(payload) AS BIGINT) AS text_len",
     f"substring(head, 1, {HEAD_CHARS}) AS text_head",
     "slash",
     _TOOL_BLOCKS,
+    "message",
 ]
 
 
+def typed_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS) -> DataFrame:
+    """``lines`` with ``text`` (the stripped value) and ``r``: its LINE_FIELDS, null if it is no JSON.
+
+    Only lines that VARIANT refuses go to Python.  It also reads JSON that is no object as null.
+    """
+    df = lines.withColumn("text", strip(F.col("value"))).withColumn("v", read_json(F.col("text")))
+    refused = F.col("v").isNull() & F.col("text").startswith("{")
+    df = df.withColumn("read", line_fields(F.when(refused, F.col("text")), args_chars))
+    df = df.withColumn("items", F.expr(_field("message.content", "array<variant>")))
+    return df.withColumn("r", F.coalesce(F.expr(_READ), F.col("read"))).drop("v", "read", "items")
+
+
+def message_text() -> Column:
+    """Text of a typed line: its content, or its text blocks; null if it has neither."""
+    return F.expr(_PAYLOAD)
+
+
 def parse_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS,
                 scrub_first: bool = False) -> DataFrame:
-    """One typed row per line: status, event fields, content blocks.
+    """One typed row per line: status, event fields, content blocks, and the whole text of user messages.
 
     ``status`` is ok, blank, or bad (not a JSON object).  Items of a content list that
-    are not objects are left out.  Lines that VARIANT refuses (a key given twice, ``NaN``)
-    are read by Python and tried again.  ``scrub_first`` redacts message heads before they
-    are cut.  Write the result out before filtering or reading it more than once:
-    filters on it would parse again.
+    are not objects are left out.  ``message`` (ts, text) is there for user messages that are not meta and
+    not blank.  ``scrub_first`` redacts message heads before they are cut.  Write the result
+    out before filtering or reading it more than once: filters on it would parse again.
     """
-    payload = F.col("payload")
-    df = lines.withColumn("text", strip(F.col("value"))).withColumn("first_v", read_json(F.col("text")))
-    refused = F.col("first_v").isNull() & F.col("text").startswith("{")
-    df = df.withColumn("plain", plain_json(F.when(refused, F.col("text"))))
-    df = df.withColumn("v", F.coalesce("first_v", read_json(F.col("plain"))))
-    df = df.withColumn("items", F.expr(_field("message.content", "array<variant>")))
-    df = df.withColumn("raw_blocks", F.expr(_RAW_BLOCKS))
+    payload, whole = F.col("payload"), message_text()
+    df = typed_lines(lines, args_chars)
     df = df.withColumns(
         {
-            "payload": F.expr(_PAYLOAD),
+            "payload": F.nullif(whole, F.lit("")),
             "status": F.expr(_STATUS),
-            "type": F.expr(f"coalesce({_field('type')}, 'other')"),
+            "type": F.coalesce("r.type", F.lit("other")),
         }
     )
+    said = (F.col("status") == "ok") & (F.col("r.type") == "user") & ~F.col("r.is_meta") & (strip(payload) != "")
     df = df.withColumns(
         {
             "head": scrub(payload) if scrub_first else payload,
             "slash": F.when(F.col("type") == "user", slash_command(payload)),
-            "texts": block_texts(F.when(F.expr(_NEEDS_TEXT), F.col("text")), args_chars),
+            "texts": F.coalesce("r.texts", block_texts(F.when(F.expr(_NEEDS_TEXT), F.col("text")), args_chars)),
+            "message": F.when(said, F.struct(F.coalesce("r.timestamp", F.lit("")).alias("ts"), payload.alias("text"))),
         }
     )
     return df.selectExpr(*_LINE_COLUMNS)
 
 
+def user_messages(parsed: DataFrame, home_prefix: str = "", home: str = "") -> DataFrame:
+    """Messages of parsed lines: path, session_id, cwd, block, line, ts, text."""
+    facts = path_facts(F.col("path"), home_prefix)
+    return parsed.filter("message is not null").select(
+        "path", facts["session_id"].alias("session_id"), normalize_path(facts["cwd"], home).alias("cwd"),
+        "block", "line", "message.ts", "message.text")
+
+
 def bad_lines(parsed: DataFrame) -> DataFrame:
     """Where lines were left out because they are no session lines."""
     return parsed.filter(F.col("status") == "bad").select("path", "block", "line")

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import keep_matching
-from ..functions.jsontext import invocation_texts, read_json, truthy
+from ..functions.jsontext import invocation_texts
 from ..functions.once import computed_once
 from ..functions.ordered import HeavyKeys, ordered
 from ..functions.scratch import written
 from ..functions.text import EXIT_TAG, normalize_path, scrub, strip
+from ..operators.parse import message_text, typed_lines
 from ..sources.jsonl import path_facts
 
 FILE = ["session_id", "cwd"]
@@ -28,48 +29,33 @@ def _with_file(lines: DataFrame, home_prefix: str = "", home: str = "") -> DataF
     return lines.withColumns({k: facts[k] for k in ("session_id", "cwd", "is_subagent")})
 
 
-def user_messages(lines: DataFrame, home_prefix: str = "") -> DataFrame:
-    """Non-meta user messages with their full text, not blank."""
-    get = lambda p, t="string": F.try_variant_get("v", "$.line." + p, t)
+def _typed(lines: DataFrame, home_prefix: str, *more: str) -> DataFrame:
     df = lines if "session_id" in lines.columns else _with_file(lines, home_prefix)
-    df = df.withColumn("v", read_json(strip(F.col("value"))))
-    items = get("message.content", "array<struct<type string, text string>>")
-    content = F.when(
-        items.isNotNull(),
-        F.array_join(
-            F.transform(F.filter(items, lambda b: b.type == "text"), lambda b: F.coalesce(b.text, F.lit(""))),
-            "\n",
-        ),
-    ).when(F.schema_of_variant(get("message.content", "variant")) == "STRING", get("message.content"))
+    return typed_lines(df).select("path", "session_id", "cwd", "block", "line", *more, "r")
+
+
+def user_messages(lines: DataFrame, home_prefix: str = "") -> DataFrame:
+    """Non-meta user messages with their full text, not blank.  The parse job keeps the same as a table."""
     df = computed_once(
-        df.select("path", "session_id", "cwd", "block", "line", "v"),
+        _typed(lines, home_prefix),
         {
-            "is_message": F.coalesce(F.try_variant_get("v", "$.line_end", "boolean"), F.lit(False))
-            & (get("type") == "user") & ~truthy(F.col("v"), "$.line.isMeta"),
-            "ts": F.coalesce(get("timestamp"), F.lit("")),
-            "text": content,
+            "is_message": F.col("r").isNotNull() & (F.col("r.type") == "user") & ~F.col("r.is_meta"),
+            "ts": F.coalesce("r.timestamp", F.lit("")),
+            "text": message_text(),
         },
     )
-    return df.filter(F.col("is_message") & (strip(F.col("text")) != "")).drop("v", "is_message")
+    return df.filter(F.col("is_message") & (strip(F.col("text")) != "")).drop("r", "is_message")
 
 
 def invocation_text(lines: DataFrame, invocations: DataFrame, home_prefix: str = "") -> DataFrame:
     """Text of the first line at an invocation's time that has content, redacted.
 
-    ``invocations`` has (session_id, cwd, ts).  Python sees the chosen lines only.
+    ``invocations`` has (session_id, cwd, ts).  Python sees the chosen lines only, and refused ones.
     """
-    get = lambda p, t="string": F.try_variant_get("v", "$.line." + p, t)
-    df = lines if "session_id" in lines.columns else _with_file(lines, home_prefix)
-    df = df.withColumn("v", read_json(strip(F.col("value"))))
-    shape = F.schema_of_variant(get("message.content", "variant"))
     df = computed_once(
-        df.select("path", "session_id", "cwd", "block", "line", "value", "v"),
-        {
-            "has_content": F.coalesce(F.try_variant_get("v", "$.line_end", "boolean"), F.lit(False))
-            & ((shape == "STRING") | shape.startswith("ARRAY")),
-            "ts": get("timestamp"),
-        },
-    ).filter(F.col("has_content") & F.col("ts").isNotNull()).drop("v")
+        _typed(lines, home_prefix, "value"),
+        {"has_content": F.col("r.content").isNotNull() | F.coalesce("r.is_list", F.lit(False)), "ts": F.col("r.timestamp")},
+    ).filter(F.col("has_content") & F.col("ts").isNotNull()).drop("r")
     keys = [*FILE, "ts"]
     chosen = (
         df.join(invocations.select(*keys).distinct(), keys, "left_semi")
@@ -117,10 +103,11 @@ def followups(messages: DataFrame, invocations: DataFrame, window: int = 5,
 
 def skill_evidence(skill: str, lines: DataFrame, skills: DataFrame, sessions: DataFrame,
                    window: int = 5, home_prefix: str = "", home: str = "", with_children: bool = True,
-                   heavy: HeavyKeys | None = None) -> DataFrame:
+                   heavy: HeavyKeys | None = None, messages: DataFrame | None = None) -> DataFrame:
     """One record per invocation of a skill, by time; left out if the user then left the session.
 
-    ``with_children`` false leaves the texts of child sessions empty.
+    ``with_children`` false leaves the texts of child sessions empty.  ``messages`` is the stored table of
+    user messages; with it the raw lines are read for the invocations only.
     """
     # Read several times below, and small against the tables it comes from.
     found = written(
@@ -137,7 +124,11 @@ def skill_evidence(skill: str, lines: DataFrame, skills: DataFrame, sessions: Da
     mine = written(keep_matching(located, found, FILE))
     keys = [*FILE, "ts"]
     asked = invocation_text(mine, found)
-    after = followups(user_messages(mine), found, window, heavy)
+    if messages is None:
+        said = user_messages(mine)
+    else:
+        said = written(keep_matching(messages if with_children else messages.filter("not is_subagent"), found, FILE))
+    after = followups(said, found, window, heavy)
     none = F.array().cast("array<struct<ts:string,text:string>>")
     rows = (
         found.join(asked.withColumnRenamed("path", "a_path"), keys, "left")
