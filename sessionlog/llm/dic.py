@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionlog.functions.joins import keep_matching
 from sessionlog.functions.scratch import scratch_path
 
 from .common import cut_lineage, mix64
@@ -37,6 +38,7 @@ SLICE_BYTES = 1 << 20
 TALLY_ROWS = 1 << 21
 
 _NEVER = 255
+_DEALT = "lang string, text string, doc int"
 # Characters between words of a piece, between pieces, and the case mapping.
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _SPACES = b" \t"
@@ -124,17 +126,18 @@ def _slices(offsets: np.ndarray, data: np.ndarray, most: int) -> Iterator[tuple[
         at = to
 
 
-def _scan(batches: Iterator[pa.RecordBatch], reached: np.ndarray, step: int, longest: int):
+def _scan(batches: Iterator[pa.RecordBatch], reached: np.ndarray, step: int, longest: int, hasher: Hasher):
     """For each slice of the texts: its bytes, words, and by length (places, hashes, scan of activation, reach).
 
-    Hashes and reach are arrays over all words of the slice; only those places have a value
+    Batches have (lang, text, doc).  Hashes and reach are arrays over all words of the slice; only those places have a value
     at which the phrase is active at ``step``.
     """
-    hasher, mask = Hasher(), np.uint64(len(reached) - 1)
+    mask = np.uint64(len(reached) - 1)
     known: dict[str | None, int] = {}
     for batch in batches:
         langs = batch.column(0).to_pylist()
         codes = np.array([known.setdefault(x, lang_hash(x)) for x in langs], np.uint64)
+        numbers = batch.column(2).to_numpy()
         texts = batch.column(1).cast(pa.large_string())
         if not len(texts) or texts.buffers()[2] is None:
             continue
@@ -162,26 +165,26 @@ def _scan(batches: Iterator[pa.RecordBatch], reached: np.ndarray, step: int, lon
                 # Another phrase may have marked the slot before this one was active.
                 r[idx] = np.maximum(reached[(h[idx] & mask).astype(np.int64)], start[idx])
                 levels.append((idx, h, start, r))
-            yield part, s, e, doc, langs, codes, levels
+            yield part, s, e, doc, langs, codes, numbers, levels
 
 
 class _Tally:
-    """Counts by hash, added up in arrays."""
+    """Counts by hash, added up in arrays, each with the number of a document that has it."""
 
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, h: np.ndarray, start: np.ndarray) -> None:
+    def add(self, h: np.ndarray, start: np.ndarray, doc: np.ndarray) -> None:
         u, first, n = np.unique(h, return_index=True, return_counts=True)
-        self.parts.append((u, start[first], n))
+        self.parts.append((u, start[first], n, doc[first]))
         self.size += len(u)
 
     def merged(self):
-        h, start, n = (np.concatenate(x) for x in zip(*self.parts))
+        h, start, n, doc = (np.concatenate(x) for x in zip(*self.parts))
         order = np.argsort(h, kind="stable")
-        h, start, n = h[order], start[order], n[order]
+        h, start, n, doc = h[order], start[order], n[order], doc[order]
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        out = h[at], start[at], np.add.reduceat(n, at)
+        out = h[at], start[at], np.add.reduceat(n, at), doc[at]
         self.parts, self.size = [out], len(at)
         return out
 
@@ -192,26 +195,31 @@ class _Tally:
 
 
 def _counts(texts: DataFrame, reached, step: int, shards: int, longest: int) -> DataFrame:
-    """Counts of one scan: h, k, start, n.  Words per language have k = 0 and the language's hash."""
-    schema = pa.schema([("h", pa.int64()), ("k", pa.int8()), ("start", pa.int16()), ("n", pa.int64())])
+    """Counts of one scan: h, k, start, n, doc.  Words per language have k = 0 and the language's hash.
+
+    ``doc`` is the number of a document with the phrase, 0 for words.
+    """
+    schema = pa.schema([("h", pa.int64()), ("k", pa.int8()), ("start", pa.int16()), ("n", pa.int64()), ("doc", pa.int32())])
 
     def run(batches):
         table = np.frombuffer(reached.value, np.uint8)
         tallies = {k: _Tally() for k in range(longest + 1)}
 
         def rows(k):
-            h, start, n = tallies[k].take()
+            h, start, n, doc = tallies[k].take()
             return pa.RecordBatch.from_arrays(
                 [pa.array(h.view(np.int64)), pa.array(np.full(len(h), k, np.int8)),
-                 pa.array(start.astype(np.int16)), pa.array(n.astype(np.int64))], schema=schema)
+                 pa.array(start.astype(np.int16)), pa.array(n.astype(np.int64)), pa.array(doc)], schema=schema)
 
-        for _, _, _, doc, _, codes, levels in _scan(batches, table, step, longest):
+        for _, _, _, doc, _, codes, numbers, levels in _scan(batches, table, step, longest, Hasher()):
+            none = np.zeros(len(doc), np.int32)
+            number = numbers[doc]
             for k, (idx, h, start, _) in enumerate(levels, 1):
                 if k == 1 and step < shards:
-                    tallies[0].add(codes[doc], np.zeros(len(doc), np.uint8))
+                    tallies[0].add(codes[doc], np.zeros(len(doc), np.uint8), none)
                 counted = idx[step < start[idx].astype(np.int16) + shards]
                 if len(counted):
-                    tallies[k].add(h[counted], start[counted])
+                    tallies[k].add(h[counted], start[counted], (number if k > 1 else none)[counted])
                 if tallies[k].size > TALLY_ROWS:
                     tallies[k].merged()
                     if tallies[k].size > TALLY_ROWS // 2:
@@ -220,36 +228,38 @@ def _counts(texts: DataFrame, reached, step: int, shards: int, longest: int) ->
             if tally.size:
                 yield rows(k)
 
-    return texts.mapInArrow(run, "h long, k byte, start short, n long")
+    return texts.mapInArrow(run, "h long, k byte, start short, n long, doc int")
 
 
 def count_phrases(texts: DataFrame, path: str, least: int, longest: int, shards: int) -> tuple[DataFrame, np.ndarray]:
     """Counts of all words and phrases found ``least`` times, and the table of reached slots.
 
-    ``texts`` has (lang, text).  Result: h, k (words; 0 for all words of a language), n.
+    ``texts`` has (lang, text).  Result: h, k (words; 0 for all words of a language), n, doc (number of a document with it).
     The texts are written to ``path``, one folder for each shard.
     """
     spark = texts.sparkSession
+    place = F.monotonically_increasing_id()
     (texts.filter("text is not null").select("lang", "text")
-     .withColumn("shard", (F.monotonically_increasing_id() % shards).cast("int"))
+     .withColumns({"shard": (place % shards).cast("int"), "doc": F.hash(place)})  # two documents may share a number
      .write.partitionBy("shard").parquet(path))
-    dealt = spark.read.schema("lang string, text string, shard int").parquet(path)
+    dealt = spark.read.schema(f"{_DEALT}, shard int").parquet(path)
     size = dealt.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slots = 1 << min(MOST_SLOTS.bit_length() - 1, max(16, (size // SLOT_BYTES).bit_length()))
     table = np.full(slots, _NEVER, np.uint8)
     open_, done, step = None, [], 0
     while True:
         sent = spark.sparkContext.broadcast(table.tobytes())  # at most MOST_SLOTS bytes
-        shard = dealt.filter(F.col("shard") == step % shards).select("lang", "text")
+        shard = dealt.filter(F.col("shard") == step % shards).select("lang", "text", "doc")
         fresh = _counts(shard, sent, step, shards, longest).withColumn("reach", F.lit(None).cast("short"))
         rows = fresh if open_ is None else fresh.unionByName(open_)
         over = F.col("n") >= least
-        state = rows.groupBy("h", "k", "start").agg(F.sum("n").alias("n"), F.min("reach").alias("reach")).withColumns({
+        state = rows.groupBy("h", "k", "start").agg(
+            F.sum("n").alias("n"), F.min("doc").alias("doc"), F.min("reach").alias("reach")).withColumns({
             "reach": F.coalesce("reach", F.when(over, F.lit(step + 1).cast("short"))),
             "whole": F.col("start") + (shards - 1) <= step})
         state = cut_lineage(state.filter(~F.col("whole") | over | (F.col("k") == 0)))
         sent.unpersist()
-        done.append(state.filter("whole").select("h", "k", "n"))
+        done.append(state.filter("whole").select("h", "k", "n", "doc"))
         open_ = state.filter("not whole").drop("whole")
         step += 1
         # Phrases of full length activate nothing, but they are looked up by this table in the end.
@@ -267,36 +277,47 @@ def _mark(table: np.ndarray, reached: DataFrame, step: int) -> None:
     """Note the slots of newly reached phrases; an earlier scan stays.  They arrive as bitmaps."""
     slot = F.col("h").bitwiseAND(F.lit(len(table) - 1)) + 1
     for row in reached.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toLocalIterator():
+            F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():  # at most MOST_SLOTS bits
         bits = np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little").astype(bool)
         at = (row.bucket - 1) << 15
         here = table[at:at + len(bits)]
         here[bits[:len(here)] & (here == _NEVER)] = step
 
 
-def _phrases(dealt: DataFrame, reached, longest: int) -> DataFrame:
-    """Texts of reached phrases of two words and more: h, k, lang, phrase; one row for each task that has it."""
+def _phrases(dealt: DataFrame, counts: DataFrame, reached, longest: int) -> DataFrame:
+    """Texts of the phrases of ``counts`` (h, k, n, doc): h, k, n, lang, phrase.
+
+    Each phrase is looked up in the document that came with its count, so a text is made once for each phrase
+    (more often where documents share a number).
+    """
+    wanted = counts.filter("k > 1").groupBy("doc").agg(F.collect_list("h").alias("hs"))  # no more than its text has
+    wanted = cut_lineage(wanted)
+    docs = keep_matching(dealt, wanted, ["doc"]).join(wanted, "doc").select("lang", "text", "doc", "hs")
     schema = pa.schema([("h", pa.int64()), ("k", pa.int8()), ("lang", pa.string()), ("phrase", pa.string())])
 
     def run(batches):
-        table, seen = np.frombuffer(reached.value, np.uint8), set()
-        for part, s, e, doc, langs, _, levels in _scan(batches, table, _NEVER - 1, longest):
-            out = []
-            for k, (idx, h, _, reach) in enumerate(levels, 1):
-                here = idx[reach[idx] != _NEVER]
-                if k == 1 or not len(here):
-                    continue
-                found, first = np.unique(h[here], return_index=True)
-                for x, i in zip(found.tolist(), here[first].tolist()):
-                    if (x, k) not in seen:
-                        seen.add((x, k))
-                        words = (part[s[j]:e[j]].tobytes().lower() for j in range(i, i + k))
-                        out.append((x - (1 << 64) if x >> 63 else x, k, langs[doc[i]], b" ".join(words).decode()))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-
-    return dealt.mapInArrow(run, "h long, k byte, lang string, phrase string")
+        table, hasher = np.frombuffer(reached.value, np.uint8), Hasher()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                hs = one.column(3)[0].values.to_numpy().view(np.uint64)
+                out, seen = [], set()
+                for part, s, e, _, langs, _, _, levels in _scan([one], table, _NEVER - 1, longest, hasher):
+                    for k, (idx, h, _, _) in enumerate(levels, 1):
+                        here = idx[np.isin(h[idx], hs)] if k > 1 else idx[:0]
+                        found, first = np.unique(h[here], return_index=True)
+                        for x, i in zip(found.tolist(), here[first].tolist()):
+                            if (x, k) not in seen:
+                                seen.add((x, k))
+                                words = (part[s[j]:e[j]].tobytes().lower() for j in range(i, i + k))
+                                out.append((x - (1 << 64) if x >> 63 else x, k, langs[0], b" ".join(words).decode()))
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+    found = docs.mapInArrow(run, "h long, k byte, lang string, phrase string").groupBy("h", "k").agg(
+        F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    return found.join(counts.select("h", "k", "n"), ["h", "k"]).select("h", "k", "lang", "phrase", "n")
 
 
 def _with_parts(phrases: DataFrame) -> DataFrame:
@@ -347,11 +368,9 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     path = scratch_path(spark)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     counts, table = count_phrases(texts, path, least, longest, shards)
-    dealt = spark.read.schema("lang string, text string").parquet(path)
+    dealt = spark.read.schema(_DEALT).parquet(path)
     sent = spark.sparkContext.broadcast(table.tobytes())  # at most MOST_SLOTS bytes
-    told = _phrases(dealt, sent, longest).groupBy("h", "k").agg(F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
-    found = cut_lineage(_with_parts(cut_lineage(
-        told.join(counts.filter("k > 1"), ["h", "k"]).select("h", "k", "lang", "phrase", "n"))))
+    found = cut_lineage(_with_parts(cut_lineage(_phrases(dealt, counts, sent, longest))))
     sent.unpersist()
 
     part = lambda side, at, n: counts.select(F.col("h").alias(side), F.col("k").alias(at), F.col("n").alias(n))
