@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,22 @@ from sessionlog.llm.common import cut_lineage, load, with_row_key
 from sessionlog.llm.queries import find_package, vocabulary_path
 
 _KEY = ["id", "tk"]
+_NO_ID = -(1 << 63)
+
+#: The columns of documents; others are carried under names of their own while a stage works.
+_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _carrying(stage):
+    """The stage, with other columns of ``docs`` renamed while it works: none can clash with its own names."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in _COLUMNS]
+        safe = {c: f"_carried_{i}" for i, c in enumerate(others)}
+        out = stage(spark, docs.withColumnsRenamed(safe), sf_dir)
+        return out.withColumnsRenamed({s: c for c, s in safe.items() if s in out.columns})
+
+    return run
 
 #: SQL has no hashed n-gram classifier, cube sampling or byte-pair merges.
 ORACLE_SQL = None
@@ -23,27 +41,34 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return with_row_key(docs).join(F.broadcast(gone) if few else gone, _KEY, "left_anti").select(*docs.columns)
 
 
+@_carrying
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling draws."""
     judged = resample.quality_filter(with_row_key(docs), load(spark, sf_dir, "labels"), carry=_KEY)
     return _without(docs, judged.filter("not kept"))
 
 
+@_carrying
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id.
+    """Of each group of near duplicates (five words, 0.8) one document: that with the smallest id, then text hash.
 
-    Repeated rows of it go, too.  Rows with null ids stay if no row with an id is in their class.
+    Of rows with the same id and text one stays.  A group in which no row has an id is known by its texts
+    only: of equal texts one stays.
     """
-    found = jaccard.classes(with_row_key(docs), 5, 80, carry=_KEY)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = cut_lineage(jaccard.classes(with_row_key(docs), 5, 80, carry=_KEY).filter("n_shingles > 0").select(
+        *_KEY, "component_id"))
+    first = found.filter("component_id is not null").groupBy("component_id").agg(
+        F.min(F.struct(F.when(F.col("id") > _NO_ID, F.col("id")).isNull().alias("no_id"), "id", "tk")).alias("first"))
+    gone = found.join(first, "component_id").filter("not (id = first.id and tk = first.tk)")
     rows = _without(docs, gone)
-    again = with_row_key(rows).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and id > -9223372036854775808")
+    again = with_row_key(rows).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if again.isEmpty():
         return rows
     twice = with_row_key(rows).join(again, _KEY, "left_semi").dropDuplicates(_KEY).select(*docs.columns)
     return _without(rows, again).unionByName(twice)
 
 
+@_carrying
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts less every 200-byte string found twice; characters cut in half go, and n_chars follows.
 
@@ -57,6 +82,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             F.length(text)).cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
 
 
+@_carrying
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mixture of sources takes."""
     taken = cube.mix(with_row_key(docs), carry=_KEY).filter("copies > 0").select(*_KEY, "copies")
@@ -67,6 +93,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
+@_carrying
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text: doc_id, source, n_tokens, ids."""
     return bpe.encode(docs, vocabulary_path(), carry=["source"])
