@@ -22,6 +22,9 @@ PASSAGE = 16
 #: Labelled documents that the fit looks at, at most (those with the smallest hashes of their ids).
 FIT_ROWS = 100_000
 
+#: Words whose tokens a task remembers; they go with the task.
+KNOWN_WORDS = 300_000
+
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -29,22 +32,33 @@ class _Features:
     """Buckets of the tokens and token pairs of many texts at once."""
 
     def __init__(self):
-        self.known: dict[bytes, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Tokens of all known words one after the other; a word's number, start and length.
+        self.known: dict[bytes, int] = {}
+        self.pool, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[bytes]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self._forget()
+            new = words
+        found = [[zlib.crc32(t.encode()) for t in _TOKEN.findall(w.decode().lower())] for w in new]
+        sizes = np.array([len(f) for f in found], np.int64)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.array([t for f in found for t in f], np.uint64)])
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """64-bit token hashes of all texts one after the other, and the number of each text's."""
         words = [t.encode().split() if t else [] for t in texts]
         flat = [w for ws in words for w in ws]
         code, unique = pd.factorize(np.array(flat, object)) if flat else (np.zeros(0, np.int64), [])
-        if len(self.known) + len(unique) > 700_000:
-            self.known.clear()
-        for w in unique:
-            if w not in self.known:
-                self.known[w] = np.array([zlib.crc32(t.encode()) for t in _TOKEN.findall(w.decode().lower())], np.uint64)
-        parts = [self.known[w] for w in unique]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        pool = np.concatenate(parts) if len(parts) else np.zeros(0, np.uint64)
-        starts = np.cumsum(sizes) - sizes
+        self._learn(list(unique))
+        number = np.array([self.known[w] for w in unique], np.int64)
+        pool, starts, sizes = self.pool, self.starts[number], self.sizes[number]
         of = sizes[code] if len(sizes) else np.zeros(0, np.int64)
         at = np.repeat(starts[code] - (np.cumsum(of) - of), of) + np.arange(of.sum()) if len(of) else of
         ends = np.concatenate([[0], np.cumsum(of)])
@@ -63,13 +77,6 @@ class _Features:
         return one, two
 
 
-_STATE: dict[str, _Features] = {}
-
-
-def _features() -> _Features:
-    return _STATE.setdefault("features", _Features())
-
-
 def bucket_counts(docs: DataFrame) -> DataFrame:
     """bucket, target, raw: n-grams of the documents flagged ``target`` and of all, over whole texts.
 
@@ -79,7 +86,7 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
         from .common import chunks
 
         sums = np.zeros((2, UNIGRAMS + BIGRAMS), np.int64)
-        features = _features()
+        features = _Features()
         for batch in batches:
             for part in chunks(batch):
                 tokens, sizes = features.tokens(part.column("text").to_pylist())
@@ -125,7 +132,7 @@ def log_weights(docs: DataFrame, table: np.ndarray, keep: list[str]) -> DataFram
     schema = docs.select(*keep).schema.add("log_weight", "double")
 
     def make():
-        features = _features()
+        features = _Features()
 
         def run(batch: pa.RecordBatch) -> dict:
             ratios = shared.value

@@ -34,16 +34,46 @@ def test_each_stage_takes_effect(spark, staged):
     assert staged[5].count() == staged[4].count()
 
 
+CLASHES = ["id", "tk", "copy", "copies", "kept", "spans", "n_spans", "whole", "component_id", "n_shingles", "first",
+           "log_weight", "n_removed", "size", "taken", "key", "ids", "n_tokens"]
+
+
 def test_edge_rows(spark, docs):
-    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    """Nulls, empty and repeated rows go through all stages, and other columns keep their values."""
+    names = [*corpus_pipeline._COLUMNS, *CLASHES]
+    # What an extra column holds follows from the row, so it can be told whether it was changed.
+    rows = [(*r, *[f"{c} {r.doc_id}" for c in CLASHES])
+            for r in docs.select(*corpus_pipeline._COLUMNS).collect()]
+    plain = spark.createDataFrame(rows, ", ".join(
+        [*(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*corpus_pipeline._COLUMNS).schema), *(f"`{c}` string" for c in CLASHES)]))
+    assert plain.columns == names
     left = plain
-    for _, stage in corpus_pipeline.STAGES:
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in left.select("doc_id").collect()}
         left = cut_lineage(stage(spark, left, SF))
-    assert left.count() >= 0
+        assert left.columns == names
+        got = left.collect()
+        assert got and {r.doc_id for r in got} <= before
+        assert all(r[c] == f"{c} {r.doc_id}" for r in got for c in CLASHES)
+    ids = stage_ids = corpus_pipeline.STAGES[-1][1](spark, left, SF).collect()
+    assert len(ids) == left.count() and stage_ids[0].asDict().keys() == {"doc_id", "source", "n_tokens", "ids"}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, plain.limit(0), SF).count() == 0
 
 
+def test_one_of_each_group(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    near, other = text + " end", " ".join(f"thing{i}" for i in range(60))
+    rows = [(5, text), (3, near), (3, text), (None, near), (9, other), (None, other), (None, "only null ids here at all"),
+            (None, "only null ids here at all"), (7, None), (7, ""), (8, "  "), (8, "  "), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each(spark, docs, SF).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got if r.doc_id in (3, 5, 9) or r.text == "only null ids here at all") in [
+        sorted([("3", t), ("9", other), ("None", "only null ids here at all")]) for t in (text, near)]
+    assert sorted(str(r.doc_id) for r in got if not (r.text or "").strip()) == ["7", "7", "8", "None"]
+    assert len(got) == 7
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
