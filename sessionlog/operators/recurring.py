@@ -15,9 +15,9 @@ from .sequences import CALL_ORDER
 PRECEDING_TOOLS = 3
 
 
-def signal_correction_clusters(events: DataFrame, calls: DataFrame, heavy: HeavyKeys | None = None,
-                               pattern: str = CORRECTION_PATTERN) -> DataFrame:
-    """How often each list of the (up to three) tool calls before a correction occurs.
+def tools_before_corrections(events: DataFrame, calls: DataFrame, heavy: HeavyKeys | None = None,
+                             pattern: str = CORRECTION_PATTERN) -> DataFrame:
+    """(session_id, preceding_tools) of each correction: the names of up to three tool calls before it.
 
     Taken are the calls with the highest positions among those strictly earlier.
     """
@@ -43,7 +43,13 @@ def signal_correction_clusters(events: DataFrame, calls: DataFrame, heavy: Heavy
         .result()
         .filter(F.col("rank") == 0)
     )
-    return seen.groupBy(F.reverse(F.col("top.name")).alias("preceding_tools")).agg(
+    return seen.select("session_id", F.reverse(F.col("top.name")).alias("preceding_tools"))
+
+
+def signal_correction_clusters(events: DataFrame, calls: DataFrame, heavy: HeavyKeys | None = None,
+                               pattern: str = CORRECTION_PATTERN) -> DataFrame:
+    """How often each list of the (up to three) tool calls before a correction occurs."""
+    return tools_before_corrections(events, calls, heavy, pattern).groupBy("preceding_tools").agg(
         F.count(F.lit(1)).cast("int").alias("occurrences")
     )
 

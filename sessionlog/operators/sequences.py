@@ -49,17 +49,18 @@ def tool_sequences(calls: DataFrame, ns: tuple[int, ...] = (2, 3, 4, 5),
     )
 
 
-def signal_recurring_sequences(sequences: DataFrame, sessions: DataFrame,
-                               min_sessions: int = 5, min_projects: int = 3) -> DataFrame:
-    """n-grams found in enough sessions and enough projects."""
-    # Each n-gram occurs once per session, so only projects need a distinct: counting
-    # per (n-gram, project) first keeps a frequent n-gram from filling one task.
-    per_project = (
+def sequences_by_project(sequences: DataFrame, sessions: DataFrame, *keys: str) -> DataFrame:
+    """Sessions with an n-gram, by project: sequence, n, project (and ``keys`` of the sessions), sessions."""
+    return (
         sequences.select("session_id", "n", "sequence")
-        .join(sessions.select("session_id", "project"), "session_id")
-        .groupBy("sequence", "n", "project")
+        .join(sessions.select("session_id", "project", *keys), "session_id")
+        .groupBy(*keys, "sequence", "n", "project")
         .agg(F.count(F.lit(1)).alias("sessions"))
     )
+
+
+def recurring_of(per_project: DataFrame, min_sessions: int = 5, min_projects: int = 3) -> DataFrame:
+    """n-grams found in enough sessions and enough projects, from their counts by project."""
     return (
         per_project.groupBy("sequence", "n")
         .agg(
@@ -68,3 +69,11 @@ def signal_recurring_sequences(sequences: DataFrame, sessions: DataFrame,
         )
         .filter((F.col("sessions") >= min_sessions) & (F.col("projects") >= min_projects))
     )
+
+
+def signal_recurring_sequences(sequences: DataFrame, sessions: DataFrame,
+                               min_sessions: int = 5, min_projects: int = 3) -> DataFrame:
+    """n-grams found in enough sessions and enough projects."""
+    # Each n-gram occurs once per session, so only projects need a distinct: counting
+    # per (n-gram, project) first keeps a frequent n-gram from filling one task.
+    return recurring_of(sequences_by_project(sequences, sessions), min_sessions, min_projects)

@@ -36,15 +36,17 @@ def signal_skill_eligible_missed(calls: DataFrame, skills: DataFrame, signatures
         .result()
         .withColumn("window", F.reverse("window"))
     )
-    # An equi-join on the first tool.  Spark knows no size of the signatures, so they are
-    # counted; the calls, whose tool names are few and frequent, then stay where they are.
-    sigs = signatures.filter(F.size("signature") > 0).select(
-        "skill_name", "signature", F.col("signature")[0].alias("tool_name")
-    )
+    # An equi-join on whole signatures: a call asks once for each length that signatures have, however many
+    # there are.  Spark knows no size of the signatures, so they are counted; the calls then stay where they are.
+    sigs = signatures.filter(F.size("signature") > 0).select("skill_name", "signature")
     few = sigs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    lengths = sorted(r[0] for r in sigs.select(F.size("signature")).distinct().collect())  # at most `longest`
+    if not lengths:
+        return ahead.select("session_id", F.lit("").alias("skill_name"), F.col("position").cast("int")).limit(0)
+    starts = F.array_compact(F.array(*[F.when(F.size("window") >= n, F.slice("window", 1, n)) for n in lengths]))
     hits = (
-        ahead.join(F.broadcast(sigs) if few else sigs, "tool_name")
-        .filter(F.slice("window", 1, F.size("signature")) == F.col("signature"))
+        ahead.select("session_id", "position", F.explode(starts).alias("signature"))
+        .join(F.broadcast(sigs) if few else sigs, "signature")
         .groupBy("session_id", "skill_name")
         .agg(F.min("position").cast("int").alias("position"))
     )

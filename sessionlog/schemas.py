@@ -52,6 +52,22 @@ TOOL_SEQUENCES = columns_of(
 
 PAYLOADS = columns_of("prefix string, hash string, content string")
 MANIFEST = columns_of("session_id string, last_ts string")
+FILES = columns_of("path string, session_id string, size bigint, modified bigint, place bigint, mark string")
+
+# Parsed lines as stored (redacted), so that a grown file is read from its old end on only.
+LINES = columns_of(
+    "session_id string, path string, line bigint, status string, is_event boolean, type string, ts string, uuid string, "
+    "parent_uuid string, subtype string, is_sidechain boolean, is_meta boolean, role string, model string, "
+    "ai_title string, input_tokens bigint, output_tokens bigint, cache_read bigint, cache_creation bigint, "
+    "duration_ms bigint, text_len bigint, text_head string, slash string"
+) | {
+    "blocks": "array<struct<block_idx:int,kind:string,tool_name:string,link:string,args_json:string,skill:string,"
+              "skill_args:string,file_path:string,old_string:string,size:bigint,ok:boolean>>",
+    "message": "struct<ts:string,text:string>",
+}
+
+USER_MESSAGES = columns_of(
+    "session_id string, path string, cwd string, is_subagent boolean, block string, line bigint, ts string, text string")
 
 SIGNALS = {
     "signal_bloat": "session_id string, event_id string, tool_name string, result_size bigint, "
@@ -73,6 +89,20 @@ BASE_TABLES = {
     "tool_calls": TOOL_CALLS,
     "skill_invocations": SKILL_INVOCATIONS,
     "tool_sequences": TOOL_SEQUENCES,
+    "user_messages": USER_MESSAGES,
+    "lines": LINES,
+}
+
+#: Signals of single sessions, kept by piece; the others are totals over all sessions.
+SESSION_SIGNALS = [n for n in SIGNALS if n not in ("signal_recurring_sequences", "signal_correction_clusters")]
+
+# What the totals are made of, for each piece, and the totals; which pieces are in them.
+PARTS = {
+    "recurring_parts": columns_of("sequence array<string>, n int, project string, sessions bigint"),
+    "recurring_totals": columns_of("sequence array<string>, n int, project string, sessions bigint"),
+    "cluster_parts": columns_of("preceding_tools array<string>, occurrences bigint"),
+    "cluster_totals": columns_of("preceding_tools array<string>, occurrences bigint"),
+    "derived": columns_of("of_day string, of_bucket int, of_version string, params string"),
 }
 
 

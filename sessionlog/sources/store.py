@@ -1,129 +1,245 @@
-"""The stored tables: Parquet, partitioned by the day a session started."""
+"""The stored tables: Parquet in pieces, one folder for each version of a piece.
+
+A piece of a table is a day on which sessions started, or one of ``buckets`` parts of it.  A change writes
+the touched pieces as new folders beside the old ones, then the list of the folders that are
+now in use (``live``), then one row in ``pointer``.  Readers take the last row there, so they see the old version
+until that row is written, and a change that broke off leaves nothing but folders
+that no list names.  Nothing is overwritten; :meth:`SessionStore.unused` finds what may be deleted.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import written
 from ..operators.incremental import replace_sessions
-from ..schemas import BASE_TABLES, MANIFEST, PAYLOADS, SIGNALS, columns_of
+from ..schemas import BASE_TABLES, FILES, MANIFEST, PARTS, PAYLOADS, SIGNALS, columns_of
 
-DAY = "day"
-#: Days touched by one load that are listed by name; more of them are joined as a table.
-MAX_DAYS = 5_000
+DAY, BUCKET, VERSION = "day", "bucket", "version"
+_PIECE = [DAY, BUCKET]
+_LIVE = "name string, day string, bucket int, version string"
+_POINTER = "n bigint, version string"
+#: Pieces that are read by the names of their folders; more of them are joined as a table.
+MAX_PIECES = 20_000
+#: Tables that are written as a whole.
+_WHOLE = {"manifest": MANIFEST, "files": FILES}
 
 
 def day_of(started_at: Column) -> Column:
-    """Partition of a session: the date part of its start, ``none`` if it has no time."""
+    """Day of a session: the date part of its start, ``none`` if it has no time."""
     day = F.regexp_extract(started_at, r"^\d{4}-\d{2}-\d{2}", 0)
     return F.coalesce(F.nullif(day, F.lit("")), F.lit("none"))
 
 
 class SessionStore:
-    """Base tables, payloads, manifest and signals below one folder."""
+    """Base tables, payloads, manifest and signals below one folder.
+
+    ``buckets`` cuts each day by a hash of the session, so that a change rewrites less of a large day.  It
+    is fixed with the first write of a store.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 1):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._pinned: tuple[int, str | None] | None = None
+        self._listed: tuple[str, list] | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _read(self, name: str, columns: dict[str, str], partition: str | None = None) -> DataFrame:
-        ddl = ", ".join(f"`{c}` {t}" for c, t in columns.items())
-        if partition and partition not in columns:
-            ddl += f", {partition} string"
+    # -- versions -----------------------------------------------------------
+
+    def _parquet(self, ddl: str, *paths: str, base: str | None = None) -> DataFrame:
+        """Files with a given schema; no rows if there are none."""
+        reader = self.spark.read.schema(ddl)
         try:
-            # With a schema, partition values stay text, whatever they look like.
-            return self.spark.read.schema(ddl).parquet(self.path(name))
+            return (reader.option("basePath", base) if base else reader).parquet(*paths)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], ddl)
 
+    def version(self) -> tuple[int, str | None]:
+        """Number and name of the version that readers see now; (0, None) before the first one."""
+        if self._pinned is not None:
+            return self._pinned
+        last = self._parquet(_POINTER, self.path("pointer")).agg(F.max(F.struct("n", VERSION)).alias("p")).first().p
+        return (last.n, last.version) if last else (0, None)
+
+    def snapshot(self) -> SessionStore:
+        """The store as it is now: all tables read from it are of one version."""
+        fixed = SessionStore(self.spark, self.root, self.buckets)
+        fixed._pinned = self.version()
+        return fixed
+
+    def live(self, version: str | None = None) -> DataFrame:
+        """(name, day, bucket, version): the folders in use."""
+        version = version or self.version()[1]
+        if version is None:
+            return self.spark.createDataFrame([], _LIVE)
+        if self._listed is None or self._listed[0] != version:
+            rows = self._parquet(_LIVE, f"{self.path('live')}/{version}")
+            few = rows.limit(MAX_PIECES + 1).collect()
+            if len(few) > MAX_PIECES:
+                return rows
+            self._listed = version, few
+        return self.spark.createDataFrame(self._listed[1], _LIVE)
+
+    def _commit(self, version: str, replaced: DataFrame) -> None:
+        """Make ``replaced`` (name, day, bucket), written under ``version``, the pieces in use."""
+        n, old = self.version()
+        kept = self.live(old) if old else self.spark.createDataFrame([], _LIVE)
+        kept = kept.join(replaced, ["name", *_PIECE], "left_anti")
+        rows = kept.unionByName(replaced.withColumn(VERSION, F.lit(version)))
+        rows.coalesce(1).write.parquet(f"{self.path('live')}/{version}")
+        self.spark.createDataFrame([(n + 1, version)], _POINTER).coalesce(1).write.mode("append").parquet(self.path("pointer"))
+
+    def unused(self) -> list[str]:
+        """Folders of older versions and of changes that broke off; for deletion when no reader needs them."""
+        used = {f"{r.name}/{DAY}={r.day}/{BUCKET}={r.bucket}/{VERSION}={r.version}" for r in self.live().collect()}
+        _, now = self.version()
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+            "pathGlobFilter", "*.parquet").load(self.root)
+        folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+        found = {r[0] for r in files.select(folder).distinct().collect()}  # one row a folder
+        keep = lambda f: any(f.endswith("/" + u) for u in used) or f.endswith((f"/live/{now}", "/pointer")) or "/payloads/" in f
+        return sorted(f for f in found if not keep(f))
+
+    # -- reading ------------------------------------------------------------
+
+    def pieces(self, name: str, wanted: DataFrame | None = None) -> DataFrame:
+        """A table's rows with ``day`` and ``bucket``, of the ``wanted`` pieces only if given.
+
+        Folders are read by name, so a filter on ``day`` prunes them.
+        """
+        columns = {**BASE_TABLES, **_WHOLE, **PARTS}.get(name) or columns_of(SIGNALS[name])
+        ddl = ", ".join(f"`{c}` {t}" for c, t in columns.items()) + f", {DAY} string, {BUCKET} int, {VERSION} string"
+        folders = self.live().filter(F.col("name") == name)
+        if wanted is not None:
+            folders = folders.join(wanted.select(*_PIECE), _PIECE, "left_semi")
+        names = folders.limit(MAX_PIECES + 1).collect()
+        if not names:
+            return self.spark.createDataFrame([], ddl).drop(VERSION)
+        base = self.path(name)
+        if len(names) > MAX_PIECES:
+            return self._parquet(ddl, base).join(folders.drop("name"), [*_PIECE, VERSION], "left_semi").drop(VERSION)
+        paths = [f"{base}/{DAY}={r.day}/{BUCKET}={r.bucket}/{VERSION}={r.version}" for r in names]
+        return self._parquet(ddl, *paths, base=base).drop(VERSION)
+
+    def _rows(self, name: str, wanted: DataFrame | None = None) -> DataFrame:
+        """Rows with a session; a row without one only marks a piece that may have lost all its rows."""
+        return self.pieces(name, wanted).filter(F.col("session_id").isNotNull())
+
     def table(self, name: str) -> DataFrame:
-        """A base table.  Rows without a session only mark a partition as rewritten."""
-        rows = self._with_day(name).filter(F.col("session_id").isNotNull())
-        return rows.drop(DAY)
+        """A base table."""
+        return self._rows(name).drop(*_PIECE)
 
     def of_session(self, session_id: str, with_subagents: bool = False) -> dict[str, DataFrame]:
-        """The base tables of a session (and of its children), read from its days only."""
-        sessions = self._with_day("sessions")
+        """The base tables of a session (and of its children), read from its pieces only."""
         mine = F.col("session_id") == session_id
         if with_subagents:
             mine = mine | (F.col("parent_session_id") == session_id)
-        days = sessions.filter(mine).select(DAY).distinct()
-        names = [r[DAY] for r in days.limit(MAX_DAYS + 1).collect()]
-        out = {}
-        for name in BASE_TABLES:
-            rows = self._with_day(name).filter(F.col("session_id").isNotNull())
-            rows = rows.filter(F.col(DAY).isin(*names)) if len(names) <= MAX_DAYS else rows
-            out[name] = rows.drop(DAY)
-        return out
-
-    def _with_day(self, name: str) -> DataFrame:
-        return self._read(name, BASE_TABLES[name], DAY)
+        now = self.snapshot()
+        pieces = now.pieces("sessions").filter(mine).select(*_PIECE).distinct()
+        pieces = self.spark.createDataFrame(pieces.collect(), f"{DAY} string, {BUCKET} int")  # one row a piece
+        return {name: now._rows(name, pieces).drop(*_PIECE) for name in BASE_TABLES if name != "lines"}
 
     def manifest(self) -> DataFrame:
-        return self._read("manifest", MANIFEST)
+        return self.pieces("manifest").drop(*_PIECE)
+
+    def files(self) -> DataFrame:
+        """Files by size, time, and the place up to which they are in ``lines``."""
+        return self.pieces("files").drop(*_PIECE)
 
     def payloads(self) -> DataFrame:
-        return self._read("payloads", PAYLOADS)
+        return self._parquet(", ".join(f"`{c}` {t}" for c, t in PAYLOADS.items()), self.path("payloads"))
 
     def signal(self, name: str) -> DataFrame:
-        return self._read(name, columns_of(SIGNALS[name]))
+        rows = self.pieces(name).drop(*_PIECE)
+        first = rows.columns[0]
+        return rows.filter(F.col(first).isNotNull())
 
     def tables(self) -> dict[str, DataFrame]:
-        """All tables by name, as far as they are for reading by SQL."""
+        """All tables by name, of one version, as far as they are for reading by SQL; base tables with
+        ``day``, by which they can be pruned."""
+        now = self.snapshot()
         return {
-            **{n: self.table(n) for n in BASE_TABLES},
-            **{n: self.signal(n) for n in SIGNALS},
+            **{n: now._rows(n).drop(BUCKET) for n in BASE_TABLES if n != "lines"},
+            **{n: now.signal(n) for n in SIGNALS},
         }
 
     # -- writing ------------------------------------------------------------
 
-    def _write_days(self, name: str, df: DataFrame) -> None:
-        (
-            df.hint("rebalance", DAY)  # whole days per file where small, several files where large
-            .sortWithinPartitions("session_id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(DAY)
-            .parquet(self.path(name))
-        )
-
-    def replace(self, new: dict[str, DataFrame], replaced: DataFrame) -> None:
-        """Replace all rows of the ``replaced`` sessions (session_id, day) by ``new`` ones.
-
-        Only days that hold an old or a new version of such a session are
-        rewritten.  The merged rows are written aside before a day is overwritten,
-        since they are read from it.  The old days are those in ``sessions``, so that table
-        is written last: a load that broke off is repeated over the same days.
+    def piece_of(self, day: Column, session_id: Column) -> list[Column]:
+        return [day.alias(DAY), F.pmod(F.xxhash64(session_id), F.lit(self.buckets)).cast("int").alias(BUCKET)]
+
+    def _write(self, name: str, df: DataFrame, version: str) -> None:
+        """Pieces of a table as new folders."""
+        by = [c for c in ("session_id", "path") if c in df.columns][:1]
+        df = df.hint("rebalance", *_PIECE)  # whole pieces per file where small, several files where large
+        df = df.sortWithinPartitions(*_PIECE, *by) if by else df
+        writer = df.withColumn(VERSION, F.lit(version)).write.mode("append").partitionBy(*_PIECE, VERSION)
+        if name == "sessions":  # looked up by id
+            writer = writer.option("parquet.bloom.filter.enabled#session_id", "true").option(
+                "parquet.bloom.filter.adaptive.enabled", "true")
+        writer.parquet(self.path(name))
+
+    def _marked(self, df: DataFrame, pieces: DataFrame) -> DataFrame:
+        """With a row of nulls for each piece, so that each has a folder."""
+        marks = pieces.select(*[(F.col(c) if c in _PIECE else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes])
+        return df.unionByName(marks)
+
+    def new_version(self) -> str:
+        return uuid.uuid4().hex
+
+    def replace(self, new: dict[str, DataFrame], replaced: DataFrame, whole: dict[str, DataFrame] | None = None) -> None:
+        """Replace all rows of the ``replaced`` sessions (session_id, day) by ``new`` ones, in one version.
+
+        ``whole`` has tables to be written as a whole in the same version.  Only pieces that hold an old
+        or a new version of such a session are rewritten.
         """
-        old = self._with_day("sessions").filter(F.col("session_id").isNotNull()).select("session_id", DAY)
-        old_days = old.join(replaced.select("session_id"), "session_id", "left_semi").select(DAY)
-        days = written(old_days.union(replaced.select(DAY)).distinct())
-        names = [r[DAY] for r in days.limit(MAX_DAYS + 1).collect()]
-        for name, rows in sorted(new.items(), key=lambda item: item[0] == "sessions"):
-            existing = self._with_day(name).filter(F.col("session_id").isNotNull())
-            if len(names) <= MAX_DAYS:
-                existing = existing.filter(F.col(DAY).isin(*names))
-            else:
-                existing = existing.join(days, DAY, "left_semi")
+        version = self.new_version()
+        old = self._rows("sessions").select("session_id", *_PIECE)
+        old = old.join(replaced.select("session_id"), "session_id", "left_semi").select(*_PIECE)
+        fresh = replaced.select(*self.piece_of(F.col(DAY), F.col("session_id")))
+        pieces = self.spark.createDataFrame(  # one row a piece
+            old.union(fresh).distinct().collect(), f"{DAY} string, {BUCKET} int")
+        for name, rows in new.items():
+            existing = self._rows(name, pieces)
+            rows = rows.withColumn(BUCKET, self.piece_of(F.col(DAY), F.col("session_id"))[1])
             merged = replace_sessions(existing, rows.select(*existing.columns), replaced)
-            # A day that lost its last row must still be overwritten.
-            marks = days.select(
-                *[(F.col(DAY) if c == DAY else F.lit(None).cast(t)).alias(c) for c, t in existing.dtypes]
-            )
-            self._write_days(name, written(merged.unionByName(marks)))
+            self._write(name, self._marked(merged, pieces), version)
+        done = [pieces.select(F.lit(n).alias("name"), *_PIECE) for n in new]
+        self._finish(done, whole or {}, version)
+
+    def put_pieces(self, tables: dict[str, DataFrame], pieces: DataFrame, whole: dict[str, DataFrame] | None = None) -> None:
+        """Write ``pieces`` of tables (rows with day and bucket) anew, in one version."""
+        version = self.new_version()
+        for name, rows in tables.items():
+            self._write(name, self._marked(rows, pieces), version)
+        self._finish([pieces.select(F.lit(n).alias("name"), *_PIECE) for n in tables], whole or {}, version)
+
+    def _finish(self, done: list[DataFrame], whole: dict[str, DataFrame], version: str) -> None:
+        for name, rows in whole.items():
+            self._write_whole(name, rows, version)
+        listed = self.spark.createDataFrame([(n, "all", 0) for n in whole], "name string, day string, bucket int")
+        for df in done:
+            listed = listed.unionByName(df)
+        self._commit(version, listed)
+
+    def _write_whole(self, name: str, df: DataFrame, version: str) -> None:
+        df.write.parquet(f"{self.path(name)}/{DAY}=all/{BUCKET}=0/{VERSION}={version}")
 
     def add_payloads(self, new: DataFrame) -> None:
         (
-            new.hint("rebalance", "prefix").write.mode("append").partitionBy("prefix")
+            new.hint("rebalance", "prefix").sortWithinPartitions("prefix", "hash").write.mode("append").partitionBy("prefix")
+            # Readers skip row groups that cannot have a hash.
+            .option("parquet.bloom.filter.enabled#hash", "true").option("parquet.bloom.filter.expected.ndv#hash", "100000")
             .parquet(self.path("payloads"))
         )
 
     def overwrite(self, name: str, df: DataFrame) -> None:
-        """Write a table as a whole."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        """Write a table as a whole, as a new version."""
+        self._finish([], {name: df}, self.new_version())

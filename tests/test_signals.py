@@ -257,3 +257,38 @@ def test_followups_in_file_order(t, spark):
             want[k["session_id"], k["ts"]] = after
     got = followups(messages, asks, 4, t.heavy).collect()
     assert {(r.session_id, r.ts): [tuple(m) for m in r.followups] for r in got} == want
+
+
+def test_missed_among_many_signatures(spark):
+    """A call asks once for each length, not once for each signature with its first tool."""
+    from sessionlog.operators.skills import signal_skill_eligible_missed
+
+    tools = ["A", "B", "C", "D"]
+    names = [tools[(i * i + i // 3) % 4] for i in range(200)]
+    calls = spark.createDataFrame([(f"s{i % 5}", t, i, 0) for i, t in enumerate(names)],
+                                  "session_id string, tool_name string, position_in_session int, block_idx int")
+    sigs = [(f"k{i}", ["A", *(f"T{i}-{j}" for j in range(1 + i % 3))]) for i in range(10_000)] + [("hit", ["A", "B"]), ("one", ["C"])]
+    signatures = spark.createDataFrame(sigs, "skill_name string, signature array<string>")
+    skills = spark.createDataFrame([("s1", "one")], "session_id string, skill_name string")
+    got = {(r.session_id, r.skill_name): r.position for r in signal_skill_eligible_missed(calls, skills, signatures, 4).collect()}
+    want = {}
+    for s in range(5):
+        mine = names[s::5]
+        for skill, sig in (("hit", ["A", "B"]), ("one", ["C"])):
+            at = [i for i in range(len(mine)) if mine[i:i + len(sig)] == sig]
+            if at and (s, skill) != (1, "one"):
+                want[f"s{s}", skill] = at[0]
+    assert got == want and want
+
+
+def test_known_payloads_are_read_by_prefix(spark, tmp_path):
+    from sessionlog.operators.payloads import _not_in, build_payloads
+
+    texts = spark.createDataFrame([(c * 3000,) for c in "abcdefgh"], "t string")
+    build_payloads(texts, "t").write.partitionBy("prefix").parquet(str(tmp_path / "p"))
+    known = spark.read.schema("prefix string, hash string, content string").parquet(str(tmp_path / "p"))
+    new = spark.createDataFrame([("a" * 3000,), ("z" * 3000,), ("z" * 3000,)], "t string")
+    rows = build_payloads(new, "t", existing=known)
+    assert [r.content[0] for r in rows.collect()] == ["z"]
+    plan = _not_in(build_payloads(new, "t"), known)._jdf.queryExecution().executedPlan().toString()
+    assert "prefix" in plan.split("PartitionFilters", 1)[1][:120]
