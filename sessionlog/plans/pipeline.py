@@ -29,7 +29,7 @@ from ..schemas import (
 )
 from ..sources.jsonl import path_facts
 from ..sources.signatures import load_signatures, longest
-from ..sources.store import BUCKET, DAY, SessionStore, day_of
+from ..sources.store import BUCKET, DAY, SessionStore, day_of, few_rows
 from ..sources.tails import RANGE_BYTES, changed_files, list_files, read_tails
 
 
@@ -39,8 +39,8 @@ def _grown(new: DataFrame, work: DataFrame, stored: SessionStore) -> DataFrame:
     onwards = work.filter("start > 0").select("path", "start", facts["session_id"].alias("session_id"))
     if onwards.isEmpty():
         return new
-    pieces = keep_matching(stored.pieces("sessions"), onwards, ["session_id"]).select(DAY, BUCKET).distinct()
-    lines = stored.pieces("lines", written(pieces)).join(onwards.drop("session_id"), "path").filter("line < start")
+    pieces = stored.places(keep_matching(stored.pieces("sessions"), onwards, ["session_id"]))
+    lines = stored.pieces("lines", pieces).join(onwards.drop("session_id"), "path").filter("line < start")
     return new.unionByName(lines.select(*new.columns))
 
 
@@ -189,15 +189,11 @@ def derive(store: SessionStore, signatures: Mapping[str, Mapping] | None,
     """
     now = store.snapshot()
     params = json.dumps([signatures, max_distance], sort_keys=True, default=str)
-    pieces = now.live().filter("name = 'sessions'").select(
-        F.col(DAY).alias("of_day"), F.col(BUCKET).alias("of_bucket"), F.col("version").alias("of_version"))
-    done = now.pieces("derived").drop(DAY, BUCKET)
-    current = pieces.withColumn("params", F.lit(params))
-    changed = current.join(done, current.columns, "left_anti")
-    rows = changed.select(F.col("of_day").alias(DAY), F.col("of_bucket").alias(BUCKET)).collect()  # one row a piece
-    if not rows:
+    current = [(r.day, r.bucket, r.version, params) for r in now.live() if r.name == "sessions"]
+    done = {tuple(r) for r in now.pieces("derived").drop(DAY, BUCKET).collect()}  # one row a piece
+    changed = {(r[0], r[1]) for r in current if r not in done}
+    if not changed:
         return 0
-    changed = store.spark.createDataFrame(rows, f"{DAY} string, {BUCKET} int")
     t = {n: now.pieces(n, changed).filter("session_id is not null")
          for n in ("sessions", "events", "tool_calls", "skill_invocations", "tool_sequences")}
     plain = {n: df.drop(DAY, BUCKET) for n, df in t.items()}
@@ -220,9 +216,10 @@ def derive(store: SessionStore, signatures: Mapping[str, Mapping] | None,
         {n: conform(df, {**(PARTS.get(n) or columns_of(SIGNALS[n])), DAY: "string", BUCKET: "int"}) for n, df in out.items()},
         changed,
         whole={
-            "recurring_totals": sequences, "cluster_totals": clusters, "derived": current,
+            "recurring_totals": sequences, "cluster_totals": clusters,
+            "derived": few_rows(store.spark, current, ", ".join(f"{c} {k}" for c, k in PARTS["derived"].items())),
             "signal_recurring_sequences": recurring_of(sequences),
             "signal_correction_clusters": clusters.withColumn("occurrences", F.col("occurrences").cast("int")),
         },
     )
-    return len(rows)
+    return len(changed)

@@ -9,11 +9,14 @@ that no list names.  Nothing is overwritten; :meth:`SessionStore.unused` finds w
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Collection
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..operators.incremental import replace_sessions
 from ..schemas import BASE_TABLES, FILES, MANIFEST, PARTS, PAYLOADS, SIGNALS, columns_of
@@ -22,8 +25,6 @@ DAY, BUCKET, VERSION = "day", "bucket", "version"
 _PIECE = [DAY, BUCKET]
 _LIVE = "name string, day string, bucket int, version string"
 _POINTER = "n bigint, version string"
-#: Pieces that are read by the names of their folders; more of them are joined as a table.
-MAX_PIECES = 20_000
 #: Tables that are written as a whole.
 _WHOLE = {"manifest": MANIFEST, "files": FILES}
 
@@ -34,6 +35,13 @@ def day_of(started_at: Column) -> Column:
     return F.coalesce(F.nullif(day, F.lit("")), F.lit("none"))
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows as one partition made in the JVM."""
+    shape = StructType.fromDDL(ddl)
+    text = json.dumps([dict(zip(shape.names, r)) for r in rows])
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(text), ArrayType(shape))))
+
+
 class SessionStore:
     """Base tables, payloads, manifest and signals below one folder.
 
@@ -44,7 +52,7 @@ class SessionStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 1):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._pinned: tuple[int, str | None] | None = None
-        self._listed: tuple[str, list] | None = None
+        self._listed: tuple[str, list[Row]] | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -59,7 +67,7 @@ class SessionStore:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], ddl)
+            return few_rows(self.spark, [], ddl)
 
     def version(self) -> tuple[int, str | None]:
         """Number and name of the version that readers see now; (0, None) before the first one."""
@@ -74,31 +82,27 @@ class SessionStore:
         fixed._pinned = self.version()
         return fixed
 
-    def live(self, version: str | None = None) -> DataFrame:
-        """(name, day, bucket, version): the folders in use."""
-        version = version or self.version()[1]
+    def live(self) -> list[Row]:
+        """(name, day, bucket, version): the folders in use, one short row each."""
+        _, version = self.version()
         if version is None:
-            return self.spark.createDataFrame([], _LIVE)
+            return []
         if self._listed is None or self._listed[0] != version:
-            rows = self._parquet(_LIVE, f"{self.path('live')}/{version}")
-            few = rows.limit(MAX_PIECES + 1).collect()
-            if len(few) > MAX_PIECES:
-                return rows
-            self._listed = version, few
-        return self.spark.createDataFrame(self._listed[1], _LIVE)
-
-    def _commit(self, version: str, replaced: DataFrame) -> None:
+            self._listed = version, self._parquet(_LIVE, f"{self.path('live')}/{version}").collect()
+        return self._listed[1]
+
+    def _commit(self, version: str, replaced: list[tuple]) -> None:
         """Make ``replaced`` (name, day, bucket), written under ``version``, the pieces in use."""
         n, old = self.version()
-        kept = self.live(old) if old else self.spark.createDataFrame([], _LIVE)
-        kept = kept.join(replaced, ["name", *_PIECE], "left_anti")
-        rows = kept.unionByName(replaced.withColumn(VERSION, F.lit(version)))
-        rows.coalesce(1).write.parquet(f"{self.path('live')}/{version}")
-        self.spark.createDataFrame([(n + 1, version)], _POINTER).coalesce(1).write.mode("append").parquet(self.path("pointer"))
+        gone = set(replaced)
+        rows = [tuple(r) for r in self.live() if (r.name, r.day, r.bucket) not in gone]
+        rows += [(*r, version) for r in replaced]
+        few_rows(self.spark, rows, _LIVE).write.parquet(f"{self.path('live')}/{version}")
+        few_rows(self.spark, [(n + 1, version)], _POINTER).write.mode("append").parquet(self.path("pointer"))
 
     def unused(self) -> list[str]:
         """Folders of older versions and of changes that broke off; for deletion when no reader needs them."""
-        used = {f"{r.name}/{DAY}={r.day}/{BUCKET}={r.bucket}/{VERSION}={r.version}" for r in self.live().collect()}
+        used = {f"{r.name}/{DAY}={r.day}/{BUCKET}={r.bucket}/{VERSION}={r.version}" for r in self.live()}
         _, now = self.version()
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
             "pathGlobFilter", "*.parquet").load(self.root)
@@ -109,29 +113,29 @@ class SessionStore:
 
     # -- reading ------------------------------------------------------------
 
-    def pieces(self, name: str, wanted: DataFrame | None = None) -> DataFrame:
+    def pieces(self, name: str, wanted: Collection[tuple[str, int]] | None = None) -> DataFrame:
         """A table's rows with ``day`` and ``bucket``, of the ``wanted`` pieces only if given.
 
         Folders are read by name, so a filter on ``day`` prunes them.
         """
         columns = {**BASE_TABLES, **_WHOLE, **PARTS}.get(name) or columns_of(SIGNALS[name])
         ddl = ", ".join(f"`{c}` {t}" for c, t in columns.items()) + f", {DAY} string, {BUCKET} int, {VERSION} string"
-        folders = self.live().filter(F.col("name") == name)
-        if wanted is not None:
-            folders = folders.join(wanted.select(*_PIECE), _PIECE, "left_semi")
-        names = folders.limit(MAX_PIECES + 1).collect()
+        names = [r for r in self.live() if r.name == name and (wanted is None or (r.day, r.bucket) in wanted)]
         if not names:
-            return self.spark.createDataFrame([], ddl).drop(VERSION)
+            return few_rows(self.spark, [], ddl).drop(VERSION)
         base = self.path(name)
-        if len(names) > MAX_PIECES:
-            return self._parquet(ddl, base).join(folders.drop("name"), [*_PIECE, VERSION], "left_semi").drop(VERSION)
         paths = [f"{base}/{DAY}={r.day}/{BUCKET}={r.bucket}/{VERSION}={r.version}" for r in names]
         return self._parquet(ddl, *paths, base=base).drop(VERSION)
 
-    def _rows(self, name: str, wanted: DataFrame | None = None) -> DataFrame:
+    def _rows(self, name: str, wanted: Collection[tuple[str, int]] | None = None) -> DataFrame:
         """Rows with a session; a row without one only marks a piece that may have lost all its rows."""
         return self.pieces(name, wanted).filter(F.col("session_id").isNotNull())
 
+    @staticmethod
+    def places(rows: DataFrame) -> set[tuple[str, int]]:
+        """The pieces that rows are in."""
+        return {tuple(r) for r in rows.select(*_PIECE).distinct().collect()}
+
     def table(self, name: str) -> DataFrame:
         """A base table."""
         return self._rows(name).drop(*_PIECE)
@@ -142,8 +146,7 @@ class SessionStore:
         if with_subagents:
             mine = mine | (F.col("parent_session_id") == session_id)
         now = self.snapshot()
-        pieces = now.pieces("sessions").filter(mine).select(*_PIECE).distinct()
-        pieces = self.spark.createDataFrame(pieces.collect(), f"{DAY} string, {BUCKET} int")  # one row a piece
+        pieces = now.places(now.pieces("sessions").filter(mine))
         return {name: now._rows(name, pieces).drop(*_PIECE) for name in BASE_TABLES if name != "lines"}
 
     def manifest(self) -> DataFrame:
@@ -186,10 +189,11 @@ class SessionStore:
                 "parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(self.path(name))
 
-    def _marked(self, df: DataFrame, pieces: DataFrame) -> DataFrame:
+    def _marked(self, df: DataFrame, pieces: Collection[tuple[str, int]]) -> DataFrame:
         """With a row of nulls for each piece, so that each has a folder."""
-        marks = pieces.select(*[(F.col(c) if c in _PIECE else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes])
-        return df.unionByName(marks)
+        marks = few_rows(self.spark, sorted(pieces), f"{DAY} string, {BUCKET} int")
+        return df.unionByName(marks.select(
+            *[(F.col(c) if c in _PIECE else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes]))
 
     def new_version(self) -> str:
         return uuid.uuid4().hex
@@ -200,34 +204,29 @@ class SessionStore:
         ``whole`` has tables to be written as a whole in the same version.  Only pieces that hold an old
         or a new version of such a session are rewritten.
         """
-        version = self.new_version()
-        old = self._rows("sessions").select("session_id", *_PIECE)
-        old = old.join(replaced.select("session_id"), "session_id", "left_semi").select(*_PIECE)
+        version, now = self.new_version(), self.snapshot()
+        old = now._rows("sessions").join(replaced.select("session_id"), "session_id", "left_semi")
         fresh = replaced.select(*self.piece_of(F.col(DAY), F.col("session_id")))
-        pieces = self.spark.createDataFrame(  # one row a piece
-            old.union(fresh).distinct().collect(), f"{DAY} string, {BUCKET} int")
+        pieces = self.places(old.select(*_PIECE).unionByName(fresh))
         for name, rows in new.items():
-            existing = self._rows(name, pieces)
+            existing = now._rows(name, pieces)
             rows = rows.withColumn(BUCKET, self.piece_of(F.col(DAY), F.col("session_id"))[1])
             merged = replace_sessions(existing, rows.select(*existing.columns), replaced)
             self._write(name, self._marked(merged, pieces), version)
-        done = [pieces.select(F.lit(n).alias("name"), *_PIECE) for n in new]
-        self._finish(done, whole or {}, version)
+        self._finish(list(new), pieces, whole or {}, version)
 
-    def put_pieces(self, tables: dict[str, DataFrame], pieces: DataFrame, whole: dict[str, DataFrame] | None = None) -> None:
+    def put_pieces(self, tables: dict[str, DataFrame], pieces: Collection[tuple[str, int]],
+                   whole: dict[str, DataFrame] | None = None) -> None:
         """Write ``pieces`` of tables (rows with day and bucket) anew, in one version."""
         version = self.new_version()
         for name, rows in tables.items():
             self._write(name, self._marked(rows, pieces), version)
-        self._finish([pieces.select(F.lit(n).alias("name"), *_PIECE) for n in tables], whole or {}, version)
+        self._finish(list(tables), pieces, whole or {}, version)
 
-    def _finish(self, done: list[DataFrame], whole: dict[str, DataFrame], version: str) -> None:
+    def _finish(self, names: list[str], pieces: Collection[tuple[str, int]], whole: dict[str, DataFrame], version: str) -> None:
         for name, rows in whole.items():
             self._write_whole(name, rows, version)
-        listed = self.spark.createDataFrame([(n, "all", 0) for n in whole], "name string, day string, bucket int")
-        for df in done:
-            listed = listed.unionByName(df)
-        self._commit(version, listed)
+        self._commit(version, [(n, *p) for n in names for p in sorted(pieces)] + [(n, "all", 0) for n in whole])
 
     def _write_whole(self, name: str, df: DataFrame, version: str) -> None:
         df.write.parquet(f"{self.path(name)}/{DAY}=all/{BUCKET}=0/{VERSION}={version}")
@@ -242,4 +241,4 @@ class SessionStore:
 
     def overwrite(self, name: str, df: DataFrame) -> None:
         """Write a table as a whole, as a new version."""
-        self._finish([], {name: df}, self.new_version())
+        self._finish([], (), {name: df}, self.new_version())

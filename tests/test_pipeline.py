@@ -256,7 +256,7 @@ def test_growth_reads_tails_and_touched_pieces_only(spark, tmp_path, monkeypatch
     make, looked = pipeline.read_tails, store.put_pieces
     monkeypatch.setattr(pipeline, "read_tails", lambda work, size: (read.extend(
         (r.path.rsplit("/", 1)[1], r.start) for r in work.collect()), make(work, size))[1])
-    monkeypatch.setattr(store, "put_pieces", lambda t, p, whole: (pieces.extend(p.collect()), looked(t, p, whole))[1])
+    monkeypatch.setattr(store, "put_pieces", lambda t, p, whole: (pieces.extend(p), looked(t, p, whole))[1])
     # A result for the last call, a call that ends an n-gram, a correction; and a file without a line end.
     more = [result("s4", 3, 2, "x" * 400), call("s4", 4, 2, "Read", file_path="/f"),
             line("user", "2026-05-02T00:00:05Z", "s45", "no, stop"), call("s4", 6, 2, "Edit", old_string="abd")]
