@@ -34,24 +34,25 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.jsonl", modified_a
 
 
 def _opener():
-    """Function from a file's URI to a random-access file, on any store that Arrow knows.
+    """Function that makes a function from a file's URI to a random-access file, on any store that Arrow knows.
 
     Inner functions travel to the executors by value; the package need not be there.
     """
-    from pyarrow import fs
+    def make():
+        from pyarrow import fs
 
-    known = {}
+        known = {}
 
-    def open_file(uri: str):
-        if ":" not in uri.split("/", 1)[0] or uri.startswith("file:"):
-            return fs.LocalFileSystem().open_input_file("/" + uri.removeprefix("file:").lstrip("/"))
-        scheme = "/".join(uri.split("/", 3)[:3])
-        if scheme not in known:
-            known[scheme] = fs.FileSystem.from_uri(quote(uri, safe=":/@"))[0]
-        path = fs.FileSystem.from_uri(quote(uri, safe=":/@"))[1]
-        return known[scheme].open_input_file(path)
+        def open_file(uri: str):
+            if ":" not in uri.split("/", 1)[0] or uri.startswith("file:"):
+                return fs.LocalFileSystem().open_input_file("/" + uri.removeprefix("file:").lstrip("/"))
+            scheme = "/".join(uri.split("/", 3)[:3])
+            place, path = fs.FileSystem.from_uri(quote(uri, safe=":/@"))
+            return known.setdefault(scheme, place).open_input_file(path)
 
-    return open_file
+        return open_file
+
+    return make
 
 
 def changed_files(listed: DataFrame, known: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def changed_files(listed: DataFrame, known: DataFrame) -> DataFrame:
                         F.col("place").alias("old_place"), F.col("mark").alias("old_mark"))
     work = listed.join(seen, "path", "left").filter(
         "old_size is null or old_size <> size or old_modified <> modified")
-    mark_bytes, make_opener = MARK_BYTES, _opener
+    mark_bytes, make_opener = MARK_BYTES, _opener()
 
     def inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_file = make_opener()
@@ -108,7 +109,7 @@ def read_tails(work: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """
     cut = F.sequence(F.col("start"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
     ranges = work.filter("start < size").select("path", "uri", "size", "start", F.explode(cut).alias("low"))
-    batch_bytes, make_opener = BATCH_BYTES, _opener
+    batch_bytes, make_opener = BATCH_BYTES, _opener()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_file = make_opener()
