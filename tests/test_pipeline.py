@@ -162,7 +162,7 @@ def test_a_load_that_broke_off(spark, tmp_path):
         (folder / f"{s}.jsonl").write_text("\n".join([
             line("user", "2026-05-02T00:00:00Z", f"{s}a", "/code-review"), line("assistant", "2026-05-02T00:00:01Z", f"{s}b", [read]),
             line("assistant", "2026-05-02T00:00:02Z", f"{s}c", [read])]))
-    stores = [SessionStore(spark, str(tmp_path / f"store{i}")) for i in range(5)]
+    stores = [SessionStore(spark, str(tmp_path / f"store{i}")) for i in range(3)]
     for s in stores:
         ingest(spark, str(tmp_path / "p"), s)
     text = (folder / "s1.jsonl").read_text()
@@ -175,7 +175,7 @@ def test_a_load_that_broke_off(spark, tmp_path):
     tables = [n for n in BASE_TABLES if n != "lines"]
     rows = lambda s, name: sorted(map(str, s.table(name).drop("ingested_at").collect()))
     before = {n: rows(stores[0], n) for n in tables}
-    steps = ["table 0", f"table {len(BASE_TABLES) - 1}", "whole 1", "live"]
+    steps = ["table 6", "live"]
     assert len(steps) == len(stores) - 1
     for at, s in zip(steps, stores):
         kind, _, n = at.partition(" ")
