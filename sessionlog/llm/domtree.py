@@ -5,10 +5,13 @@ from __future__ import annotations
 import html as _html
 import re
 from dataclasses import dataclass, field
+from math import isqrt
+
+import numpy as np
 
 #: Elements nested deeper than this are taken as part of the element at this depth.
 DEEPEST = 150
-#: Child pairs above which two child lists are paired in order, not by dynamic programming.
+#: Child pairs up to which the whole table of two child lists is held; of larger ones some rows are, and the result is the same.
 MOST_PAIRS = 1 << 20
 #: Remembered scores and attribute texts.
 REMEMBERED = 1 << 16
@@ -231,9 +234,13 @@ class Matcher:
         if not a.kids or not b.kids:
             return 1
         key = (a.shape, b.shape)
-        if key not in self.scores:
-            self.scores[key] = 1 + sum(s for _, _, s in self._pairs(a.kids, b.kids))
-        return self.scores[key]
+        found = self.scores.get(key)
+        if found is None:
+            found = 1 + sum(s for _, _, s in self._pairs(a.kids, b.kids))
+            if len(self.scores) > MOST_PAIRS:  # scores of one page may be many; they can be found again
+                self.scores.clear()
+            self.scores[key] = found
+        return found
 
     def _pairs(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node, int]]:
         """The best pairing of two child lists, in order.
@@ -251,7 +258,7 @@ class Matcher:
         if not x or not y:
             return out
         if len(x) * len(y) > MOST_PAIRS:
-            return out + [(p, q, s) for p, q in zip(x, y) if (s := self.score(p, q))]
+            return out + self._long_pairs(x, y)
         best = [[0] * (len(y) + 1)]
         single = []
         for p in x:
@@ -274,6 +281,49 @@ class Matcher:
                 out.append((x[i], y[j], single[i][j]))
         return out
 
+    def _long_pairs(self, x: list[Node], y: list[Node]) -> list[tuple[Node, Node, int]]:
+        """The pairs that the table of :meth:`_pairs` gives, with few of its rows held.
+
+        The first pass keeps a row now and then; the way back makes the rows between two of them again.
+        """
+        shapes, place = np.unique([q.shape for q in y], return_inverse=True)
+        of_shape = {q.shape: q for q in y}
+        distinct, known = [of_shape[s] for s in shapes.tolist()], {}
+
+        def scores(p):
+            if p.shape not in known:
+                if len(known) * len(y) > MOST_PAIRS:
+                    known.clear()
+                known[p.shape] = np.array([self.score(p, q) for q in distinct], np.int32)[place]
+            return known[p.shape]
+
+        def below(row, p):
+            s, new = scores(p), row.copy()
+            new[1:] = np.maximum(np.where(s > 0, row[:-1] + s, 0), row[1:])
+            return np.maximum.accumulate(new)
+
+        step, row, kept = isqrt(len(x)) + 1, np.zeros(len(y) + 1, np.int32), []
+        for i, p in enumerate(x):
+            if i % step == 0:
+                kept.append(row)
+            row = below(row, p)
+        out, j = [], len(y)
+        for lo in reversed(range(0, len(x), step)):
+            rows = [kept.pop()]
+            for p in x[lo:lo + step]:
+                rows.append(below(rows[-1], p))
+            i = len(rows) - 1
+            while i and j:
+                here = rows[i][j]
+                if here == rows[i - 1][j]:
+                    i -= 1
+                elif here == rows[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((x[lo + i], y[j], int(scores(x[lo + i])[j])))
+        return out
+
     def align(self, tree: Node, other: Node) -> dict[int, int]:
         """Places in ``tree`` matched with places in ``other`` (both made ready)."""
         out = {}

@@ -128,3 +128,27 @@ def test_matching_keeps_order_and_parents():
 def test_parsing(html, texts):
     marked, blocks, ways = wrapper.candidates(wrapper.Aligner().page(html))
     assert wrapper.without_template(marked, [b.text for b in blocks], ways, [0.0] * len(blocks)) == texts
+
+
+def _list_of(labels):
+    return domtree.Node("ul", kids=[domtree.Node("li", kids=[domtree.Node(x) for x in parts]) for parts in labels])
+
+
+def test_long_child_lists_are_matched_like_short_ones(monkeypatch):
+    """Over a million pairs of children: one more in front does not shift them all."""
+    same = [[f"a{i}", f"b{i}"] for i in range(1100)]
+    matcher = domtree.Matcher()
+    left, right = matcher.ready(_list_of([["x"], *same, ["x"]])), matcher.ready(_list_of([["y"], ["z"], *same, ["z"]]))
+    found = matcher.align(left, right)
+    for p, q in zip(left.kids[1:-1], right.kids[2:-1], strict=True):
+        assert found[p.at] == q.at and found[p.kids[1].at] == q.kids[1].at
+
+    rng = random.Random(3)
+    for _ in range(60):
+        a, b = ([[rng.choice("abc") for _ in range(rng.randrange(4))] for _ in range(rng.randrange(12))] for _ in "ab")
+        results = []
+        for most in (1 << 20, 0):
+            monkeypatch.setattr(domtree, "MOST_PAIRS", most)
+            m = domtree.Matcher()
+            results.append(m.align(m.ready(_list_of(a)), m.ready(_list_of(b))))
+        assert results[0] == results[1]
