@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that are sent to a Python task at a time.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
@@ -25,8 +31,26 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/sessionlog-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """While it is open, rows go to Python tasks in batches of ``BATCH_BYTES`` (one row at least)."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` read back from a table: computed once, and safe from lost executors."""
+    """``df`` read back from a table: computed once, and safe from lost executors.
+
+    Long texts don't make large batches for Python tasks meanwhile, see :func:`bounded_batches`.
+    """
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    with bounded_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

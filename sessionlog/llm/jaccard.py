@@ -32,9 +32,6 @@ BITS = 1024
 #: Candidates of one query that are indexed together.
 INDEXED = 512
 
-_KNOWN: dict[bytes, int] = {}
-
-
 def shingle_sets(texts: list[str | None], width: int, rarity=None) -> tuple[np.ndarray, ...]:
     """Distinct shingle hashes of all texts one after the other, ascending in each, and their numbers.
 
@@ -47,12 +44,8 @@ def shingle_sets(texts: list[str | None], width: int, rarity=None) -> tuple[np.n
         none = np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
         return none if rarity is None else (*none, np.zeros(0, np.int64))
     code, unique = pd.factorize(np.array(flat, object))
-    if len(_KNOWN) + len(unique) > 400_000:
-        _KNOWN.clear()
-    for w in unique:
-        if w not in _KNOWN:
-            _KNOWN[w] = xxhash.xxh64_intdigest(w)
-    of_word = np.array([_KNOWN[w] for w in unique], np.uint64)
+    del flat
+    of_word = np.array([xxhash.xxh64_intdigest(w) for w in unique], np.uint64)
     one = of_word[code]
     ends = np.cumsum(sizes)
     doc = np.repeat(np.arange(len(sizes)), sizes)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sessionlog.functions import scratch
 from sessionlog.operators import parse
 from sessionlog.plans import evidence
 
@@ -108,3 +109,20 @@ def test_evidence_has_refused_lines(spark):
             rows = evidence.skill_evidence("go", raw, parse.tool_skills(calls), parse.session_rollup(parsed), messages=messages).collect()
             assert [(r.invocation_text, [f.text for f in r.followups]) for r in rows] == [
                 ('[Skill tool_use] {"skill": "go", "args": "\\u00e9"}', ["said 2", "said 3"])]
+
+
+def test_long_lines_go_to_python_a_few_at_a_time(spark):
+    """Written tables bound the bytes of a batch; the session's setting is as before afterwards."""
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("value"))
+    found = scratch.written(rows.mapInArrow(sizes, "rows long, bytes long")).collect()
+    assert sum(r.rows for r in found) == 40
+    assert max(r.bytes for r in found) < scratch.BATCH_BYTES + (2 << 20)
+    assert spark.conf.get(name) == before
