@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 # Lengths at which stored argument text is cut.
 ARGS_CHARS = 2048
 SKILL_ARGS_CHARS = 512
 
+_BLOCK_FIELDS = "args_json string, skill string, skill_args string, size bigint"
 _BLOCK_TEXT = "array<struct<args_json: string, skill: string, skill_args: string, size: bigint>>"
 
 
@@ -27,32 +28,61 @@ def _block_reader(args_chars: int | None):
         return text.encode("utf-8", "replace").decode("utf-8")
 
     def of_block(b):
-        item = {"args_json": None, "skill": None, "skill_args": None, "size": None}
+        args = skill = skill_args = size = None
         if b.get("type") == "tool_use":
             given = b.get("input") or {}
-            item["args_json"] = encodable(json.dumps(given, ensure_ascii=False)[:args_chars])
+            args = encodable(json.dumps(given, ensure_ascii=False)[:args_chars])
             if b.get("name") == "Skill":
                 given = given if isinstance(given, dict) else {}
-                item["skill"] = encodable(str(given.get("skill", "unknown")))
-                item["skill_args"] = json.dumps(given.get("args") or "")[:SKILL_ARGS_CHARS]
+                skill = encodable(str(given.get("skill", "unknown")))
+                skill_args = json.dumps(given.get("args") or "")[:SKILL_ARGS_CHARS]
         elif b.get("type") == "tool_result" and not isinstance(b.get("content"), str):
-            item["size"] = len(json.dumps(b.get("content") or ""))
-        return item
+            size = len(json.dumps(b.get("content") or ""))
+        return args, skill, skill_args, size
 
     return of_block
 
 
+def _columnar():
+    """Function from a list of values (structs as tuples) to an Arrow array, built column by column.
+
+    Like :func:`_block_reader` it travels to the executors by value.
+    """
+    def build(values, kind: pa.DataType) -> pa.Array:
+        if pa.types.is_list(kind):
+            at, starts = 0, []
+            for v in values:
+                starts.append(None if v is None else at)
+                at += len(v) if v else 0
+            inner = build([x for v in values if v for x in v], kind.value_type)
+            return pa.ListArray.from_arrays(pa.array([*starts, at], pa.int32()), inner, type=kind)
+        if pa.types.is_struct(kind):
+            there = [v for v in values if v is not None]
+            columns = zip(*there) if there else [()] * kind.num_fields
+            made = pa.StructArray.from_arrays([build(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+            if len(there) == len(values):
+                return made
+            at = iter(range(len(there)))
+            return made.take(pa.array([None if v is None else next(at) for v in values], pa.int32()))
+        return pa.array(values, kind)
+
+    return build
+
+
 def block_texts(line: Column, args_chars: int | None = ARGS_CHARS) -> Column:
     """Exact JSON texts of the content blocks of a line, in block order (null line: null)."""
-    of_block = _block_reader(args_chars)
+    of_block, build = _block_reader(args_chars), _columnar()
 
     def of_line(text):
         # As in the JVM: items that are no objects are left out.
         return [of_block(b) for b in json.loads(text)["message"]["content"] if isinstance(b, dict)]
 
-    @F.pandas_udf(_BLOCK_TEXT)
-    def texts(lines: pd.Series) -> pd.Series:
-        return lines.map(of_line, na_action="ignore")
+    shape = to_arrow_type(ArrayType(StructType.fromDDL(_BLOCK_FIELDS)))
+
+    @F.arrow_udf(_BLOCK_TEXT)
+    def texts(lines: pa.Array) -> pa.Array:
+        # One line's text at a time: lines may be very long.
+        return build([of_line(x.as_py()) if x.is_valid else None for x in lines], shape)
 
     return texts(line)
 
@@ -99,7 +129,7 @@ def line_fields(line: Column, args_chars: int | None = ARGS_CHARS) -> Column:
     Values become text and numbers as VARIANT casts do it, so a line gives the same as read
     in the JVM.  Objects nested deeper than Python's recursion limit cannot be read.
     """
-    of_block_text = _block_reader(args_chars)
+    of_block_text, build = _block_reader(args_chars), _columnar()
 
     def text(v):
         if v is None or isinstance(v, str):
@@ -127,16 +157,16 @@ def line_fields(line: Column, args_chars: int | None = ARGS_CHARS) -> Column:
         given, content = obj(b.get("input")), b.get("content")
         shape = "STRING" if isinstance(content, str) else None if "content" not in b else "OTHER"
         called = text(b.get("id"))
-        return {
-            "kind": text(b.get("type")), "text": text(b.get("text")), "tool_name": text(b.get("name")) or "unknown",
-            "link": called if called is not None else text(b.get("tool_use_id")), "is_error": true(b.get("is_error")),
-            "shape": shape, "file_path": text(given.get("file_path")), "old_string": text(given.get("old_string")),
-            "content_chars": len(content) if isinstance(content, str) else None,
-        }
-
-    def of_line(raw):
+        return (
+            text(b.get("type")), text(b.get("text")), text(b.get("name")) or "unknown",
+            called if called is not None else text(b.get("tool_use_id")), true(b.get("is_error")), shape,
+            text(given.get("file_path")), text(given.get("old_string")),
+            len(content) if isinstance(content, str) else None,
+        )
+
+    def of_line(raw, decode):
         try:
-            d = json.loads(raw, parse_constant=lambda _: None)
+            d = decode(raw)
         except (ValueError, RecursionError):
             return None
         if not isinstance(d, dict):
@@ -144,24 +174,23 @@ def line_fields(line: Column, args_chars: int | None = ARGS_CHARS) -> Column:
         m = obj(d.get("message"))
         usage, content = obj(m.get("usage")), m.get("content")
         blocks = [b for b in content if isinstance(b, dict)] if isinstance(content, list) else None
-        return {
-            "type": text(d.get("type")), "timestamp": text(d.get("timestamp")), "ts": text(d.get("ts")),
-            "uuid": text(d.get("uuid")), "leaf_uuid": text(d.get("leafUuid")), "parent_uuid": text(d.get("parentUuid")),
-            "subtype": text(d.get("subtype")), "is_sidechain": true(d.get("isSidechain")), "is_meta": true(d.get("isMeta")),
-            "role": text(m.get("role")), "model": text(m.get("model")), "ai_title": text(d.get("aiTitle")),
-            "input_tokens": number(usage.get("input_tokens")), "output_tokens": number(usage.get("output_tokens")),
-            "cache_read": number(usage.get("cache_read_input_tokens")),
-            "cache_creation": number(usage.get("cache_creation_input_tokens")), "duration_ms": number(d.get("durationMs")),
-            "content": text(content) if isinstance(content, str) else None, "is_list": isinstance(content, list),
-            "blocks": None if blocks is None else [of_block(b) for b in blocks],
-            "texts": None if blocks is None else [of_block_text(b) for b in blocks],
-        }
+        return (
+            text(d.get("type")), text(d.get("timestamp")), text(d.get("ts")), text(d.get("uuid")), text(d.get("leafUuid")),
+            text(d.get("parentUuid")), text(d.get("subtype")), true(d.get("isSidechain")), true(d.get("isMeta")),
+            text(m.get("role")), text(m.get("model")), text(d.get("aiTitle")),
+            number(usage.get("input_tokens")), number(usage.get("output_tokens")),
+            number(usage.get("cache_read_input_tokens")), number(usage.get("cache_creation_input_tokens")),
+            number(d.get("durationMs")), text(content) if isinstance(content, str) else None, isinstance(content, list),
+            None if blocks is None else [of_block(b) for b in blocks],
+            None if blocks is None else [of_block_text(b) for b in blocks],
+        )
 
     shape = to_arrow_type(StructType.fromDDL(LINE_FIELDS))
 
     @F.arrow_udf(StructType.fromDDL(LINE_FIELDS))
     def fields(lines: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else of_line(x) for x in lines.to_pylist()], shape)
+        decode = json.JSONDecoder(parse_constant=lambda _: None).decode  # made once, not for each line
+        return build([of_line(x.as_py(), decode) if x.is_valid else None for x in lines], shape)
 
     return fields(line)
 
