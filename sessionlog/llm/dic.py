@@ -246,8 +246,10 @@ def count_phrases(texts: DataFrame, path: str, least: int, longest: int, shards:
     size = dealt.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     slots = 1 << min(MOST_SLOTS.bit_length() - 1, max(16, (size // SLOT_BYTES).bit_length()))
     table = np.full(slots, _NEVER, np.uint8)
-    open_, done, step = None, [], 0
-    while True:
+    # Phrases that became active in the last scan or before have had their cycle ``shards`` scans later; a shard
+    # without any of them ends nothing.
+    open_, done, step, last = None, [], 0, 0
+    while step < last + shards:
         sent = spark.sparkContext.broadcast(table.tobytes())  # at most MOST_SLOTS bytes
         shard = dealt.filter(F.col("shard") == step % shards).select("lang", "text", "doc")
         fresh = _counts(shard, sent, step, shards, longest).withColumn("reach", F.lit(None).cast("short"))
@@ -263,25 +265,30 @@ def count_phrases(texts: DataFrame, path: str, least: int, longest: int, shards:
         open_ = state.filter("not whole").drop("whole")
         step += 1
         # Phrases of full length activate nothing, but they are looked up by this table in the end.
-        reached = state.filter((F.col("reach") == step) & (F.col("k") > 0))
-        _mark(table, reached, step)
-        if step >= shards and open_.isEmpty() and reached.filter(F.col("k") < longest).isEmpty():
-            break
+        if _mark(table, state.filter((F.col("reach") == step) & (F.col("k") > 0)), step, longest):
+            last = step
     counts = done[0]
     for df in done[1:]:
         counts = counts.unionByName(df)
     return cut_lineage(counts), table
 
 
-def _mark(table: np.ndarray, reached: DataFrame, step: int) -> None:
-    """Note the slots of newly reached phrases; an earlier scan stays.  They arrive as bitmaps."""
+def _mark(table: np.ndarray, reached: DataFrame, step: int, longest: int) -> bool:
+    """Note the slots of newly reached phrases; an earlier scan stays.  They arrive as bitmaps.
+
+    The answer is whether one of them can be part of a longer phrase.
+    """
     slot = F.col("h").bitwiseAND(F.lit(len(table) - 1)) + 1
-    for row in reached.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect():  # at most MOST_SLOTS bits
+    extend = False
+    for row in reached.select(slot.alias("slot"), "k").groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"),
+            F.min("k").alias("k")).collect():  # at most MOST_SLOTS bits
+        extend |= row.k < longest
         bits = np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little").astype(bool)
         at = (row.bucket - 1) << 15
         here = table[at:at + len(bits)]
         here[bits[:len(here)] & (here == _NEVER)] = step
+    return extend
 
 
 def _phrases(dealt: DataFrame, counts: DataFrame, reached, longest: int) -> DataFrame:

@@ -83,6 +83,13 @@ def test_crowded_slots_and_small_slices(spark, rows, monkeypatch):
     assert found(frame(spark, few), 6, 4, 7, 3) == brute(few, 6, 4, 7)
 
 
+def test_phrases_of_one_shard(spark):
+    """Scans of shards without any open phrase don't end the cycle: long phrases of one document are counted."""
+    for place in range(4):
+        few = [("en", "again " * 30 if i == place else "") for i in range(4)]
+        assert found(frame(spark, few).coalesce(1), 12, 5, 2000, 4) == brute(few, 12, 5, 2000)
+
+
 def test_no_rows(spark):
     assert found(frame(spark, []), 1, 5) == []
     assert found(frame(spark, [("en", None), (None, "")]), 1, 5) == []
