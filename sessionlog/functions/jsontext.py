@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 # Lengths at which stored argument text is cut.
 ARGS_CHARS = 2048
@@ -50,9 +50,12 @@ def block_texts(line: Column, args_chars: int | None = ARGS_CHARS) -> Column:
         # As in the JVM: items that are no objects are left out.
         return [of_block(b) for b in json.loads(text)["message"]["content"] if isinstance(b, dict)]
 
-    @F.pandas_udf(_BLOCK_TEXT)
-    def texts(lines: pd.Series) -> pd.Series:
-        return lines.map(of_line, na_action="ignore")
+    shape = to_arrow_type(DataType.fromDDL(_BLOCK_TEXT))
+
+    # Of the same kind as :func:`line_fields`, so that one pass through Python serves both.
+    @F.arrow_udf(_BLOCK_TEXT)
+    def texts(lines: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else of_line(x) for x in lines.to_pylist()], shape)
 
     return texts(line)
 

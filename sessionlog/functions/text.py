@@ -12,6 +12,9 @@ WHITESPACE = (
 )
 _WS = f"[{WHITESPACE}]"
 
+#: Texts from so many bytes on are not trimmed from the right in place.
+TRIM_BYTES = 1 << 20
+
 # What is redacted and by what, applied in this order.
 # (?U) gives Unicode classes; (?md) lets only \n end a line.
 SECRET_PATTERNS = [
@@ -45,7 +48,13 @@ def normalize_path(col: Column, home: str) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.btrim(col, F.lit(WHITESPACE))
+    """Without white space at both ends.
+
+    Trimming from the right needs eight bytes for each byte of a text, so a long text is turned round for it.
+    """
+    space = F.lit(WHITESPACE)
+    turned = F.reverse(F.ltrim(F.reverse(F.ltrim(col, space)), space))
+    return F.when(F.octet_length(col) < TRIM_BYTES, F.btrim(col, space)).otherwise(turned)
 
 
 def lstrip(col: Column) -> Column:

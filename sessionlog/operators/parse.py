@@ -15,12 +15,14 @@ from ..functions.jsontext import ARGS_CHARS, LINE_FIELDS, block_texts, line_fiel
 from ..functions.ordered import (
     HeavyKeys, ordered, running_last, running_min, running_sum, running_tail,
 )
-from ..functions.text import normalize_path, scrub, slash_command, strip
+from ..functions.text import lstrip, normalize_path, scrub, slash_command, strip
 from ..schemas import EVENTS, SESSIONS, SKILL_INVOCATIONS, TOOL_CALLS, conform
 from ..sources.jsonl import path_facts
 
 # Lengths at which stored text is cut.
 HEAD_CHARS = 240
+#: Lines from so many bytes on are not given to VARIANT, which refuses values of that size.
+LONG_BYTES = 16 << 20
 FOLLOWED_BY = 5
 
 
@@ -62,10 +64,10 @@ _READ = f"""CASE WHEN coalesce(try_variant_get(v, '$.line_end', 'boolean'), fals
 
 _PAYLOAD = """coalesce(r.content, array_join(transform(filter(r.blocks, b -> b.kind = 'text'), b -> coalesce(b.text, '')), '\n'))"""
 
-_STATUS = "CASE WHEN text = '' THEN 'blank' WHEN r IS NOT NULL AND text LIKE '{%' THEN 'ok' ELSE 'bad' END"
+_STATUS = "CASE WHEN blank THEN 'blank' WHEN r IS NOT NULL AND brace THEN 'ok' ELSE 'bad' END"
 
 # Calls, and results that are no plain text, need their exact JSON text.
-_NEEDS_TEXT = """status = 'ok' AND r.texts IS NULL AND exists(r.blocks,
+_NEEDS_TEXT = """brace AND exists(seen.blocks,
     b -> b.kind = 'tool_use' OR (b.kind = 'tool_result' AND b.shape != 'STRING'))"""
 
 _TOOL_BLOCKS = """filter(transform(r.blocks, (b, i) -> struct(
@@ -90,7 +92,7 @@ _LINE_COLUMNS = [
     "r.input_tokens AS input_tokens", "r.output_tokens AS output_tokens",
     "r.cache_read AS cache_read", "r.cache_creation AS cache_creation", "r.duration_ms AS duration_ms",
     "CAST(length(payload) AS BIGINT) AS text_len",
-    f"substring(head, 1, {HEAD_CHARS}) AS text_head",
+    "head AS text_head",
     "slash",
     _TOOL_BLOCKS,
     "message",
@@ -98,15 +100,23 @@ _LINE_COLUMNS = [
 
 
 def typed_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS) -> DataFrame:
-    """``lines`` with ``text`` (the stripped value) and ``r``: its LINE_FIELDS, null if it is no JSON.
+    """``lines`` with ``r``: their LINE_FIELDS, null if they are no JSON, and ``texts`` of blocks that need them.
 
-    Only lines that VARIANT refuses go to Python.  It also reads JSON that is no object as null.
+    ``blank`` and ``brace`` say whether a stripped line is empty or begins an object.  Only lines that VARIANT refuses
+    go to Python whole, and those of ``LONG_BYTES`` at once; VARIANT also reads JSON that is no object as null.
+    A long line is in one column at a time: beside it no other column of a row has its text.
     """
-    df = lines.withColumn("text", strip(F.col("value"))).withColumn("v", read_json(F.col("text")))
-    refused = F.col("v").isNull() & F.col("text").startswith("{")
-    df = df.withColumn("read", line_fields(F.when(refused, F.col("text")), args_chars))
+    text = F.col("text")
+    df = lines.withColumn("text", strip(F.col("value")))
+    df = df.withColumns({"blank": text == "", "brace": text.startswith("{"),
+                         "v": read_json(F.when(F.octet_length(text) < LONG_BYTES, text))})
     df = df.withColumn("items", F.expr(_field("message.content", "array<variant>")))
-    return df.withColumn("r", F.coalesce(F.expr(_READ), F.col("read"))).drop("v", "read", "items")
+    df = df.withColumn("seen", F.expr(_READ)).drop("items")
+    df = df.withColumns({"refused": F.when(F.col("v").isNull() & F.col("brace"), text),
+                         "whole": F.when(F.expr(_NEEDS_TEXT), text)}).drop("text", "v")
+    df = df.withColumns({"read": line_fields(F.col("refused"), args_chars),
+                         "texts": block_texts(F.col("whole"), args_chars)}).drop("refused", "whole")
+    return df.withColumn("r", F.coalesce("seen", "read")).drop("seen", "read")
 
 
 def message_text() -> Column:
@@ -123,21 +133,21 @@ def parse_lines(lines: DataFrame, args_chars: int | None = ARGS_CHARS,
     not blank.  ``scrub_first`` redacts message heads before they are cut.  Write the result
     out before filtering or reading it more than once: filters on it would parse again.
     """
-    payload, whole = F.col("payload"), message_text()
+    payload = F.col("payload")
     df = typed_lines(lines, args_chars)
     df = df.withColumns(
         {
-            "payload": F.nullif(whole, F.lit("")),
+            "payload": F.nullif(message_text(), F.lit("")),
             "status": F.expr(_STATUS),
             "type": F.coalesce("r.type", F.lit("other")),
         }
     )
-    said = (F.col("status") == "ok") & (F.col("r.type") == "user") & ~F.col("r.is_meta") & (strip(payload) != "")
+    said = (F.col("status") == "ok") & (F.col("r.type") == "user") & ~F.col("r.is_meta") & (lstrip(payload) != "")
     df = df.withColumns(
         {
-            "head": scrub(payload) if scrub_first else payload,
+            "head": F.substring(scrub(payload) if scrub_first else payload, 1, HEAD_CHARS),
             "slash": F.when(F.col("type") == "user", slash_command(payload)),
-            "texts": F.coalesce("r.texts", block_texts(F.when(F.expr(_NEEDS_TEXT), F.col("text")), args_chars)),
+            "texts": F.coalesce("r.texts", "texts"),
             "message": F.when(said, F.struct(F.coalesce("r.timestamp", F.lit("")).alias("ts"), payload.alias("text"))),
         }
     )

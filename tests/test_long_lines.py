@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlog.functions import scratch
+from sessionlog.functions import scratch, text
 from sessionlog.operators import parse
 from sessionlog.plans import evidence
 
@@ -126,3 +126,19 @@ def test_long_lines_go_to_python_a_few_at_a_time(spark):
     assert sum(r.rows for r in found) == 40
     assert max(r.bytes for r in found) < scratch.BATCH_BYTES + (2 << 20)
     assert spark.conf.get(name) == before
+
+
+def test_one_pass_through_python(spark):
+    """Refused lines and exact texts of blocks go to Python together; rows are not copied for each."""
+    plan = parse.parse_lines(lines(spark, ["{}"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_long_texts_are_trimmed_in_turned_order(spark, monkeypatch):
+    """Trimming from the right in place takes eight bytes a byte, too much beside a line of 34 MB."""
+    cases = ["", " ", "a", " \t aé\U0001f600 b 　\n", " x", "x\u0085 ", "　" * 9, "ab" * 9, None]
+    rows = spark.createDataFrame([(c,) for c in cases], "t string")
+    plain = [r[0] for r in rows.select(text.strip(F.col("t"))).collect()]
+    monkeypatch.setattr(text, "TRIM_BYTES", 0)
+    assert [r[0] for r in rows.select(text.strip(F.col("t"))).collect()] == plain
+    assert plain == [c if c is None else c.strip() for c in cases]
