@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,6 +70,15 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         at = to
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a task's worker stays for others, with what its allocators keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def map_chunks(df: DataFrame, columns: list[str], schema: str | StructType,
                make: Callable[[], Callable[[pa.RecordBatch], dict | None]],
                most: int = CHUNK_BYTES) -> DataFrame:
@@ -84,6 +94,8 @@ def map_chunks(df: DataFrame, columns: list[str], schema: str | StructType,
                 out = fn(part)
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out)
+        fn = batch = part = out = None
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from sessionlog.functions.joins import BROADCAST_ROWS
 
-from .common import chunks, components, cut_lineage, lower_ascii, map_chunks, mix64, with_row_key
+from .common import chunks, components, cut_lineage, give_back, lower_ascii, map_chunks, mix64, with_row_key
 
 #: One of so many texts is looked at to find frequent shingles and words; how often a shingle must be seen there.
 SAMPLE, SEEN = 16, 4
@@ -141,6 +141,8 @@ def _frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray
         for word in held:
             if held[word]:
                 yield rows(word)
+        batch = part = texts = None
+        give_back()
 
     # Equal texts count once: one of each hash, found by ids alone.
     keyed = with_row_key(docs.select("doc_id", "text")).filter(F.pmod("tk", F.lit(SAMPLE)) == 0)
@@ -324,6 +326,8 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -
                         yield pa.RecordBatch.from_pydict({
                             "a": pa.array([a[at]] * len(yes), pa.binary()), "b": pa.array(yes, pa.binary())})
                     at = to
+        batch = part = a = b = h = sizes = sets = None
+        give_back()
 
     return cut_lineage(rows.mapInArrow(search, "a binary, b binary"))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, map_chunks, mix64
+from .common import cut_lineage, give_back, map_chunks, mix64
 
 #: Hash buckets of single tokens and of pairs.
 UNIGRAMS, BIGRAMS = 1 << 19, 1 << 18
@@ -99,6 +99,8 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
         for i in range(0, len(there), 100_000):
             at = there[i:i + 100_000]
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "target": sums[0][at], "raw": sums[1][at]})
+        sums = features = batch = part = tokens = sizes = one = two = good = None
+        give_back()
 
     parts = docs.select("text", "target").mapInArrow(run, "bucket int, target long, raw long")
     return parts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))

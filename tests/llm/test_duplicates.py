@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -193,3 +196,21 @@ def test_signatures_differ_in_no_more_bits(sets):
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert sum(int(x).bit_count() for x in (sig[i] ^ sig[j]).view(np.uint64)) <= len(a ^ b)
+
+
+def test_workers_give_memory_back():
+    """What a task has freed does not stay with its worker, where the executor's other work lacks it."""
+    code = """
+import numpy as np
+from sessionlog.llm.common import give_back
+def held(): return int(open('/proc/self/statm').read().split()[1]) * 4 // 1024
+parts = [np.ones(1 << 16, np.uint8) for _ in range(1600)]
+keep = parts[-1]
+del parts
+before = held()
+give_back()
+print(before - held())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert int(out) > 50
