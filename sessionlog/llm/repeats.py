@@ -22,6 +22,9 @@ HOT = 20_000
 #: Bytes of contexts that are sorted at a time.
 SORT_BYTES = 1 << 23
 
+#: Bytes that are scanned for anchors together: few enough that the hashes of all stay in a core's cache.
+SCAN_BYTES = 1 << 17
+
 _PLACE = (1 << 23) - 1
 
 
@@ -49,7 +52,7 @@ class Scan:
         at = 0
         while at < len(pieces):
             to, size = at, 0
-            while to < len(pieces) and (to == at or size + len(pieces[to][2]) < _PLACE):
+            while to < len(pieces) and (to == at or size + len(pieces[to][2]) <= SCAN_BYTES):
                 size += len(pieces[to][2])
                 to += 1
             self.parts.append(self._scan(pieces[at:to], length))

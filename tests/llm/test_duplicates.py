@@ -118,6 +118,25 @@ def test_anchors_and_passes(found, length):
         assert got.tolist() == [seen[data[s:s + length]] > 1 for s in starts]
 
 
+def test_texts_are_scanned_in_small_blocks(monkeypatch):
+    """What is scanned together fits a core's cache, and the anchors are those of each text alone."""
+    rng = random.Random(5)
+    raw = [bytes(rng.choices(b"abcdef", k=rng.randrange(40_000))) for _ in range(40)] + [b"ab" * 100_000]
+    sizes, scan = [], repeats.Scan._scan
+
+    def sized(pieces, length):
+        sizes.append(sum(len(b) for _, _, b in pieces) if len(pieces) > 1 else 0)
+        return scan(pieces, length)
+
+    monkeypatch.setattr(repeats.Scan, "_scan", staticmethod(sized))
+    found = repeats.Scan(raw, 200)
+    assert max(sizes) <= repeats.SCAN_BYTES < sum(map(len, raw))
+    alone = [repeats.Scan([b], 200) for b in raw]
+    assert found.doc.tolist() == [i for i, s in enumerate(alone) for _ in s.p]
+    for name in ("p", "first", "last", "hash"):
+        assert getattr(found, name).tolist() == np.concatenate([getattr(s, name) for s in alone]).tolist()
+
+
 def test_a_text_longer_than_a_piece(monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 500)
     text = bytes(random.Random(3).choices(b"abcdef", k=4000))
