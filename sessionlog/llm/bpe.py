@@ -207,7 +207,7 @@ class CachedEncoder:
             plain.append(parts)
             cut.append([p if isinstance(p, int) else self._units(p) for p in parts])
         units = set().union(*(p for parts in cut for p in parts if isinstance(p, list)))
-        missing = units - self.cache.keys()
+        missing = units.difference(self.cache)
         odd = {u for u in missing if self._odd(u)}
         if odd:
             # Such units are never kept, so every text that has one is found here.
@@ -217,7 +217,7 @@ class CachedEncoder:
                         # A mark that no fast unit starts with: units of one text are not mixed with others.
                         parts[i] = ["\t" + u for u in _UNITS.findall(raw[i])]
             units = set().union(*(p for parts in cut for p in parts if isinstance(p, list)))
-            missing = units - self.cache.keys()
+            missing = units.difference(self.cache)
         self._fill(list(missing), units)
         get, out = self.cache.__getitem__, []
         for parts in cut:

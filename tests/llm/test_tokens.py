@@ -112,3 +112,14 @@ def test_piece_counts(docs, texts, vocabulary, empty):
         want[i, len(found), sum(greedy(b" " + w, pieces, pieces) for w in found), 0] += 1
     assert rows_of(wordpiece.token_counts(docs, vocabulary)) == want
     assert wordpiece.token_counts(empty, vocabulary).count() == 0
+
+
+def test_the_cache_is_not_walked_for_each_batch():
+    """A batch looks its own words up; how many others are known does not matter."""
+    class Known(dict):
+        def keys(self):
+            raise AssertionError("walks all known words")
+
+    encoder = bpe.CachedEncoder(lambda words: [w.encode() for w in words], {})
+    encoder.cache = Known()
+    assert encoder.encode(["a b", "b\tc d", None]) == encoder.encode(["a b", "b\tc d", None])
