@@ -32,6 +32,9 @@ BITS = 1024
 #: Candidates of one query that are indexed together.
 INDEXED = 512
 
+#: Characters of text whose shingles are hashed together; larger arrays leave a core's cache.
+HASHED = 1 << 18
+
 def shingle_sets(texts: list[str | None], width: int, rarity=None) -> tuple[np.ndarray, ...]:
     """Distinct shingle hashes of all texts one after the other, ascending in each, and their numbers.
 
@@ -131,7 +134,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[tuple[np.ndarray, np.ndarray
                 "word": [word] * len(h), "h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int32())})
 
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=HASHED):
                 texts = part.column("text").to_pylist()
                 held[False].append(shingle_sets(texts, width)[0])
                 held[True].append(shingle_sets(texts, 1)[0])
@@ -228,7 +231,7 @@ def set_rows(docs: DataFrame, width: int, percent: int, carry: list[str]) -> Dat
 
         return run
 
-    return map_chunks(docs, [*dict.fromkeys([*carry, "text"])], schema, make)
+    return map_chunks(docs, [*dict.fromkeys([*carry, "text"])], schema, make, HASHED)
 
 
 def signatures(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -241,7 +244,7 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 
 def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) less those whose signatures differ in more bits than linked sets can.
+    """Candidate pairs (a, b) less those whose signatures differ in more bits than linked sets can; and that number, differ.
 
     ``sets`` has key, n and sig.  Linked sets share at least ``needed`` shingles, so they differ
     in at most the sum of their sizes less twice that; no link is lost.
@@ -252,7 +255,8 @@ def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     least = F.ceil(percent * both / (100 + percent))
     differ = F.aggregate(F.zip_with("asig", "bsig", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     # One more is allowed for, as the quotient is no exact number.
-    return pairs.join(right, "b").join(left, "a").filter(differ <= both - 2 * least + 2).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").withColumn("differ", differ).filter(
+        F.col("differ") <= both - 2 * least + 2).select("a", "b", "differ")
 
 
 def shared_lists(first: DataFrame) -> DataFrame:
@@ -298,6 +302,35 @@ _LISTED = pa.schema([("h", pa.int64()), ("key", pa.binary()), ("n", pa.int32()),
                      ("lead_n", pa.int32()), ("often", pa.bool_())])
 
 
+def _alike(x: str, y: str, percent: int):
+    """Whether sets of these sizes can link."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
+def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each set ``b`` and one other set of each of its lists (rows h, key, n).
+
+    Each list has a set of its own, by a hash: a set of many lists meets many others, and a row makes a pair at most.
+    """
+    lead = lists.groupBy("h").agg(F.max(F.struct(F.xxhash64("h", "key"), "key", "n")).alias("lead")).select(
+        "h", F.col("lead.key").alias("a"), F.col("lead.n").alias("an"))
+    return lists.select("h", "key", "n").join(lead, "h").filter((F.col("a") != F.col("key")) & _alike("an", "n", percent)).select(
+        "a", F.col("key").alias("b")).distinct()
+
+
+def rest_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share a list and have one end outside its largest component."""
+    sizes = placed.groupBy("h", "component").count()
+    mains = sizes.groupBy("h").agg(F.max(F.struct("count", "component"))["component"].alias("main"),
+                                   F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", "main")
+    placed = cut_lineage(placed.join(mains, "h"))
+    outside = placed.filter(F.col("component") != F.col("main")).select(
+        "h", F.col("key").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
+    return outside.join(placed.select("h", "key", "n", "component"), "h").filter(
+        (F.col("xc") != F.col("component")) & _alike("xn", "n", percent)).select(
+        F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
+
+
 def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the candidate pairs (a, b) that link; ``texts`` has key and text.
 
@@ -310,7 +343,7 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "b_text"):
+            for part in chunks(batch, "b_text", HASHED):
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 h, sizes = shingle_sets(part.column("b_text").to_pylist(), width)
                 sets = np.split(h, np.cumsum(sizes)[:-1])
@@ -348,9 +381,9 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     doc_id reachable by links, its own included.
 
     Equal sets are one node.  Each node lists the first shingles of its set (prefix); nodes
-    that link meet in a list.  First each node is compared with the smallest node of its
-    lists, which joins large groups of copies by about one pair per node.  Then, in lists that
-    still hold several components, every node outside the list's largest component is compared
+    that link meet in a list.  First each node is compared with the nearest, by signature, of
+    one other node of each of its lists, which joins large groups of copies by about one pair
+    per node.  Then, in lists that still hold several components, every node outside the list's largest component is compared
     with all others: each link between different components has such an end, so none is lost,
     and no list emits all its pairs.  Candidates whose
     signatures differ too much are left out (:func:`may_link`), the others are verified by
@@ -366,31 +399,20 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     rows = found.filter("h is null").drop("h", "often")
     bare = rows.drop("sig")
     lists = cut_lineage(shared_lists(found.filter("h is not null").select("h", "key", "n", "often")))
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    first = lists.filter((F.col("lead") != F.col("key")) & alike(F.col("lead_n"), F.col("n"))).groupBy("key").agg(
-        F.min("lead").alias("a")).select("a", F.col("key").alias("b"))
     own = cut_lineage(rows.filter("key is not null").join(lists.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
         F.min(F.struct("id", "tk")).alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig")).select(
         "key", "row.id", "row.tk", "n", "sig"))
-    first = cut_lineage(may_link(first, own, percent))
-    named = own.join(first.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
-    edges = linked_pairs(first, _texts(keyed, named), width, percent)
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        named = own.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+        return linked_pairs(pairs, _texts(keyed, named), width, percent)
+
+    edges = linked(cut_lineage(may_link(star_pairs(lists, percent), own, percent).groupBy("b").agg(
+        F.min(F.struct("differ", "a")).alias("near")).select("near.a", "b")))
     nodes = components(edges).withColumnRenamed("id", "key")
-    placed = lists.select("h", "key", "n").join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = cut_lineage(placed)
-    sizes = placed.groupBy("h", "component").count()
-    mains = sizes.groupBy("h").agg(F.max(F.struct("count", "component"))["component"].alias("main"),
-                                   F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", "main")
-    placed = cut_lineage(placed.join(mains, "h"))
-    outside = placed.filter(F.col("component") != F.col("main")).select(
-        "h", F.col("key").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    rest = outside.join(placed.select("h", "key", "n", "component"), "h").filter(
-        (F.col("xc") != F.col("component")) & alike(F.col("xn"), F.col("n"))).select(
-        F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
-    rest = cut_lineage(may_link(rest, own, percent))
-    named = own.join(rest.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
-    more = linked_pairs(rest, _texts(keyed, named), width, percent)
+    placed = cut_lineage(lists.select("h", "key", "n").join(nodes, "key", "left").withColumn(
+        "component", F.coalesce("component", "key")))
+    more = linked(cut_lineage(may_link(rest_pairs(placed, percent), own, percent).select("a", "b")))
     if not more.isEmpty():
         nodes = components(edges.unionByName(more)).withColumnRenamed("id", "key")
 

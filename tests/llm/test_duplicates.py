@@ -46,6 +46,14 @@ def test_classes(docs, texts, width, percent):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == want
 
 
+def test_a_set_meets_other_sets_in_other_lists(spark):
+    """With the smallest set of each list all would meet the same one, which may be far from them."""
+    rows = [(h, bytes([k]), 10) for h in range(40) for k in range(30)]
+    pairs = jaccard.star_pairs(spark.createDataFrame(rows, "h long, key binary, n int"), 85).collect()
+    assert len(pairs) <= len(rows) and len({r["a"] for r in pairs}) > 5
+    assert {bytes(r["b"]) for r in pairs} == {bytes([k]) for k in range(30)}
+
+
 def test_classes_of_nothing(empty):
     assert jaccard.classes(empty).count() == 0
 
