@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,9 +27,12 @@ FREQUENT = 200_000
 #: Parts that the list of a frequent shingle is dealt to.
 PARTS = 16
 
-#: Bits of a set's parity signature.
+#: Bits of a set's parity signature, at least.
 BITS = 1024
 
+#: Components of so many sets have a centre, which is found by the signatures of about ``VOTES`` of them.
+LARGE, VOTES = 8, 64
+
 #: Candidates of one query that are indexed together.
 INDEXED = 512
 
@@ -181,15 +185,15 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
 def set_rows(docs: DataFrame, width: int, percent: int, carry: list[str]) -> DataFrame:
     """Every row's set, and the first shingles of the sets.
 
-    Rows with null ``h`` are documents: ``carry``, n, sig (see :func:`signatures`) and key (a 128-bit hash of the set; null for
-    the empty set).  The others say that shingle ``h`` is among the first of the set ``key``;
+    Rows with null ``h`` are documents: ``carry``, n, sig (see :func:`fitting_signatures`) and key (a 128-bit hash of the set; null for
+    the empty set).  The others say that shingle ``h`` is number ``place`` (from 0) of the set ``key``;
     equal sets are told once per task and slice of it.  Linked sets share a shingle among their
     first ``n - least overlap + 1``, in one order of all shingles: those with a rare word first,
     shingles found frequent (``often``) last, so lists rarely hold sets that share a passage or
     common words only.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))  # bounded by FREQUENT
-    schema = docs.select(*carry).schema.add("n", T.IntegerType()).add("key", "binary").add("h", "long").add("often", "boolean").add("sig", T.ArrayType(T.LongType()))
+    schema = docs.select(*carry).schema.add("n", T.IntegerType()).add("key", "binary").add("h", "long").add("often", "boolean").add("place", T.IntegerType()).add("sig", T.ArrayType(T.LongType()))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
     def make():
@@ -213,34 +217,63 @@ def set_rows(docs: DataFrame, width: int, percent: int, carry: list[str]) -> Dat
             doc = np.repeat(np.arange(len(sizes)), sizes)
             by = np.lexsort((h, place, doc))
             nth = np.arange(len(h)) - np.repeat(ends - sizes, sizes)
-            take = by[(nth < np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)) & new[doc]]
+            first = (nth < np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)) & new[doc]
+            take = by[first]
             of = doc[take]
             m = len(take)
             both = lambda x, y, kind: pa.concat_arrays([x, y]).cast(kind)
             out = {c: pa.concat_arrays([a, pa.nulls(m, a.type)]) for c, a in ((c, batch.column(c)) for c in carry)}
             key = pa.array(keys, pa.binary())
-            sig = signatures(h, doc, len(sizes))
+            sig = fitting_signatures(h, sizes)
             return out | {
                 "n": both(pa.array(sizes), pa.array(sizes[of]), pa.int32()),
                 "key": pa.concat_arrays([key, key.take(pa.array(of))]),
                 "h": pa.concat_arrays([pa.nulls(len(sizes), pa.int64()), pa.array(h[take].view(np.int64))]),
                 "often": pa.concat_arrays([pa.nulls(len(sizes), pa.bool_()), pa.array(seen[take] > 0)]),
-                "sig": pa.concat_arrays([
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * (BITS // 64), pa.int32()), pa.array(sig.ravel())),
-                    pa.nulls(m, pa.list_(pa.int64()))])}
+                "place": pa.concat_arrays([pa.nulls(len(sizes), pa.int32()), pa.array(nth[first], pa.int32())]),
+                "sig": pa.concat_arrays([sig, pa.nulls(m, pa.list_(pa.int64()))])}
 
         return run
 
     return map_chunks(docs, [*dict.fromkeys([*carry, "text"])], schema, make, HASHED)
 
 
-def signatures(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """For each of ``n`` sets ``BITS`` bits: the parity of its shingles per hash bucket, as 64-bit integers.
+def signatures(h: np.ndarray, doc: np.ndarray, n: int, bits: int = BITS) -> np.ndarray:
+    """For each of ``n`` sets ``bits`` bits: the parity of its shingles per hash bucket, as 64-bit integers.
 
     Two signatures differ in no more bits than the two sets differ in shingles.
     """
-    bits = np.bincount(doc * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=n * BITS) & 1
-    return np.packbits(bits.reshape(n, BITS).astype(np.uint8), axis=1).view(np.int64)
+    odd = np.bincount(doc * bits + (h % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.reshape(n, bits).astype(np.uint8), axis=1).view(np.int64)
+
+
+def fitting_signatures(h: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Signatures with as many bits as a set has shingles at least, ``BITS`` or twice that so many times; else all large sets look alike."""
+    bits = BITS << np.ceil(np.log2(np.maximum(sizes, BITS) / BITS)).astype(np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.concatenate([[0], np.cumsum(bits // 64)])
+    out = np.empty(starts[-1], np.int64)
+    for length in np.unique(bits).tolist():
+        mine = bits == length
+        of = mine[doc]
+        rows = signatures(h[of], (np.cumsum(mine) - 1)[doc[of]], int(mine.sum()), length)
+        out[starts[:-1][mine][:, None] + np.arange(length // 64)] = rows
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out))
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """Bits in which two signatures of one length differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
+
+
+def _folded(x: Column, y: Column) -> Column:
+    """The signature ``x`` in the length of ``y``: that of half as many buckets is one half's parity with the other's.
+
+    Null if the lengths are further apart.
+    """
+    half = F.size(y)
+    fold = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+    return F.when(F.size(x) <= half, x).when(F.size(x) == 2 * half, fold)
 
 
 def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -253,53 +286,51 @@ def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("bn"), F.col("sig").alias("bsig"))
     both = F.col("an") + F.col("bn")
     least = F.ceil(percent * both / (100 + percent))
-    differ = F.aggregate(F.zip_with("asig", "bsig", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    x, y = F.col("asig"), F.col("bsig")
+    differ = F.coalesce(_differ(_folded(x, y), _folded(y, x)), F.lit(0))
     # One more is allowed for, as the quotient is no exact number.
     return pairs.join(right, "b").join(left, "a").withColumn("differ", differ).filter(
         F.col("differ") <= both - 2 * least + 2).select("a", "b", "differ")
 
 
 def shared_lists(first: DataFrame) -> DataFrame:
-    """Rows (h, key, n) of lists with several sets, once each, and the list's smallest set (``lead``, ``lead_n``).
+    """Rows (h, key, n, place) of lists with several sets, once each.
 
     Lists are dealt by shingle and read in order of sets, so a task holds one row of a list.
-    The list of a frequent shingle is dealt to ``PARTS`` parts, whose smallest sets then meet.
+    The list of a frequent shingle is dealt to ``PARTS`` parts, whose sets then meet.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lead, alone = None, None, False
+        last, held = None, None
         for batch in batches:
             rows = []
-            for h, part, often, key, n in zip(*(batch.column(c).to_pylist() for c in (
-                    "h", "part", "often", "key", "n")), strict=True):
+            for h, part, often, key, n, place in zip(*(batch.column(c).to_pylist() for c in (
+                    "h", "part", "often", "key", "n", "place")), strict=True):
                 if (h, part) != (last and last[:2]):
-                    lead, alone = (key, n), True
+                    held = (h, key, n, place, often)
                     if often:  # it may meet others from other parts
-                        rows.append((h, key, n, key, n, True))
-                        alone = False
+                        rows.append(held)
+                        held = None
                 elif key != last[2]:
-                    if alone:
-                        rows.append((h, *lead, *lead, False))
-                        alone = False
-                    rows.append((h, key, n, *lead, often))
+                    if held:
+                        rows.append(held)
+                        held = None
+                    rows.append((h, key, n, place, often))
                 last = (h, part, key)
             if rows:
                 yield pa.RecordBatch.from_pydict(dict(zip(
-                    ("h", "key", "n", "lead", "lead_n", "often"), map(list, zip(*rows, strict=True)), strict=True)),
-                    schema=_LISTED)
+                    ("h", "key", "n", "place", "often"), map(list, zip(*rows, strict=True)), strict=True)), schema=_LISTED)
 
     part = F.when(F.col("often"), F.pmod(F.xxhash64("key"), F.lit(PARTS))).otherwise(0).cast("int")
-    dealt = first.select("h", part.alias("part"), "often", "key", "n").repartition("h", "part").sortWithinPartitions(
+    dealt = first.select("h", part.alias("part"), "often", "key", "n", "place").repartition("h", "part").sortWithinPartitions(
         "h", "part", "key")
-    rows = cut_lineage(dealt.mapInArrow(run, "h long, key binary, n int, lead binary, lead_n int, often boolean"))
+    rows = cut_lineage(dealt.mapInArrow(run, "h long, key binary, n int, place int, often boolean"))
     often = rows.filter("often")
-    tops = often.groupBy("h").agg(F.min(F.struct("lead", "lead_n")).alias("top"), F.max("key").alias("most")).filter(
-        F.col("top.lead") < F.col("most"))
-    often = often.select("h", "key", "n").join(tops, "h").select("h", "key", "n", "top.lead", "top.lead_n")
+    several = often.groupBy("h").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("h")
+    often = often.join(several, "h").select("h", "key", "n", "place")
     return rows.filter("not often").drop("often").unionByName(often)
 
 
-_LISTED = pa.schema([("h", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("lead", pa.binary()),
-                     ("lead_n", pa.int32()), ("often", pa.bool_())])
+_LISTED = pa.schema([("h", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("place", pa.int32()), ("often", pa.bool_())])
 
 
 def _alike(x: str, y: str, percent: int):
@@ -318,16 +349,59 @@ def star_pairs(lists: DataFrame, percent: int) -> DataFrame:
         "a", F.col("key").alias("b")).distinct()
 
 
-def rest_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets in different components that share a list and have one end outside its largest component."""
+def centres(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of each large component (``nodes``: key, component) the set nearest, by signature, to what most of its sets have: main, a, an."""
+    members = nodes.join(sets.select("key", "n", "sig"), "key").withColumn("words", F.size("sig"))
+    usual = members.groupBy("component", "words").count().filter(F.col("count") >= LARGE).groupBy("component").agg(
+        F.max(F.struct("count", "words")).alias("usual")).select("component", "usual.*")
+    members = cut_lineage(members.join(F.broadcast(usual) if usual.count() <= BROADCAST_ROWS else usual, ["component", "words"]))
+    some = members.filter(F.pmod(F.xxhash64("key"), F.ceil(F.col("count") / VOTES)) == 0)
+    one = lambda i: F.shiftrightunsigned("bits", i).bitwiseAND(F.lit(1))
+    most = [F.when(2 * F.sum(one(i)) > F.count(F.lit(1)), F.lit(1 << i if i < 63 else -1 << 63)).otherwise(F.lit(0)) for i in range(64)]
+    votes = some.select("component", F.posexplode("sig").alias("place", "bits")).groupBy("component", "place").agg(
+        reduce(lambda x, y: x.bitwiseOR(y), most).alias("bits"))
+    middle = cut_lineage(votes.groupBy("component").agg(
+        F.array_sort(F.collect_list(F.struct("place", "bits")))["bits"].alias("middle")))
+    few = middle.count() <= BROADCAST_ROWS
+    return cut_lineage(members.join(F.broadcast(middle) if few else middle, "component").groupBy(F.col("component").alias("main")).agg(
+        F.min(F.struct(_differ(F.col("sig"), F.col("middle")).alias("differ"), "key", "n")).alias("centre")).select(
+        "main", F.col("centre.key").alias("a"), F.col("centre.n").alias("an")))
+
+
+def _outside(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the lists that hold several components, with each list's largest (main); and those of other components."""
     sizes = placed.groupBy("h", "component").count()
     mains = sizes.groupBy("h").agg(F.max(F.struct("count", "component"))["component"].alias("main"),
                                    F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("h", "main")
     placed = cut_lineage(placed.join(mains, "h"))
-    outside = placed.filter(F.col("component") != F.col("main")).select(
-        "h", F.col("key").alias("x"), F.col("n").alias("xn"), F.col("component").alias("xc"))
-    return outside.join(placed.select("h", "key", "n", "component"), "h").filter(
-        (F.col("xc") != F.col("component")) & _alike("xn", "n", percent)).select(
+    return placed, placed.filter(F.col("component") != F.col("main"))
+
+
+def centre_pairs(placed: DataFrame, centre: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each set ``b`` and the centres of the largest components of its lists, where it is of another one."""
+    _, outside = _outside(placed)
+    few = centre.count() <= BROADCAST_ROWS
+    return outside.join(F.broadcast(centre) if few else centre, "main").filter(_alike("an", "n", percent)).select(
+        "a", F.col("key").alias("b")).distinct()
+
+
+def rest_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share a list and have one end outside its largest component.
+
+    A pair is told in the list of the first shingle that both have: what they share lies from their places
+    on, and must be enough for their sizes.  So the smaller set is there early, as for a set of its own size; rows are
+    divided by that before they meet.
+    """
+    placed, outside = _outside(placed)
+    outside = outside.select("h", F.col("key").alias("x"), F.col("n").alias("xn"), F.col("place").alias("xplace"),
+                             F.col("component").alias("xc"))
+    inside = placed.select("h", "key", "n", "place", "component")
+    enough = lambda shared, sizes: shared.cast("long") * (100 + percent) >= percent * sizes.cast("long")
+    early = lambda n, place: enough(F.col(n) - F.col(place), 2 * F.col(n).cast("long"))
+    met = outside.filter(early("xn", "xplace")).join(inside, "h").filter("xn <= n").unionByName(
+        outside.join(inside.filter(early("n", "place")), "h").filter("n < xn"))
+    return met.filter((F.col("xc") != F.col("component")) & enough(
+        F.least(F.col("xn") - F.col("xplace"), F.col("n") - F.col("place")), F.col("xn").cast("long") + F.col("n"))).select(
         F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
 
 
@@ -383,9 +457,10 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     Equal sets are one node.  Each node lists the first shingles of its set (prefix); nodes
     that link meet in a list.  First each node is compared with the nearest, by signature, of
     one other node of each of its lists, which joins large groups of copies by about one pair
-    per node.  Then, in lists that still hold several components, every node outside the list's largest component is compared
-    with all others: each link between different components has such an end, so none is lost,
-    and no list emits all its pairs.  Candidates whose
+    per node.  Nodes that are left out of a list's largest component are then compared with its centre, one
+    pair per node again (:func:`centres`).  Last, in lists that still hold several components, every node outside the list's largest component is compared
+    with the others that it can share enough with, by their places in the list
+    (:func:`rest_pairs`): each link between different components has such an end, so none is lost.  Candidates whose
     signatures differ too much are left out (:func:`may_link`), the others are verified by
     :func:`divide_skip` on whole sets.
 
@@ -396,9 +471,9 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     keyed = with_row_key(docs.select("doc_id", "text", *[c for c in carry if c not in ("id", "tk")]))
     carried = [*dict.fromkeys(["doc_id", "id", "tk", *carry])]
     found = cut_lineage(set_rows(keyed, width, percent, carried))
-    rows = found.filter("h is null").drop("h", "often")
+    rows = found.filter("h is null").drop("h", "often", "place")
     bare = rows.drop("sig")
-    lists = cut_lineage(shared_lists(found.filter("h is not null").select("h", "key", "n", "often")))
+    lists = cut_lineage(shared_lists(found.filter("h is not null").select("h", "key", "n", "place", "often")))
     own = cut_lineage(rows.filter("key is not null").join(lists.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
         F.min(F.struct("id", "tk")).alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig")).select(
         "key", "row.id", "row.tk", "n", "sig"))
@@ -407,14 +482,29 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
         named = own.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
         return linked_pairs(pairs, _texts(keyed, named), width, percent)
 
-    edges = linked(cut_lineage(may_link(star_pairs(lists, percent), own, percent).groupBy("b").agg(
-        F.min(F.struct("differ", "a")).alias("near")).select("near.a", "b")))
-    nodes = components(edges).withColumnRenamed("id", "key")
-    placed = cut_lineage(lists.select("h", "key", "n").join(nodes, "key", "left").withColumn(
-        "component", F.coalesce("component", "key")))
+    def nearest(pairs: DataFrame) -> DataFrame:
+        return linked(cut_lineage(may_link(pairs, own, percent).groupBy("b").agg(
+            F.min(F.struct("differ", "a")).alias("near")).select("near.a", "b")))
+
+    def place() -> DataFrame:
+        return cut_lineage(lists.join(nodes, "key", "left").withColumn(
+            "component", F.coalesce("component", "key")))
+
+    def joined() -> DataFrame:
+        return components(edges).withColumnRenamed("id", "key")
+
+    edges = nearest(star_pairs(lists, percent))
+    nodes = joined()
+    placed = place()
+    centre = centres(nodes, own)
+    if not centre.isEmpty():
+        edges = edges.unionByName(nearest(centre_pairs(placed, centre, percent)))
+        nodes = joined()
+        placed = place()
     more = linked(cut_lineage(may_link(rest_pairs(placed, percent), own, percent).select("a", "b")))
     if not more.isEmpty():
-        nodes = components(edges.unionByName(more)).withColumnRenamed("id", "key")
+        edges = edges.unionByName(more)
+        nodes = joined()
 
     in_class = bare.join(nodes, "key", "left").withColumn("component", F.coalesce("component", "key"))
     in_class = cut_lineage(in_class)

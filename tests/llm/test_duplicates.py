@@ -241,3 +241,63 @@ print(before - held())
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
     assert int(out) > 50
+
+
+def near_copies(n, words, edits, seed=7):
+    """Copies of one text, each with some words of its own."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.sample(range(words), rng.choice(edits)):
+            own[k] = f"own{i}x{k}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    """Pairs that are looked at don't grow with the square of the group, and no link is lost."""
+    texts = near_copies(240, 150, [0, 1, 2, 3, 5, 6, 7, 8])
+    seen = []
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return may_link(pairs, *rest)
+
+    may_link = jaccard.may_link
+    monkeypatch.setattr(jaccard, "may_link", counting)
+    sets = [{tuple(w[i:i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    up = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(up, i), find(up, j)
+                up[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(frame).collect()}
+    assert got == {i: find(up, i) for i in range(len(sets))}
+    # Each one outside the group was told with each other one before.
+    assert len(seen) == 3 and seen[2] < 5 * len(texts)
+
+
+def test_signatures_tell_large_sets_apart():
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (10, 6000, 0, 6100, 8300)]
+    sigs = jaccard.fitting_signatures(np.concatenate(sets), np.array([len(s) for s in sets])).to_pylist()
+    assert [len(s) for s in sigs] == [16, 128, 16, 128, 256]
+    differ = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True))
+    assert differ(sigs[1], sigs[3]) > 2 * (12_100 - 2 * jaccard.needed(6000, 6100, 85))
+
+
+def test_signatures_of_two_lengths(spark):
+    """Sets of 2,000 and 2,100 shingles have signatures of 2,048 and 4,096 bits."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
+    sets = {b"a": a, b"b": np.concatenate([a, rng.integers(0, 1 << 63, 100).astype(np.uint64)]),
+            b"c": rng.integers(0, 1 << 63, 2100).astype(np.uint64)}
+    sigs = jaccard.fitting_signatures(np.concatenate([np.sort(s) for s in sets.values()]), np.array([2000, 2100, 2100]))
+    own = spark.createDataFrame([(bytearray(k), len(s), g) for (k, s), g in zip(sets.items(), sigs.to_pylist(), strict=True)],
+                                "key binary, n int, sig array<long>")
+    pairs = spark.createDataFrame([(bytearray(x), bytearray(y)) for x in sets for y in sets if x < y], "a binary, b binary")
+    assert [(bytes(r["a"]), bytes(r["b"]), r["differ"] <= 100) for r in jaccard.may_link(pairs, own, 85).collect()] == [(b"a", b"b", True)]
