@@ -33,6 +33,9 @@ BITS = 1024
 #: Components of so many sets have a centre, which is found by the signatures of about ``VOTES`` of them.
 LARGE, VOTES = 8, 64
 
+#: Sets of a list that are held to see which of them can meet; longer lists pass as they are.
+HELD = 8
+
 #: Candidates of one query that are indexed together.
 INDEXED = 512
 
@@ -293,32 +296,52 @@ def may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("differ") <= both - 2 * least + 2).select("a", "b", "differ")
 
 
-def shared_lists(first: DataFrame) -> DataFrame:
+def can_meet(rows: list[tuple], percent: int) -> list[tuple]:
+    """Rows (h, key, n, place, ...) of a list less those that can be told with no other one, see :func:`rest_pairs`."""
+    found = set()
+    for i, (_, _, n, place, *_) in enumerate(rows):
+        for j in range(i):
+            m, other = rows[j][2:4]
+            if 100 * min(n, m) >= percent * max(n, m) and (100 + percent) * min(n - place, m - other) >= percent * (n + m):
+                found |= {i, j}
+    return [rows[i] for i in sorted(found)]
+
+
+def shared_lists(first: DataFrame, percent: int) -> DataFrame:
     """Rows (h, key, n, place) of lists with several sets, once each.
 
-    Lists are dealt by shingle and read in order of sets, so a task holds one row of a list.
+    Lists are dealt by shingle and read in order of sets, so a task holds one row of a list, and of one of ``HELD`` sets
+    at most those that can meet another one (:func:`can_meet`).
     The list of a frequent shingle is dealt to ``PARTS`` parts, whose sets then meet.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        last, held = None, []  # held: the list's rows so far; None when it is too long or frequent
         for batch in batches:
             rows = []
             for h, part, often, key, n, place in zip(*(batch.column(c).to_pylist() for c in (
                     "h", "part", "often", "key", "n", "place")), strict=True):
                 if (h, part) != (last and last[:2]):
-                    held = (h, key, n, place, often)
-                    if often:  # it may meet others from other parts
-                        rows.append(held)
+                    if held and len(held) > 1:
+                        rows += can_meet(held, percent)
+                    held = None if often else []  # a frequent one may meet others from other parts
+                elif key == last[2]:
+                    continue
+                row = (h, key, n, place, often)
+                if held is None:
+                    rows.append(row)
+                else:
+                    held.append(row)
+                    if len(held) > HELD:
+                        rows += held
                         held = None
-                elif key != last[2]:
-                    if held:
-                        rows.append(held)
-                        held = None
-                    rows.append((h, key, n, place, often))
                 last = (h, part, key)
             if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(
-                    ("h", "key", "n", "place", "often"), map(list, zip(*rows, strict=True)), strict=True)), schema=_LISTED)
+                yield listed(rows)
+        if held and len(held) > 1 and (rows := can_meet(held, percent)):
+            yield listed(rows)
+
+    def listed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(_LISTED.names, map(list, zip(*rows, strict=True)), strict=True)), schema=_LISTED)
 
     part = F.when(F.col("often"), F.pmod(F.xxhash64("key"), F.lit(PARTS))).otherwise(0).cast("int")
     dealt = first.select("h", part.alias("part"), "often", "key", "n", "place").repartition("h", "part").sortWithinPartitions(
@@ -473,7 +496,7 @@ def classes(docs: DataFrame, width: int = 4, percent: int = 85, carry: list[str]
     found = cut_lineage(set_rows(keyed, width, percent, carried))
     rows = found.filter("h is null").drop("h", "often", "place")
     bare = rows.drop("sig")
-    lists = cut_lineage(shared_lists(found.filter("h is not null").select("h", "key", "n", "place", "often")))
+    lists = cut_lineage(shared_lists(found.filter("h is not null").select("h", "key", "n", "place", "often"), percent))
     own = cut_lineage(rows.filter("key is not null").join(lists.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
         F.min(F.struct("id", "tk")).alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig")).select(
         "key", "row.id", "row.tk", "n", "sig"))

@@ -301,3 +301,13 @@ def test_signatures_of_two_lengths(spark):
                                 "key binary, n int, sig array<long>")
     pairs = spark.createDataFrame([(bytearray(x), bytearray(y)) for x in sets for y in sets if x < y], "a binary, b binary")
     assert [(bytes(r["a"]), bytes(r["b"]), r["differ"] <= 100) for r in jaccard.may_link(pairs, own, 85).collect()] == [(b"a", b"b", True)]
+
+
+def test_lists_hold_only_sets_that_can_meet(spark):
+    """By size, and by what is left of the sets from their places on."""
+    rows = [(1, 100, 0), (1, 110, 1), (1, 300, 0), (2, 100, 9), (2, 100, 3), (3, 100, 8), (3, 100, 8), (4, 50, 0)]
+    rows = [(h, bytes([i]), n, place, False) for i, (h, n, place) in enumerate(rows)]
+    rows += [(5, bytes([i]), 1000 * 2**i, 0, False) for i in range(20)]
+    first = spark.createDataFrame(rows + rows[:2], "h long, key binary, n int, place int, often boolean").repartition(5)
+    got = sorted((r["h"], bytes(r["key"])) for r in jaccard.shared_lists(first, 85).collect())
+    assert got == [(1, b"\0"), (1, b"\1"), (3, b"\5"), (3, b"\6"), *[(5, bytes([i])) for i in range(20)]]
